@@ -362,11 +362,12 @@ def _two_valued(df: DataFrame, exprs: dict[str, Column]) -> set[str]:
     return out
 
 
-def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train") -> DataFrame:
+def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train", keep: list[str] | tuple = ()) -> DataFrame:
     """PIPE-2: apply a fitted spec as one projection, never refitting.
 
     ``mode="train"`` repeats the fit-time row steps (null-target filter, de-duplication); ``mode="score"`` keeps every
-    input row so predictions stay aligned with their keys.  Input columns are cast to their fit-time types first.
+    input row so predictions stay aligned with their keys: columns unknown at fit time and the ``keep`` columns
+    (e.g. an id dropped by the plan) pass through untouched.  Input columns are cast to their fit-time types first.
     """
     missing = [c for c in spec.input_columns if c not in df.columns and c != spec.target
                and c not in spec.dropped_columns]
@@ -380,10 +381,12 @@ def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train") -> DataFrame:
         else:
             casts.append(qcol(f.name))
     df = nan_to_null(df.select(*casts))
-    passthrough = [c for c in df.columns if c not in spec.input_columns]
+    outputs = set(expressions({f.name: f.dataType for f in df.schema.fields}, spec, "coerce")[0]) | set(
+        spec.output_columns)
+    passthrough = [c for c in df.columns if (c not in spec.input_columns or c in keep) and c not in outputs]
     if mode == "train" and spec.target in df.columns:
         df = df.where(qcol(spec.target).isNotNull())
-    df = ops.drop_columns(df, spec.dropped_columns)
+    df = ops.drop_columns(df, [c for c in spec.dropped_columns if not (mode == "score" and c in passthrough)])
     if mode == "train":
         df = df.dropDuplicates()
     types = {f.name: f.dataType for f in df.schema.fields}
