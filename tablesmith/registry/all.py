@@ -5,3 +5,4 @@ from tablesmith.registry import profile_q  # noqa: F401
 from tablesmith.registry import prep_q  # noqa: F401,E402
 from tablesmith.registry import eval_q, select_q  # noqa: F401,E402
 from tablesmith.registry import model_q  # noqa: F401,E402
+from tablesmith.registry import io_q  # noqa: F401,E402
