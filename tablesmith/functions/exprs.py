@@ -37,6 +37,9 @@ DATETIME_FORMATS = [
     "yyyy",
 ]
 
+# Shape every DATETIME_FORMATS text has; anything else is rejected before the (costly) parse attempts.
+DATETIME_GUARD = r"^\s*(\d{8}|\d{1,4}([-/]\d{1,2}([-/]\d{1,4})?)?([ T]\d{1,2}:\d{2}(:\d{2})?)?)\s*$"
+
 # Rounding applied to every floating statistic that leaves the engine in a report or check table.
 ROUND_DIGITS = 6
 
@@ -109,7 +112,8 @@ def to_ts(c: Column, dt: T.DataType | None = None) -> Column:
     if dt is not None and not is_string(dt):
         return F.lit(None).cast("timestamp_ntz")
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATETIME_FORMATS]).cast("timestamp_ntz")
+    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATETIME_FORMATS]).cast("timestamp_ntz")
+    return F.when(s.rlike(DATETIME_GUARD), parsed)
 
 
 def datetime_parts(c: Column, dt: T.DataType | None = None) -> dict[str, Column]:

@@ -258,14 +258,16 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
     input_types = {f.name: f.dataType for f in df.schema.fields}
     src = ops.drop_null_target(nan_to_null(df), target)
     stats = structure_stats(src)
+    inferred = plan is None
     if plan is None:
         ndv = text_cardinality(src, _categorical_candidates(stats, target))
-        plan = infer_plan_from_stats(stats, ndv, target)
+        plan = infer_plan_from_stats(stats, ndv, target)  # its one-hot columns have <= 50 values
     else:
         plan = plan.copy()
     plan.validate(target)
     method = plan.quantiles
 
+    known_small = set(plan.encode) if inferred else set()
     all_null = [c for c, s in stats.items() if s["n_non_null"] == 0]
     single = [c for c, s in stats.items() if c != target and s["single"]]
     dropped = _ordered_unique(all_null + single + plan.drop_cols)
@@ -298,19 +300,29 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
                 impute.setdefault(c, "median")
     strategies = {c: s for c, s in impute.items() if c in cur and kind[c] != "target"}
     numeric = {c: kind[c] == "num" for c in cur}
-    spec.fills = ops.fit_fills(base, {c: cur[c] for c in strategies}, strategies, numeric, plan.fill_values, method)
+    enc = {c: s for c, s in plan.encode.items() if c in cur and kind[c] != "target"}
+    cat_cols = [c for c, s in enc.items() if s in ("onehot", "ordinal")]
+    mode_cols = [c for c, s in strategies.items() if s == "mode"]
+    # one histogram job gives the modes and the categories (a mode fill adds no new category)
+    hist_cols = list(dict.fromkeys(mode_cols + cat_cols))
+    vs = ops.value_summary(base, {c: cur[c] for c in hist_cols}, numeric, categories_for=cat_cols,
+                           known_small=frozenset(known_small)) if hist_cols else {}
+    other = {c: s for c, s in strategies.items() if s != "mode"}
+    spec.fills = ops.fit_fills(base, {c: cur[c] for c in other}, other, numeric, plan.fill_values, method)
+    for c in mode_cols:
+        m = vs.get(c, {}).get("mode")
+        spec.fills[c] = 0.0 if m is None else (float(m) if numeric.get(c) else str(m))
 
     # encoders
+    for c in cat_cols:
+        cats = vs[c]["categories"]
+        if cats is None:
+            raise ValueError(f"Column '{c}' has too many categories for {enc[c]} encoding.")
+        fill = spec.fills.get(c)
+        if vs[c]["has_null"] and fill is not None and fill not in cats:
+            cats = sorted(cats + [float(fill) if numeric.get(c) else fill])
+        (spec.onehot if enc[c] == "onehot" else spec.ordinal)[c] = cats
     cur, kind = expressions(types, spec, "fill")
-    enc = {c: s for c, s in plan.encode.items() if c in cur and kind[c] != "target"}
-    cat_cols = [c for c, s in enc.items() if s in ("onehot", "ordinal")]
-    if cat_cols:
-        vs = ops.value_summary(base, {c: cur[c] for c in cat_cols}, numeric, categories_for=cat_cols)
-        for c in cat_cols:
-            cats = vs[c]["categories"]
-            if cats is None:
-                raise ValueError(f"Column '{c}' has too many categories for {enc[c]} encoding.")
-            (spec.onehot if enc[c] == "onehot" else spec.ordinal)[c] = cats
     te_cols = [c for c, s in enc.items() if s == "target"]
     if te_cols:
         spec.target_maps = ops.fit_target_means(base, {c: cur[c] for c in te_cols}, qcol(target))
@@ -325,10 +337,8 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
         cands = [c for c in num_cols if plan.clip_encoded or (c not in spec.encoded_columns
                                                               and c not in spec.bool_columns)]
         if cands:
-            two_valued = set() if plan.clip_encoded else _two_valued(work, {c: cur[c] for c in cands})
-            cands = [c for c in cands if c not in two_valued]
-        if cands:
-            spec.clip_bounds = ops.fit_clip_iqr(work, {c: cur[c] for c in cands}, plan.iqr_k, method)
+            spec.clip_bounds = _fit_clip(work, {c: cur[c] for c in cands}, plan.iqr_k, method,
+                                         skip_two_valued=not plan.clip_encoded)
 
     # scaling over clipped values
     cur, kind = expressions(types, spec, "clip")
@@ -341,27 +351,57 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
     return spec
 
 
-def _two_valued(df: DataFrame, exprs: dict[str, Column]) -> set[str]:
-    """Columns whose values take at most two distinct numbers, in one pass: for values in [m, M],
-    x^2 <= (m + M) x - m M with equality only at m and M, so the sums decide it."""
+def _fit_clip(df: DataFrame, exprs: dict[str, Column], k: float, method: str, skip_two_valued: bool
+              ) -> dict[str, list]:
+    """IQR bounds and the two-value test in one aggregate job.
+
+    A column whose values take at most two distinct numbers is not clipped (by default): for values in [m, M],
+    x^2 <= (m + M) x - m M with equality only at m and M, so count, min, max, sum and sum of squares decide it."""
+    if method == "bracket":
+        bounds = ops.fit_clip_iqr(df, exprs, k, method)
+        two = _two_valued_only(df, exprs) if skip_two_valued else set()
+        return {c: b for c, b in bounds.items() if c not in two}
+    parr = F.array(F.lit(0.25), F.lit(0.75))
     aggs = []
     for i, e in enumerate(exprs.values()):
         x = e.cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"m{i}"), F.max(x).alias(f"M{i}"),
+        q = F.percentile(x, parr) if method == "exact" else F.percentile_approx(x, parr, 10000).cast("array<double>")
+        aggs += [q.alias(f"p{i}"), F.count(x).alias(f"n{i}"), F.min(x).alias(f"m{i}"), F.max(x).alias(f"M{i}"),
                  F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
     row = df.agg(*aggs).collect()[0]
-    out = set()
+    out = {}
     for i, c in enumerate(exprs):
-        n, m, M, s, q = (row[f"{p}{i}"] for p in "nmMsq")
-        if not n:
+        if skip_two_valued and _is_two_valued(*(row[f"{p}{i}"] for p in "nmMsq")):
             continue
-        gap = (m + M) * s - n * m * M - q
-        tol = 1e-9 * max(1.0, abs(q), abs((m + M) * s), abs(n * m * M))
-        if M == m or abs(gap) <= tol:
-            out.add(c)
+        qs = row[f"p{i}"]
+        if qs is None or qs[0] is None:
+            out[c] = [float("nan"), float("nan")]
+        else:
+            q1, q3 = float(qs[0]), float(qs[1])
+            out[c] = [q1 - k * (q3 - q1), q3 + k * (q3 - q1)]
     return out
 
 
+def _is_two_valued(n, m, M, s, q) -> bool:
+    if not n:
+        return False
+    if M == m:
+        return True
+    gap = (m + M) * s - n * m * M - q
+    tol = 1e-9 * max(1.0, abs(q), abs((m + M) * s), abs(n * m * M))
+    return abs(gap) <= tol
+
+
+def _two_valued_only(df: DataFrame, exprs: dict[str, Column]) -> set[str]:
+    aggs = []
+    for i, e in enumerate(exprs.values()):
+        x = e.cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"m{i}"), F.max(x).alias(f"M{i}"),
+                 F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
+    row = df.agg(*aggs).collect()[0]
+    return {c for i, c in enumerate(exprs) if _is_two_valued(*(row[f"{p}{i}"] for p in "nmMsq"))}
+
+
 def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train", keep: list[str] | tuple = ()) -> DataFrame:
     """PIPE-2: apply a fitted spec as one projection, never refitting.
 
