@@ -164,15 +164,23 @@ def numeric_view(df: DataFrame) -> dict[str, Column]:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], exprs: dict[str, Column] | None = None,
-                       pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Guarded pairwise Pearson r ``(col_a, col_b, corr)`` for a < b, in chunked global aggregates (lazy union)."""
+                       pairs: list[tuple[str, str]] | None = None, method: str = "gram") -> DataFrame:
+    """Guarded pairwise-complete Pearson r ``(col_a, col_b, corr)`` for a < b; null when a side is constant.
+
+    ``method="gram"``: every partition computes, with numpy, masked partial sums of all pairs at once (n, sums,
+    sums of squares and cross products over rows where both values are present, columns centred on their means
+    for numerical stability); Spark adds the per-pair partials with ``groupBy(i, j).sum`` — k*(k-1)/2 rows per
+    task, whatever the row count, and no wide generated code.  ``method="expr"`` writes one covariance/stddev
+    aggregate per pair (fine for a handful of columns)."""
     exprs = exprs or {c: to_num(qcol(c), dtype_of(df, c)) for c in columns}
     if pairs is None:
         pairs = [(a, b) for a in columns for b in columns if a < b]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    proj = df.select(*[exprs[c].alias(f"c{i}") for i, c in enumerate(columns)])
+    proj = df.select(*[exprs[c].cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     idx = {c: i for i, c in enumerate(columns)}
+    if method == "gram":
+        return _gram_corr(proj, columns, pairs, idx)
     parts = []
     for start in range(0, len(pairs), CORR_CHUNK):
         chunk = pairs[start:start + CORR_CHUNK]
@@ -187,6 +195,50 @@ def correlation_matrix(df: DataFrame, columns: list[str], exprs: dict[str, Colum
     return out
 
 
+def _gram_corr(proj: DataFrame, columns: list[str], pairs: list[tuple[str, str]], idx: dict[str, int]) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    k = len(columns)
+    means_row = proj.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).collect()[0]
+    shift = np.array([means_row[f"m{i}"] or 0.0 for i in range(k)], dtype=np.float64)
+    ii = np.array([idx[a] for a, _ in pairs])
+    jj = np.array([idx[b] for _, b in pairs])
+
+    def partial(it):
+        acc = None
+        for pdf in it:
+            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            m = ~np.isnan(x)
+            x0 = np.where(m, x - shift, 0.0)
+            mf = m.astype(np.float64)
+            n = mf.T @ mf                    # [a, b]: rows with both present
+            sa = x0.T @ mf                   # [a, b]: sum of a over rows where b is present
+            saa = (x0 * x0).T @ mf
+            sab = x0.T @ x0
+            cur = (n, sa, saa, sab)
+            acc = cur if acc is None else tuple(p + q for p, q in zip(acc, cur))
+        if acc is None:
+            return
+        n, sa, saa, sab = acc
+        yield pd.DataFrame({"i": ii, "j": jj, "n": n[ii, jj], "sa": sa[ii, jj], "sb": sa[jj, ii],
+                            "saa": saa[ii, jj], "sbb": saa[jj, ii], "sab": sab[ii, jj]})
+
+    parts = proj.mapInPandas(partial, "i long, j long, n double, sa double, sb double, saa double, sbb double, "
+                                      "sab double")
+    tot = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    n = F.col("n")
+    cov = (F.col("sab") - F.col("sa") * F.col("sb") / n) / (n - 1)
+    va = (F.col("saa") - F.col("sa") * F.col("sa") / n) / (n - 1)
+    vb = (F.col("sbb") - F.col("sb") * F.col("sb") / n) / (n - 1)
+    den = F.sqrt(F.greatest(va, F.lit(0.0))) * F.sqrt(F.greatest(vb, F.lit(0.0)))
+    r = F.when((n >= 2) & (den > 0), cov / den)
+    names = F.array(*[F.lit(c) for c in columns])
+    return tot.select(F.element_at(names, (F.col("i") + 1).cast("int")).alias("col_a"),
+                      F.element_at(names, (F.col("j") + 1).cast("int")).alias("col_b"),
+                      F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias("corr"))
+
+
 def correlation_flags(df: DataFrame, target: str, *, threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
     """Pairs with |r| >= threshold over all columns coerced to numbers.
 
