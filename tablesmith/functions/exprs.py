@@ -125,8 +125,9 @@ def to_ts(c: Column, dt: T.DataType | None = None) -> Column:
     if dt is not None and not is_string(dt):
         return F.lit(None).cast("timestamp_ntz")
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.when(s.rlike(DATETIME_SHAPES[f]), F.try_to_timestamp(s, F.lit(f)))
-                        for f in DATETIME_FORMATS]).cast("timestamp_ntz")
+    parsed = F.coalesce(*[F.when(s.rlike(DATETIME_SHAPES[f]), F.try_to_timestamp(s, F.lit(f)))
+                          for f in DATETIME_FORMATS]).cast("timestamp_ntz")
+    return F.when(s.rlike(r"^\d"), parsed)  # every shape starts with a digit: one cheap test for other text
 
 
 def datetime_parts(c: Column, dt: T.DataType | None = None) -> dict[str, Column]:

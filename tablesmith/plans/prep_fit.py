@@ -424,8 +424,11 @@ def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train", keep: list[st
     outputs = set(expressions({f.name: f.dataType for f in df.schema.fields}, spec, "coerce")[0]) | set(
         spec.output_columns)
     passthrough = [c for c in df.columns if (c not in spec.input_columns or c in keep) and c not in outputs]
-    if mode == "train" and spec.target in df.columns:
-        df = df.where(qcol(spec.target).isNotNull())
+    if mode == "train":
+        # training rows are exactly the fit-time columns: de-duplication must not see columns the spec never saw
+        df = df.select(*[qcol(c) for c in spec.input_columns if c in df.columns])
+        if spec.target in df.columns:
+            df = df.where(qcol(spec.target).isNotNull())
     df = ops.drop_columns(df, [c for c in spec.dropped_columns if not (mode == "score" and c in passthrough)])
     if mode == "train":
         df = df.dropDuplicates()

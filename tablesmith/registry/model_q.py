@@ -84,8 +84,9 @@ def q_model_linreg(spark, sf_dir):
     ft = feature_table(li, "l_extendedprice", "regression", features=["l_quantity"], cv=3)
     fm = fit_final_model(ft, "LinearRegression")
     m = fm.spark_model
-    return ft.df.limit(1).select(F.round(F.lit(float(m.coefficients[0])), 4).alias("slope"),
-                                 F.round(F.lit(float(m.intercept)), 4).alias("intercept"))
+    return ft.df.agg(F.count(F.lit(1)).alias("_n")).select(
+        F.round(F.lit(float(m.coefficients[0])), 4).alias("slope"), F.round(F.lit(float(m.intercept)), 4).alias(
+            "intercept"))
 
 
 @register("feature_matrix", """
