@@ -13,6 +13,8 @@ from tablesmith.functions.exprs import hash_fraction_key, qcol
 
 # Upper bound of strata x sub-buckets for the broadcast offset table of stratified folds.
 MAX_OFFSET_ROWS = 5_000_000
+ROWS_PER_BUCKET = 2_000_000    # rows ranked by one window task at most (per class and bucket)
+MAX_BUCKETS = 4096
 
 
 def hash_folds(df: DataFrame, key: str, k: int = 3, out: str = "fold") -> DataFrame:
@@ -20,15 +22,24 @@ def hash_folds(df: DataFrame, key: str, k: int = 3, out: str = "fold") -> DataFr
     return df.withColumn(out, (hash_fraction_key(qcol(key)) % k).cast("int"))
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, k: int = 3, buckets: int = 8,
+def auto_buckets(df: DataFrame, label: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets so that the largest class splits into windows of at most ``rows_per_bucket`` rows."""
+    top = df.groupBy(qcol(label)).count().agg(F.max("count")).collect()[0][0] or 0
+    return int(min(MAX_BUCKETS, max(1, -(-top // rows_per_bucket))))
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 3, buckets: int | str = "auto",
                      out: str = "fold") -> DataFrame:
     """Within each class, rows ranked by ``(h % buckets, h, key)`` with ``h`` the md5 hash of the key, and
     ``fold = rank % k`` — class shares per fold differ by at most one row.
 
     A class may hold a third of all rows, so the rank is not one window over the class: rows are split into
-    ``buckets`` sub-buckets by hash, ranked inside ``(label, bucket)`` and shifted by the row count of the earlier
+    ``buckets`` sub-buckets by hash (``"auto"``: enough that the largest class gives windows of at most
+    ``ROWS_PER_BUCKET`` rows), ranked inside ``(label, bucket)`` and shifted by the row count of the earlier
     sub-buckets of the same class (a table of classes x buckets rows, broadcast after its size is checked).
     """
+    if buckets == "auto":
+        buckets = auto_buckets(df, label)
     h = hash_fraction_key(qcol(key))
     base = df.withColumn("__h", h).withColumn("__b", (F.col("__h") % buckets).cast("int"))
     counts = base.groupBy(qcol(label).alias("__y"), "__b").agg(F.count(F.lit(1)).alias("__n"))

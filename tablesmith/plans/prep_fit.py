@@ -25,6 +25,7 @@ from tablesmith.plans.spec import MAX_ONEHOT_CARDINALITY, PrepPlan, PrepSpec
 from tablesmith.session import persist
 
 DATETIME_SHARE = 0.9
+BROADCAST_MAX_ROWS = 100_000   # lookup tables up to this size (checked at fit time) are broadcast
 STAGES = ("coerce", "fill", "encode", "clip", "scale")
 
 
@@ -59,15 +60,22 @@ def structure_stats(df: DataFrame) -> dict[str, dict]:
     return out
 
 
-def text_cardinality(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Distinct non-null count of text columns (one histogram shuffle on ``(column, value)``)."""
+def text_cardinality(df: DataFrame, cols: list[str], exact_below: int = 4 * MAX_ONEHOT_CARDINALITY
+                     ) -> dict[str, int]:
+    """Distinct non-null count of text columns, exact wherever the plan rule (<= 1 or > 50 values) can depend on
+    it: an HLL sketch pass first (mergeable, no value shuffle), then an exact ``(column, value)`` count only for
+    the columns whose estimate is below ``exact_below``.  ID-like columns never pay a full distinct shuffle."""
     if not cols:
         return {}
-    structs = [F.struct(F.lit(c).alias("k"), qcol(c).alias("v")) for c in cols]
-    long = df.select(F.inline(F.array(*structs)))
-    rows = long.groupBy("k").agg(F.count_distinct("v").alias("n")).collect()
-    out = {c: 0 for c in cols}
-    out.update({r["k"]: r["n"] for r in rows})
+    row = df.agg(*[F.approx_count_distinct(qcol(c), 0.02).alias(f"a{i}") for i, c in enumerate(cols)]).collect()[0]
+    out = {c: int(row[f"a{i}"]) for i, c in enumerate(cols)}
+    small = [c for c in cols if out[c] < exact_below]
+    if small:
+        structs = [F.struct(F.lit(c).alias("k"), qcol(c).alias("v")) for c in small]
+        long = df.select(F.inline(F.array(*structs)))
+        exact = {r["k"]: r["n"] for r in long.groupBy("k").agg(F.count_distinct("v").alias("n")).collect()}
+        for c in small:
+            out[c] = exact.get(c, 0)
     return out
 
 
@@ -233,7 +241,7 @@ def _with_lookups(df: DataFrame, spec: PrepSpec, types: dict[str, T.DataType]) -
         cur, _ = expressions(types, spec, "fill")
         key = cur[c].cast("string")
         lk = spark.read.parquet(entry["path"]).select(F.col("v").alias(f"__k_{c}"), F.col("mean").alias(f"__te_{c}"))
-        if entry.get("size", 0) <= 1_000_000:
+        if entry.get("size", 0) <= BROADCAST_MAX_ROWS:
             lk = F.broadcast(lk)
         df = df.join(lk, key == F.col(f"__k_{c}"), "left").drop(f"__k_{c}")
     return df
