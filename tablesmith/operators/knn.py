@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.exprs import hash_fraction_key, qcol
-from tablesmith.session import persist
 
 BLOCK_ROWS = 20_000          # corpus rows per (cell, block) group
 ROWS_PER_PIVOT = 2_000
@@ -77,7 +76,8 @@ def knn_predict(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
             pdf = pdf.assign(cell=cell.astype("int32"), dp=d[np.arange(len(cell)), cell])
             yield pdf
 
-    assigned = persist(c.mapInPandas(assign, f"tid long, tvec array<double>, label {label_type}, cell int, dp double"))
+    # not cached: the assignment is a cheap numpy pass, recomputed by the stats job and by the block job
+    assigned = c.mapInPandas(assign, f"tid long, tvec array<double>, label {label_type}, cell int, dp double")
     stats = {r["cell"]: (r["n"], r["radius"]) for r in
              assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("radius")).collect()}
     blocks = {cell: max(1, math.ceil(n / BLOCK_ROWS)) for cell, (n, _r) in stats.items()}

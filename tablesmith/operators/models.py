@@ -29,8 +29,13 @@ SEARCH_SPACES = {
     "KNN": {"n_neighbors": ("int", 3, 15), "weights": ("choice", ["uniform", "distance"])},
 }
 
-# Spark's tree depth limit is 30; an unlimited-depth forest is capped here.
-DEFAULT_FOREST_DEPTH = 15
+# Spark's tree depth limit is 30; an unlimited-depth forest is capped here (model size, and so driver memory and
+# the broadcast for scoring, grows with 2^depth per tree).
+DEFAULT_FOREST_DEPTH = 10
+# Memory for the per-level split statistics of tree learners, per task (Spark default 256 MB); bounded so that every
+# task slot of an executor can hold its share and several fits can run
+# side by side.
+TREE_MEMORY_MB = 32
 
 
 @dataclass
@@ -64,12 +69,12 @@ def build_estimator(model_id: str, problem_type: str, params: dict | None = None
         return LinearRegression(regParam=0.0, solver="normal", fitIntercept=bool(p.get("fit_intercept", True)))
     if model_id == "RandomForest":
         kw = dict(numTrees=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", DEFAULT_FOREST_DEPTH)),
-                  seed=seed)
+                  seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
         return RandomForestClassifier(**kw) if clf else RandomForestRegressor(featureSubsetStrategy="all", **kw)
     if model_id in ("GradientBoosting", "GradientBoostingDeep"):
         deep = model_id == "GradientBoostingDeep"
         kw = dict(stepSize=float(p.get("learning_rate", 0.1)), maxIter=int(p.get("n_estimators", 100)),
-                  maxDepth=int(p.get("max_depth", 6 if deep else 3)), seed=seed)
+                  maxDepth=int(p.get("max_depth", 6 if deep else 3)), seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
         if deep:
             kw["subsamplingRate"] = 0.8
         if clf:

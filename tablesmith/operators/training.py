@@ -39,6 +39,9 @@ class FeatureTable:
     n_rows: int
     extra: dict = field(default_factory=dict)
 
+    def release(self) -> None:
+        self.df.unpersist()
+
 
 def feature_table(df: DataFrame, target: str, problem_type: str, features: list[str] | None = None,
                   cv: int = 3, labels: list | None = None) -> FeatureTable:
@@ -58,15 +61,18 @@ def feature_table(df: DataFrame, target: str, problem_type: str, features: list[
         y = qcol(target).cast("double")
     # content hash as the row key: reproducible folds without relying on row order or partitioning
     key = F.xxhash64(*[qcol(c) for c in df.columns])
-    base = df.select(key.alias("row_id"), *cols, y.alias("label"))
+    # materialised once: the fold assignment reads it three times (class counts, offsets, ranking window)
+    base = persist(df.select(key.alias("row_id"), *cols, y.alias("label")))
+    base.count()
     if problem_type == "classification":
-        base = stratified_folds(base, "row_id", "label", k=cv)
+        folded = stratified_folds(base, "row_id", "label", k=cv)
     else:
-        base = hash_folds(base, "row_id", k=cv)
+        folded = hash_folds(base, "row_id", k=cv)
     vec = VectorAssembler(inputCols=[f"f{i}" for i in range(len(feats))], outputCol="features",
-                          handleInvalid="error").transform(base).select("row_id", "features", "label", "fold")
+                          handleInvalid="error").transform(folded).select("row_id", "features", "label", "fold")
     vec = persist(vec)
     n = vec.count()
+    base.unpersist()
     return FeatureTable(vec, feats, medians, labels, problem_type, n)
 
 
@@ -118,7 +124,7 @@ def score_predictions(pred: DataFrame, ft: FeatureTable) -> DataFrame:
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics])))
 
 
-def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3, parallelism: int = 4) -> DataFrame:
+def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3, parallelism: int = 2) -> DataFrame:
     """K-fold CV of every slot; a failing model is logged and skipped.  Returns the long score table
     ``(model_id, fold, metric, score, seq)``, already computed (cached) so later reads are free."""
     models = models or slots(ft.problem_type)
@@ -139,12 +145,15 @@ def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3,
     for p in preds[1:]:
         allp = allp.unionByName(p)
     seq = F.create_map(*[x for m, s in seqs for x in (F.lit(m), F.lit(s))])
-    scores = score_predictions(allp, ft).withColumn("seq", seq[F.col("model_id")])
-    return persist(scores)
+    scores = persist(score_predictions(allp, ft).withColumn("seq", seq[F.col("model_id")]))
+    scores.count()
+    for p in preds:
+        p.unpersist()
+    return scores
 
 
 def tune_model(ft: FeatureTable, model_id: str, metric: str, cv: int = 3, n_trials: int = 10, seed: int = 42,
-               parallelism: int = 4) -> tuple[DataFrame, dict]:
+               parallelism: int = 2) -> tuple[DataFrame, dict]:
     """Seeded random search; each trial is cross-validated on the same folds, a failing trial scores +/-inf;
     the best trial's fold scores (all metrics) are returned under ``"<model_id> (Tuned)"`` with its parameters."""
     trials = sample_params(model_id, n_trials, seed)
@@ -168,8 +177,9 @@ def tune_model(ft: FeatureTable, model_id: str, metric: str, cv: int = 3, n_tria
         return v if smaller else -v
     best_params = sorted(enumerate(results), key=lambda ir: (key(ir[1]), ir[0]))[0][1][0]
     p = cv_predictions(ft, model_id, best_params, cv)
-    scores = score_predictions(p, ft).withColumn("model_id", F.lit(f"{model_id} (Tuned)"))
-    return persist(scores), best_params
+    scores = persist(score_predictions(p, ft).withColumn("model_id", F.lit(f"{model_id} (Tuned)")))
+    scores.count()
+    return scores, best_params
 
 
 @dataclass

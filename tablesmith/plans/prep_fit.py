@@ -171,10 +171,8 @@ def _lit_fill(value, kind: str) -> Column:
     return F.lit(value)
 
 
-def expressions(types: dict[str, T.DataType], spec: PrepSpec, upto: str = "scale"
-                ) -> tuple[dict[str, Column], dict[str, str]]:
-    """Ordered ``{output name: expression}`` and ``{name: kind}`` (num / str / other / target) after ``upto``."""
-    stop = STAGES.index(upto)
+def _coerce_stage(types: dict[str, T.DataType], spec: PrepSpec) -> tuple[dict[str, Column], dict[str, str]]:
+    """Stage 0 expressions over the input columns (datetime text already parsed into ``__ts_<col>``)."""
     cur: dict[str, Column] = {}
     kind: dict[str, str] = {}
     for c in spec.input_columns:
@@ -191,59 +189,95 @@ def expressions(types: dict[str, T.DataType], spec: PrepSpec, upto: str = "scale
             cur[c], kind[c] = qcol(c), "other"
     for c in spec.datetime_columns:
         if c in types:
-            for part, e in datetime_parts(qcol(c), types[c]).items():
+            for part, e in datetime_parts(qcol(f"__ts_{c}"), T.TimestampNTZType()).items():
                 cur[f"{c}_{part}"], kind[f"{c}_{part}"] = e, "num"
+    return cur, kind
+
+
+def staged(df: DataFrame, spec: PrepSpec, upto: str = "scale", keep: list[str] | tuple = ()
+           ) -> tuple[DataFrame, dict[str, str]]:
+    """The prepared columns after stage ``upto`` (coerce, fill, encode, clip, scale) as a DataFrame, plus
+    ``{name: kind}`` (num / str / other / target).  Fit and apply both use this one builder.
+
+    Every stage is its own projection over the previous stage's columns *by name*, so an expression is never
+    re-nested into the next one (a clip reads its input three times; nesting parse -> fill -> clip -> scale would
+    grow the generated code multiplicatively).  ``keep`` columns pass through every stage unchanged."""
+    stop = STAGES.index(upto)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    keep = [k for k in keep if k in df.columns]
+    kept = [qcol(k) for k in keep]
+    parsed = [to_ts(qcol(c), types[c]).alias(f"__ts_{c}") for c in spec.datetime_columns if c in types]
+    src = df.select("*", *parsed) if parsed else df
+    cur, kind = _coerce_stage(types, spec)
+    out = src.select(*kept, *[e.alias(n) for n, e in cur.items()])
+    names = list(cur)
     if stop < 1:
-        return cur, kind
-    for c, v in spec.fills.items():
-        if c in cur and v is not None and kind[c] != "target":
-            cur[c] = F.coalesce(cur[c], _lit_fill(v, kind[c]))
+        return out, kind
+    fills = {n: v for n, v in spec.fills.items() if n in kind and v is not None and kind[n] != "target"}
+    out = out.select(*kept, *[(F.coalesce(qcol(n), _lit_fill(fills[n], kind[n])) if n in fills else qcol(n)).alias(n)
+                              for n in names])
     if stop < 2:
-        return cur, kind
+        return out, kind
+    out = _with_lookups(out, spec)
+    new: dict[str, Column] = {}
     tail: dict[str, Column] = {}
-    for c, cats in spec.onehot.items():
-        if c in cur:
-            e = cur.pop(c)
-            kind.pop(c)
-            for name, x in ops.onehot_exprs(e, c, cats).items():
+    for n in names:
+        if n in spec.onehot:
+            kind.pop(n)
+            for name, x in ops.onehot_exprs(qcol(n), n, spec.onehot[n]).items():
                 tail[name] = x.cast("double")
                 kind[name] = "num"
-    for c, cats in spec.ordinal.items():
-        if c in cur:
-            cur[c], kind[c] = ops.ordinal_expr(cur[c], cats), "num"
-    for c, entry in spec.target_maps.items():
-        if c in cur:
+        elif n in spec.ordinal:
+            new[n], kind[n] = ops.ordinal_expr(qcol(n), spec.ordinal[n]), "num"
+        elif n in spec.target_maps:
+            entry = spec.target_maps[n]
             if "path" in entry:
-                cur[c] = F.coalesce(F.col(f"__te_{c}"), F.lit(entry["global_mean"]).cast("double"))
+                new[n] = F.coalesce(F.col(f"__te_{n}"), F.lit(entry["global_mean"]).cast("double"))
             else:
-                cur[c] = ops.target_expr(cur[c], entry)
-            kind[c] = "num"
-    cur.update(tail)
+                new[n] = ops.target_expr(qcol(n), entry)
+            kind[n] = "num"
+        else:
+            new[n] = qcol(n)
+    new.update(tail)
+    out = out.select(*kept, *[e.alias(n) for n, e in new.items()])
+    names = list(new)
     if stop < 3:
-        return cur, kind
-    for c, (lo, hi) in spec.clip_bounds.items():
-        if c in cur:
-            cur[c] = clip_expr(cur[c], lo, hi)
+        return out, kind
+    out = out.select(*kept, *[(clip_expr(qcol(n), *spec.clip_bounds[n]) if n in spec.clip_bounds else qcol(n))
+                              .alias(n) for n in names])
     if stop < 4:
-        return cur, kind
-    for c, (_s, center, sc) in spec.scalers.items():
-        if c in cur:
-            cur[c] = scale_expr(cur[c], center, sc)
-    return cur, kind
+        return out, kind
+    out = out.select(*kept, *[(scale_expr(qcol(n), spec.scalers[n][1], spec.scalers[n][2]) if n in spec.scalers
+                               else qcol(n)).alias(n) for n in names])
+    return out, kind
+
+
+def output_names(spec: PrepSpec, types: dict[str, T.DataType], upto: str = "scale") -> list[str]:
+    """Output column names after a stage, without building a DataFrame."""
+    cur, kind = _coerce_stage(types, spec)
+    names = list(cur)
+    if STAGES.index(upto) < 2:
+        return names
+    out, tail = [], []
+    for n in names:
+        if n in spec.onehot:
+            tail += [ops.onehot_name(n, cat) for cat in spec.onehot[n]]
+        else:
+            out.append(n)
+    return out + tail
 
 
-def _with_lookups(df: DataFrame, spec: PrepSpec, types: dict[str, T.DataType]) -> DataFrame:
-    """Join stored target-encoding lookup tables (large category sets) as ``__te_<col>`` columns."""
+def _with_lookups(df: DataFrame, spec: PrepSpec) -> DataFrame:
+    """Join stored target-encoding lookup tables (large category sets) as ``__te_<col>`` columns, keyed on the
+    filled column; broadcast only when the size recorded at fit time is small."""
     spark = df.sparkSession
     for c, entry in spec.target_maps.items():
         if "path" not in entry or c not in df.columns:
             continue
-        cur, _ = expressions(types, spec, "fill")
-        key = cur[c].cast("string")
         lk = spark.read.parquet(entry["path"]).select(F.col("v").alias(f"__k_{c}"), F.col("mean").alias(f"__te_{c}"))
         if entry.get("size", 0) <= BROADCAST_MAX_ROWS:
             lk = F.broadcast(lk)
-        df = df.join(lk, key == F.col(f"__k_{c}"), "left").drop(f"__k_{c}")
+        df = df.join(lk, qcol(c).cast("string") == F.col(f"__k_{c}"), "left").drop(f"__k_{c}")
     return df
 
 
@@ -298,7 +332,8 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
 
     # fills (datetime parts get a median unless the plan says otherwise; the plan copy is what changes)
     impute = dict(plan.impute)
-    cur, kind = expressions(types, spec, "coerce")
+    work, kind = staged(base, spec, "coerce")
+    cur = {n: qcol(n) for n in kind}
     for c in spec.datetime_columns:
         for part in ("year", "month", "day", "dayofweek"):
             impute.setdefault(f"{c}_{part}", "median")
@@ -313,10 +348,10 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
     mode_cols = [c for c, s in strategies.items() if s == "mode"]
     # one histogram job gives the modes and the categories (a mode fill adds no new category)
     hist_cols = list(dict.fromkeys(mode_cols + cat_cols))
-    vs = ops.value_summary(base, {c: cur[c] for c in hist_cols}, numeric, categories_for=cat_cols,
+    vs = ops.value_summary(work, {c: cur[c] for c in hist_cols}, numeric, categories_for=cat_cols,
                            known_small=frozenset(known_small)) if hist_cols else {}
     other = {c: s for c, s in strategies.items() if s != "mode"}
-    spec.fills = ops.fit_fills(base, {c: cur[c] for c in other}, other, numeric, plan.fill_values, method)
+    spec.fills = ops.fit_fills(work, {c: cur[c] for c in other}, other, numeric, plan.fill_values, method)
     for c in mode_cols:
         m = vs.get(c, {}).get("mode")
         spec.fills[c] = 0.0 if m is None else (float(m) if numeric.get(c) else str(m))
@@ -330,17 +365,17 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
         if vs[c]["has_null"] and fill is not None and fill not in cats:
             cats = sorted(cats + [float(fill) if numeric.get(c) else fill])
         (spec.onehot if enc[c] == "onehot" else spec.ordinal)[c] = cats
-    cur, kind = expressions(types, spec, "fill")
     te_cols = [c for c, s in enc.items() if s == "target"]
     if te_cols:
-        spec.target_maps = ops.fit_target_means(base, {c: cur[c] for c in te_cols}, qcol(target))
+        work, kind = staged(base, spec, "fill")
+        spec.target_maps = ops.fit_target_means(work, {c: qcol(c) for c in te_cols}, qcol(target))
     spec.encoded_columns = [c for c in spec.ordinal] + [c for c in spec.target_maps] + [
         ops.onehot_name(c, cat) for c, cats in spec.onehot.items() for cat in cats]
-    work = _with_lookups(base, spec, types)
 
     # clipping: numeric features; by default not encoded columns, original booleans or two-valued columns
-    cur, kind = expressions(types, spec, "encode")
-    num_cols = [c for c in cur if kind[c] == "num"]
+    work, kind = staged(base, spec, "encode")
+    cur = {n: qcol(n) for n in work.columns}
+    num_cols = [c for c in cur if kind.get(c) == "num"]
     if plan.iqr_k is not None and num_cols:
         cands = [c for c in num_cols if plan.clip_encoded or (c not in spec.encoded_columns
                                                               and c not in spec.bool_columns)]
@@ -349,10 +384,9 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
                                          skip_two_valued=not plan.clip_encoded)
 
     # scaling over clipped values
-    cur, kind = expressions(types, spec, "clip")
-    spec.scalers = ops.fit_scalers(work, {c: cur[c] for c in num_cols}, plan.scale_strategy, method)
-    cur, _ = expressions(types, spec, "scale")
-    spec.output_columns = list(cur)
+    work, kind = staged(base, spec, "clip")
+    spec.scalers = ops.fit_scalers(work, {c: qcol(c) for c in num_cols}, plan.scale_strategy, method)
+    spec.output_columns = output_names(spec, types)
     if return_base:
         return spec, base
     base.unpersist()
@@ -429,7 +463,7 @@ def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train", keep: list[st
         else:
             casts.append(qcol(f.name))
     df = nan_to_null(df.select(*casts))
-    outputs = set(expressions({f.name: f.dataType for f in df.schema.fields}, spec, "coerce")[0]) | set(
+    outputs = set(output_names(spec, {f.name: f.dataType for f in df.schema.fields}, "coerce")) | set(
         spec.output_columns)
     passthrough = [c for c in df.columns if (c not in spec.input_columns or c in keep) and c not in outputs]
     if mode == "train":
@@ -440,11 +474,8 @@ def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train", keep: list[st
     df = ops.drop_columns(df, [c for c in spec.dropped_columns if not (mode == "score" and c in passthrough)])
     if mode == "train":
         df = df.dropDuplicates()
-    types = {f.name: f.dataType for f in df.schema.fields}
-    df = _with_lookups(df, spec, types)
-    cur, _ = expressions(types, spec, "scale")
-    keep = [qcol(c) for c in passthrough] if mode == "score" else []
-    return df.select(*keep, *[e.alias(n) for n, e in cur.items()])
+    out, _ = staged(df, spec, "scale", keep=passthrough if mode == "score" else ())
+    return out
 
 
 def prep_dataframe(df: DataFrame, target: str, plan: PrepPlan | None = None) -> tuple[DataFrame, PrepSpec]:

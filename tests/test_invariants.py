@@ -8,7 +8,7 @@ from tablesmith.operators.folds import hash_folds, stratified_folds
 from tablesmith.operators.quantiles import quantiles
 from tablesmith.operators.rules import validate_metric
 from tablesmith.operators.selection import determine_k
-from tablesmith.plans.prep_fit import apply_prep, expressions, fit_prep
+from tablesmith.plans.prep_fit import apply_prep, fit_prep, output_names, staged
 from tablesmith.plans.spec import PrepPlan, PrepSpec
 from tablesmith.sources.fixtures import dirty
 from tablesmith.sources.tables import load_table
@@ -122,5 +122,5 @@ def test_determine_k_and_metric_family():
 def test_expressions_are_shared_between_fit_and_apply(fitted):
     d, spec = fitted
     types = {f.name: f.dataType for f in d.schema.fields}
-    cur, _ = expressions(types, spec, "scale")
-    assert list(cur) == spec.output_columns
+    out, _ = staged(d, spec, "scale")
+    assert out.columns == spec.output_columns == output_names(spec, types)
