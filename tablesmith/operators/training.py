@@ -24,7 +24,7 @@ from tablesmith.operators.labels import encode_expr, fit_labels
 from tablesmith.operators.models import KNNConfig, build_estimator, sample_params, slots
 from tablesmith.operators.quantiles import quantiles
 from tablesmith.operators.selection import numeric_features
-from tablesmith.session import persist
+from tablesmith.session import cut_lineage, persist
 
 log = logging.getLogger(__name__)
 
@@ -124,39 +124,43 @@ def score_predictions(pred: DataFrame, ft: FeatureTable) -> DataFrame:
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics])))
 
 
-def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3, parallelism: int = 2) -> DataFrame:
+def default_parallelism(spark) -> int:
+    """Concurrent fits: one per 4 GB of driver heap (fitted trees live on the driver), between 1 and 4."""
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    return int(max(1, min(4, heap // (4 * 2**30))))
+
+
+def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3,
+                parallelism: int | None = None) -> DataFrame:
     """K-fold CV of every slot; a failing model is logged and skipped.  Returns the long score table
     ``(model_id, fold, metric, score, seq)``, already computed (cached) so later reads are free."""
     models = models or slots(ft.problem_type)
+    parallelism = parallelism or default_parallelism(ft.df.sparkSession)
     preds = []
-    seqs = []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         for i, m in enumerate(models):
             try:
-                p = persist(cv_predictions(ft, m, None, cv, pool))
-                p.count()
-                preds.append(p)
-                seqs.append((m, i + 1))
+                # score right away and checkpoint the small score table: the lineage (and with it the fitted
+                # fold models, e.g. 3 x 100 trees) is released before the next model is fitted
+                sc = cut_lineage(score_predictions(cv_predictions(ft, m, None, cv, pool), ft)
+                                 .withColumn("seq", F.lit(i + 1)))
+                preds.append(sc)
             except Exception as e:  # noqa: BLE001 - one failing model must not stop the battery
                 log.warning("model %s failed: %s", m, e)
     if not preds:
         raise RuntimeError("every model of the battery failed")
-    allp = preds[0]
+    scores = preds[0]
     for p in preds[1:]:
-        allp = allp.unionByName(p)
-    seq = F.create_map(*[x for m, s in seqs for x in (F.lit(m), F.lit(s))])
-    scores = persist(score_predictions(allp, ft).withColumn("seq", seq[F.col("model_id")]))
-    scores.count()
-    for p in preds:
-        p.unpersist()
+        scores = scores.unionByName(p)
     return scores
 
 
 def tune_model(ft: FeatureTable, model_id: str, metric: str, cv: int = 3, n_trials: int = 10, seed: int = 42,
-               parallelism: int = 2) -> tuple[DataFrame, dict]:
+               parallelism: int | None = None) -> tuple[DataFrame, dict]:
     """Seeded random search; each trial is cross-validated on the same folds, a failing trial scores +/-inf;
     the best trial's fold scores (all metrics) are returned under ``"<model_id> (Tuned)"`` with its parameters."""
     trials = sample_params(model_id, n_trials, seed)
+    parallelism = parallelism or default_parallelism(ft.df.sparkSession)
     smaller = metric in M.SMALLER_IS_BETTER
     results = []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -177,8 +181,7 @@ def tune_model(ft: FeatureTable, model_id: str, metric: str, cv: int = 3, n_tria
         return v if smaller else -v
     best_params = sorted(enumerate(results), key=lambda ir: (key(ir[1]), ir[0]))[0][1][0]
     p = cv_predictions(ft, model_id, best_params, cv)
-    scores = persist(score_predictions(p, ft).withColumn("model_id", F.lit(f"{model_id} (Tuned)")))
-    scores.count()
+    scores = cut_lineage(score_predictions(p, ft).withColumn("model_id", F.lit(f"{model_id} (Tuned)")))
     return scores, best_params
 
 
