@@ -6,12 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Proxy headers scanned for the client address, in order; default address; browser / OS tests in order.
+# Proxy headers scanned for the client address, in order; default address; OS tests in order.
 IP_HEADERS = ["x-forwarded-for", "cf-connecting-ip", "x-real-ip", "client-ip", "true-client-ip", "x-client-ip",
               "forwarded"]
 DEFAULT_IP = "127.0.0.1"
-BROWSER_RULES = [("Edge", ["edg/", "edge"], []), ("Chrome", ["chrome&safari"], []), ("Safari", ["safari"], ["chrome"]),
-                 ("Firefox", ["firefox"], []), ("Opera", ["opera", "opr/"], [])]
 OS_RULES = [("Windows", ["windows"]), ("macOS", ["macintosh", "mac os x"]), ("Linux", ["linux"]),
             ("Android", ["android"]), ("iOS", ["iphone", "ipad"])]
 

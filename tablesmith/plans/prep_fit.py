@@ -20,7 +20,6 @@ from tablesmith.functions.exprs import (
     scale as scale_expr, to_num, to_ts,
 )
 from tablesmith.operators import prep as ops
-from tablesmith.operators.quantiles import quantiles
 from tablesmith.plans.spec import MAX_ONEHOT_CARDINALITY, PrepPlan, PrepSpec
 from tablesmith.session import persist
 
