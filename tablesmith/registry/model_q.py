@@ -214,3 +214,19 @@ def q_fold_state_stream(spark, sf_dir):
         .option("checkpointLocation", ck).trigger(availableNow=True).start()
     qy.awaitTermination()
     return spark.table(name)
+
+
+@register("battery_summary")
+def q_battery_summary(spark, sf_dir):
+    """PIPE-5 + A20: the end-to-end run over two tables (classification on ``dirty``, regression on a ``lineitem``
+    projection), one summary row each, then the all-passed flag over the summaries."""
+    from tablesmith.plans.run import battery_summary, run_many
+    li = load_table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    datasets = {"dirty": (dirty(spark, sf_dir).drop("leaky_churn_copy"), DIRTY_TARGET),
+                "lineitem": (li, "l_extendedprice")}
+    summary = run_many(spark, datasets, models=None, tune=False, selection="none",
+                       problem_types={"dirty": "classification", "lineitem": "regression"},
+                       models_by_type={"classification": ["LogisticRegression"], "regression": ["LinearRegression"]})
+    flag = battery_summary(summary).collect()[0]
+    return summary.select("dataset", "status", "problem_type", "best_model", "metric",
+                          F.lit(bool(flag["all_passed"])).alias("all_passed"))
