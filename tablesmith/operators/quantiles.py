@@ -4,7 +4,8 @@
 Spark's ``percentile``; ``method="approx"`` uses ``percentile_approx`` with a bounded sketch per column and task, the
 form to use on very large continuous columns.  ``method="bracket"`` is exact with bounded memory: an approximate pass
 brackets each wanted rank, then only the values inside the bracket are counted (value histogram, so a hot value is
-one row) and the exact order statistics are read off that small histogram.
+one row) and the exact order statistics are read off that small histogram.  ``method="auto"`` takes ``exact`` up
+to ``AUTO_EXACT_ROWS`` rows and ``bracket`` above.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10000
-BRACKET_MAX_VALUES = 200_000
+AUTO_EXACT_ROWS = 5_000_000   # "auto": Spark's exact percentile up to this many rows, the bracket method above
+BRACKET_MAX_VALUES = 20_000   # distinct values per bracket collected in the final histogram
 
 
 def _interp(sorted_counts: list[tuple[float, int]], below: int, n: int, p: float) -> float:
@@ -42,6 +44,8 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], metho
     if not exprs:
         return {}
     names = list(exprs)
+    if method == "auto":
+        method = "exact" if df.count() <= AUTO_EXACT_ROWS else "bracket"
     if method == "bracket":
         return _bracket_quantiles(df, exprs, probs, accuracy)
     parr = F.array(*[F.lit(float(p)) for p in probs])
@@ -64,57 +68,73 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], metho
 
 def _bracket_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
                        accuracy: int) -> dict[str, list[float | None]]:
+    """Exact quantiles with bounded memory (see module docstring).
+
+    Each wanted rank r = p (n - 1) needs the order statistics at floor(r) and ceil(r).  A value bracket [lo, hi]
+    holding both is narrowed with approximate quantiles of the rows inside it until it holds at most
+    ``BRACKET_MAX_VALUES`` distinct values (HLL estimate); then the ``(value, count)`` histogram inside the bracket
+    (a hot value is one row) plus the count below it give the exact order statistics.  Every round is two
+    aggregate jobs over all brackets at once; with ``accuracy`` A a round shrinks a bracket about A / 4 times."""
     names = list(exprs)
     proj = df.select(*[exprs[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    # Pass 1: counts and approximate brackets around each wanted rank (rank error of the sketch <= n / accuracy).
-    eps = 1.0 / accuracy
-    lo_p = [max(0.0, p - 2 * eps) for p in probs]
-    hi_p = [min(1.0, p + 2 * eps) for p in probs]
-    aggs = []
-    for i in range(len(names)):
-        v = F.col(f"v{i}")
-        aggs += [F.count(v).alias(f"n{i}"),
-                 F.percentile_approx(v, F.array(*[F.lit(x) for x in lo_p]), accuracy).alias(f"lo{i}"),
-                 F.percentile_approx(v, F.array(*[F.lit(x) for x in hi_p]), accuracy).alias(f"hi{i}"),
-                 F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
-    row = proj.agg(*aggs).collect()[0]
-    out: dict[str, list[float | None]] = {}
-    brackets = []  # (i, j, lo, hi)
+    first = proj.agg(*[x for i in range(len(names)) for x in (
+        F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"mn{i}"), F.max(f"v{i}").alias(f"mx{i}"),
+        F.approx_count_distinct(f"v{i}", 0.05).alias(f"d{i}"))]).collect()[0]
+    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
+    targets = []
     for i, name in enumerate(names):
-        n = row[f"n{i}"]
+        n = first[f"n{i}"]
         if not n:
-            out[name] = [None] * len(probs)
             continue
-        out[name] = [None] * len(probs)
-        for j in range(len(probs)):
-            lo = row[f"lo{i}"][j] if lo_p[j] > 0 else row[f"mn{i}"]
-            hi = row[f"hi{i}"][j] if hi_p[j] < 1 else row[f"mx{i}"]
-            brackets.append((i, j, float(lo), float(hi), n))
-    if not brackets:
-        return out
-    # Pass 2: per bracket, rows strictly below it and the value histogram inside it.
+        for j, p in enumerate(probs):
+            r = p * (n - 1)
+            targets.append({"i": i, "j": j, "n": n, "lo_rank": math.floor(r), "hi_rank": math.ceil(r), "p": p,
+                            "lo": first[f"mn{i}"], "hi": first[f"mx{i}"], "below": 0, "inside": n,
+                            "distinct": first[f"d{i}"], "margin": 2.0 / accuracy})
+    for _round in range(8):
+        pending = [t for t in targets if t["distinct"] > BRACKET_MAX_VALUES / 2 and t["lo"] < t["hi"]]
+        if not pending:
+            break
+        aggs = []
+        for k, t in enumerate(pending):
+            v = F.col(f"v{t['i']}")
+            inside = F.when((v >= F.lit(t["lo"])) & (v <= F.lit(t["hi"])), v)
+            m = max(1, t["inside"] - 1)
+            rel_lo = max(0.0, (t["lo_rank"] - t["below"]) / m - t["margin"])
+            rel_hi = min(1.0, (t["hi_rank"] - t["below"]) / m + t["margin"])
+            aggs.append(F.percentile_approx(inside, F.array(F.lit(rel_lo), F.lit(rel_hi)), accuracy).alias(f"b{k}"))
+        brow = proj.agg(*aggs).collect()[0]
+        cand = []
+        for k, t in enumerate(pending):
+            lo2, hi2 = brow[f"b{k}"]
+            cand.append((max(t["lo"], lo2), min(t["hi"], hi2)))
+        caggs = []
+        for k, (t, (lo2, hi2)) in enumerate(zip(pending, cand)):
+            v = F.col(f"v{t['i']}")
+            ins = (v >= F.lit(lo2)) & (v <= F.lit(hi2))
+            caggs += [F.count_if(v < F.lit(lo2)).alias(f"below{k}"), F.count_if(ins).alias(f"in{k}"),
+                      F.approx_count_distinct(F.when(ins, v), 0.05).alias(f"d{k}")]
+        crow = proj.agg(*caggs).collect()[0]
+        for k, (t, (lo2, hi2)) in enumerate(zip(pending, cand)):
+            below, inside = crow[f"below{k}"], crow[f"in{k}"]
+            if below <= t["lo_rank"] and below + inside > t["hi_rank"]:
+                t.update(lo=lo2, hi=hi2, below=below, inside=inside, distinct=crow[f"d{k}"])
+            else:
+                t["margin"] *= 4  # the sketch missed its bound: retry this bracket with a wider margin
+    # final pass: the value histogram inside every bracket
     structs = []
-    for b, (i, j, lo, hi, _n) in enumerate(brackets):
-        v = F.col(f"v{i}")
-        structs.append(F.struct(F.lit(b).alias("b"), F.when(v < F.lit(lo), F.lit(True)).alias("below"),
-                                F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v).alias("v")))
-    long = proj.select(F.inline(F.array(*structs))).where(F.col("below") | F.col("v").isNotNull())
-    below = {r["b"]: r["c"] for r in long.where(F.col("below")).groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-             .collect()}
-    hist = long.where(F.col("v").isNotNull()).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
-    width = {r["b"]: r["w"] for r in hist.groupBy("b").agg(F.count(F.lit(1)).alias("w")).collect()}
-    if any(w > BRACKET_MAX_VALUES for w in width.values()):
-        # Sketch bracket too wide for the driver: fall back to the exact aggregate.
-        exact = quantiles(df, exprs, probs, method="exact")
-        return exact
+    for b, t in enumerate(targets):
+        v = F.col(f"v{t['i']}")
+        structs.append(F.struct(F.lit(b).alias("b"), F.when((v >= F.lit(t["lo"])) & (v <= F.lit(t["hi"])), v)
+                                .alias("v")))
+    if not targets:
+        return out
+    hist = proj.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull()).groupBy("b", "v").agg(
+        F.count(F.lit(1)).alias("c"))
     per_b: dict[int, list[tuple[float, int]]] = {}
     for r in hist.collect():
         per_b.setdefault(r["b"], []).append((r["v"], r["c"]))
-    try:
-        for b, (i, j, lo, hi, n) in enumerate(brackets):
-            counts = sorted(per_b.get(b, []))
-            out[names[i]][j] = _interp(counts, below.get(b, 0), n, probs[j])
-    except ValueError:
-        # The sketch missed its error bound (tiny inputs): use the exact aggregate.
-        return quantiles(df, exprs, probs, method="exact")
+    for b, t in enumerate(targets):
+        counts = sorted(per_b.get(b, []))
+        out[names[t["i"]]][t["j"]] = _interp(counts, t["below"], t["n"], t["p"])
     return out

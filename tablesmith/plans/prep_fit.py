@@ -20,6 +20,7 @@ from tablesmith.functions.exprs import (
     scale as scale_expr, to_num, to_ts,
 )
 from tablesmith.operators import prep as ops
+from tablesmith.operators.quantiles import AUTO_EXACT_ROWS
 from tablesmith.plans.spec import MAX_ONEHOT_CARDINALITY, PrepPlan, PrepSpec
 from tablesmith.session import persist
 
@@ -307,6 +308,9 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
         plan = plan.copy()
     plan.validate(target)
     method = plan.quantiles
+    if method == "auto":  # resolved once from the row count the structure pass already has
+        n_rows = next(iter(stats.values()))["n_rows"] if stats else 0
+        method = "exact" if n_rows <= AUTO_EXACT_ROWS else "bracket"
 
     known_small = set(plan.encode) if inferred else set()
     all_null = [c for c, s in stats.items() if s["n_non_null"] == 0]

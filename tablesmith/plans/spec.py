@@ -34,7 +34,7 @@ class PrepPlan:
     clip_encoded: bool = False      # True: also clip one-hot / ordinal / target-encoded and <= 2-value columns
     impute_all: bool = False        # True: every numeric feature gets a fill, even without nulls at fit time
     dedupe: str = "after_drop"      # or "before_drop"
-    quantiles: str = "exact"        # "exact" | "bracket" | "approx"
+    quantiles: str = "auto"         # "auto" (exact up to 5M rows, else bracket) | "exact" | "bracket" | "approx"
 
     def copy(self) -> "PrepPlan":
         return copy.deepcopy(self)

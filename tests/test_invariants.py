@@ -124,3 +124,16 @@ def test_expressions_are_shared_between_fit_and_apply(fitted):
     types = {f.name: f.dataType for f in d.schema.fields}
     out, _ = staged(d, spec, "scale")
     assert out.columns == spec.output_columns == output_names(spec, types)
+
+
+def test_bracket_narrowing_with_a_hot_value(spark, monkeypatch):
+    import tablesmith.operators.quantiles as Q
+    monkeypatch.setattr(Q, "BRACKET_MAX_VALUES", 50)   # force several narrowing rounds on a small table
+    li = load_table(spark, SF_SMALL, "lineitem").withColumn(
+        "hot", F.when(F.col("l_orderkey") % 3 == 0, F.lit(7.0)).otherwise(F.col("l_extendedprice")))
+    exprs = {"hot": F.col("hot"), "l_partkey": F.col("l_partkey")}
+    probs = [0.0, 0.2, 0.5, 0.77, 1.0]
+    a = quantiles(li, exprs, probs, "exact")
+    b = quantiles(li, exprs, probs, "bracket", accuracy=50)
+    for c in exprs:
+        assert a[c] == pytest.approx(b[c], rel=1e-12)
