@@ -164,7 +164,8 @@ def numeric_view(df: DataFrame) -> dict[str, Column]:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], exprs: dict[str, Column] | None = None,
-                       pairs: list[tuple[str, str]] | None = None, method: str = "gram") -> DataFrame:
+                       pairs: list[tuple[str, str]] | None = None, method: str = "gram",
+                       means: dict[str, float] | None = None) -> DataFrame:
     """Guarded pairwise-complete Pearson r ``(col_a, col_b, corr)`` for a < b; null when a side is constant.
 
     ``method="gram"``: every partition computes, with numpy, masked partial sums of all pairs at once (n, sums,
@@ -180,7 +181,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], exprs: dict[str, Colum
     proj = df.select(*[exprs[c].cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     idx = {c: i for i, c in enumerate(columns)}
     if method == "gram":
-        return _gram_corr(proj, columns, pairs, idx)
+        return _gram_corr(proj, columns, pairs, idx, means)
     parts = []
     for start in range(0, len(pairs), CORR_CHUNK):
         chunk = pairs[start:start + CORR_CHUNK]
@@ -195,13 +196,16 @@ def correlation_matrix(df: DataFrame, columns: list[str], exprs: dict[str, Colum
     return out
 
 
-def _gram_corr(proj: DataFrame, columns: list[str], pairs: list[tuple[str, str]], idx: dict[str, int]) -> DataFrame:
+def _gram_corr(proj: DataFrame, columns: list[str], pairs: list[tuple[str, str]], idx: dict[str, int],
+               means: dict[str, float] | None = None) -> DataFrame:
     import numpy as np
     import pandas as pd
 
     k = len(columns)
-    means_row = proj.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).collect()[0]
-    shift = np.array([means_row[f"m{i}"] or 0.0 for i in range(k)], dtype=np.float64)
+    if means is None:
+        means_row = proj.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).collect()[0]
+        means = {c: means_row[f"m{i}"] for i, c in enumerate(columns)}
+    shift = np.array([means.get(c) or 0.0 for c in columns], dtype=np.float64)
     ii = np.array([idx[a] for a, _ in pairs])
     jj = np.array([idx[b] for _, b in pairs])
 
@@ -248,12 +252,14 @@ def correlation_flags(df: DataFrame, target: str, *, threshold: float = CORRELAT
     if target not in df.columns:
         raise KeyError(f"Target column '{target}' not found in dataset.")
     exprs = numeric_view(df)
-    counts = df.agg(*[F.count(e).alias(f"n{i}") for i, e in enumerate(exprs.values())]).collect()[0]
+    counts = df.agg(*[x for i, e in enumerate(exprs.values())
+                      for x in (F.count(e).alias(f"n{i}"), F.avg(e).alias(f"m{i}"))]).collect()[0]
     cols = [c for i, c in enumerate(exprs) if counts[f"n{i}"] >= 2]
     empty = df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     if target not in cols:
         return empty
-    m = correlation_matrix(df, cols, exprs)
+    means = {c: counts[f"m{i}"] for i, c in enumerate(exprs)}
+    m = correlation_matrix(df, cols, exprs, means=means)
     r = rnd(F.col("corr"), ROUND_DIGITS)
     return m.where(F.col("corr").isNotNull() & (F.abs(F.col("corr")) >= threshold)).select(
         "col_a", "col_b", r.alias("corr"))
