@@ -98,10 +98,36 @@ def infer_dtypes(df: DataFrame) -> DataFrame:
 
 
 def cardinality(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
-    """A3: ``(column_name, cardinality LONG)`` distinct non-null values per column."""
-    long = unpivot_as_text(df, df.columns)
-    agg = (F.approx_count_distinct("value", rsd) if approx else F.count_distinct("value")).alias("cardinality")
-    return long.groupBy("column_name").agg(agg)
+    """A3: ``(column_name, cardinality LONG)`` distinct non-null values per column.
+
+    One unpivot to ``(column_name, s, d)``: numbers and datetimes as a double (cheaper to shuffle than their text,
+    and -0.0 equals 0.0), everything else as text; the distinct count then runs over ``(column_name, value)``
+    pairs (hash partitioned, so a high-cardinality column spreads over all reducers).  Columns without any value
+    come back with 0 through the caller's left join."""
+    structs = []
+    for f in df.schema.fields:
+        c = qcol(f.name)
+        if is_numeric(f.dataType) or isinstance(f.dataType, T.BooleanType):
+            s_, d_ = F.lit(None).cast("string"), c.cast("double")
+        elif is_datetime(f.dataType):
+            s_, d_ = F.lit(None).cast("string"), F.unix_micros(c.cast("timestamp")).cast("double")
+        elif isinstance(f.dataType, NESTED_TYPES):
+            s_, d_ = F.to_json(c), F.lit(None).cast("double")
+        else:
+            s_, d_ = c.cast("string"), F.lit(None).cast("double")
+        structs.append(F.struct(F.lit(f.name).alias("column_name"), s_.alias("s"), d_.alias("d")))
+    long = df.select(F.inline(F.array(*structs))).where(F.col("s").isNotNull() | F.col("d").isNotNull())
+    v = F.struct("s", "d")
+    if approx:
+        agg = F.approx_count_distinct(F.coalesce(F.col("s"), F.col("d").cast("string")), rsd)
+    else:
+        agg = F.count_distinct(v)
+    counted = long.groupBy("column_name").agg(agg.alias("cardinality"))
+    # every column appears, all-null ones with 0 (names from a one-row aggregate of the same table)
+    names = df.agg(F.count(F.lit(1)).alias("_n")).select(F.explode(F.array(*[F.lit(c) for c in df.columns]))
+                                                          .alias("column_name"))
+    return names.join(F.broadcast(counted), "column_name", "left").select(
+        "column_name", F.coalesce(F.col("cardinality"), F.lit(0).cast("long")).alias("cardinality"))
 
 
 def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,8 +4,8 @@ Fit order (each step sees the previous step's expressions, nothing is materialis
 null-target rows -> plan -> structural drops -> de-duplication -> datetime parts -> numeric coercion -> fills ->
 encoders -> IQR clipping -> scaling.
 
-Actions of a fit with an inferred plan: structure stats with HLL text cardinality (1), an exact text count only for
-columns near the one-hot threshold, modes + categories histogram (1, also materialises the de-duplicated base),
+Actions of a fit with an inferred plan: structure stats (1, whole-stage codegen), HLL cardinality of the text
+candidates (1), an exact text count only for columns near the one-hot threshold, modes + categories histogram (1, also materialises the de-duplicated base),
 fills (1), target means (only with target encoding), clip quantiles + two-value test (1), scaler moments (1).
 """
 
@@ -47,7 +47,6 @@ def structure_stats(df: DataFrame) -> dict[str, dict]:
         if is_string(f.dataType):
             aggs.append(F.count(to_num(c, f.dataType)).alias(f"num{i}"))
             aggs.append(F.count(to_ts(c, f.dataType)).alias(f"dt{i}"))
-            aggs.append(F.approx_count_distinct(c, 0.02).alias(f"hll{i}"))
     row = df.agg(*aggs).collect()[0]
     out = {}
     for i, f in enumerate(fields):
@@ -56,19 +55,22 @@ def structure_stats(df: DataFrame) -> dict[str, dict]:
             "single": bool(row[f"one{i}"]) if f"one{i}" in row else False,
             "n_number": row[f"num{i}"] if f"num{i}" in row else None,
             "n_datetime": row[f"dt{i}"] if f"dt{i}" in row else None,
-            "ndv_estimate": row[f"hll{i}"] if f"hll{i}" in row else None,
             "type": f.dataType,
         }
     return out
 
 
-def text_cardinality(df: DataFrame, cols: list[str], stats: dict[str, dict]) -> dict[str, int]:
+def text_cardinality(df: DataFrame, cols: list[str]) -> dict[str, int]:
     """Distinct non-null count of text columns, as far as the plan rule (> 50 values: drop) needs it.
 
-    The structure pass already carries an HLL estimate (relative error 2 %, near exact at these sizes); only
-    columns whose estimate lies in the uncertain band around the threshold get an exact ``(column, value)`` count.
-    ID-like columns never pay a distinct shuffle, and usually no extra job runs at all."""
-    out = {c: int(stats[c]["ndv_estimate"] or 0) for c in cols}
+    An HLL pass over the candidate columns only (its own job: HLL is an imperative aggregate and would pull the
+    codegen'd structure pass out of whole-stage code generation); columns whose estimate lies in the uncertain band
+    around the threshold then get an exact ``(column, value)`` count.  ID-like columns never pay a distinct
+    shuffle."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.approx_count_distinct(qcol(c), 0.02).alias(f"a{i}") for i, c in enumerate(cols)]).collect()[0]
+    out = {c: int(row[f"a{i}"]) for i, c in enumerate(cols)}
     lo, hi = MAX_ONEHOT_CARDINALITY // 2, 2 * MAX_ONEHOT_CARDINALITY
     unsure = [c for c in cols if lo <= out[c] <= hi]
     if unsure:
@@ -138,7 +140,7 @@ def infer_plan(df: DataFrame, target: str) -> PrepPlan:
         raise KeyError(f"Target column '{target}' not found.")
     df = ops.drop_null_target(nan_to_null(df), target)
     stats = structure_stats(df)
-    ndv = text_cardinality(df, _categorical_candidates(stats, target), stats)
+    ndv = text_cardinality(df, _categorical_candidates(stats, target))
     return infer_plan_from_stats(stats, ndv, target)
 
 
@@ -303,7 +305,7 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
     stats = structure_stats(src)
     inferred = plan is None
     if plan is None:
-        ndv = text_cardinality(src, _categorical_candidates(stats, target), stats)
+        ndv = text_cardinality(src, _categorical_candidates(stats, target))
         plan = infer_plan_from_stats(stats, ndv, target)  # its one-hot columns have <= 50 values
     else:
         plan = plan.copy()
