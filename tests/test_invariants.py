@@ -137,3 +137,23 @@ def test_bracket_narrowing_with_a_hot_value(spark, monkeypatch):
     b = quantiles(li, exprs, probs, "bracket", accuracy=50)
     for c in exprs:
         assert a[c] == pytest.approx(b[c], rel=1e-12)
+
+
+def test_dedupe_switch_positions(spark):
+    d = dirty(spark, SF_SMALL)
+    after = fit_prep(d, "churn")
+    before = fit_prep(d, "churn", PrepPlan(**{**after.plan, "dedupe": "before_drop"}))
+    n_after = apply_prep(d, after, "train").count()
+    n_before = apply_prep(d, before, "train").count()
+    assert after.dedupe == "after_drop" and before.dedupe == "before_drop"
+    assert n_before >= n_after  # dropping the id first can only merge more rows
+
+
+def test_impute_all_switch(spark):
+    d = dirty(spark, SF_SMALL)
+    base = fit_prep(d, "churn")
+    every = fit_prep(d, "churn", PrepPlan(**{**base.plan, "impute_all": True}))
+    assert "age" not in base.fills            # no nulls at fit time -> no fill (parity)
+    assert "age" in every.fills               # option: every numeric feature gets one
+    scored = apply_prep(d.withColumn("age", F.lit(None).cast("int")), every, "score")
+    assert scored.where(F.col("age").isNull()).count() == 0

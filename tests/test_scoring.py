@@ -15,3 +15,20 @@ def test_bundle_keys(spark):
     row = E.queries()["bundle_roundtrip"](spark, SF_SMALL).collect()[0]
     assert row["model_id"] == "RandomForest" and row["problem_type"] == "classification"
     assert row["labels"] == "0,1"
+
+
+def test_predictions_are_labels(spark):
+    out = E.queries()["score_batch"](spark, SF_SMALL)
+    assert {r[0] for r in out.select("prediction").distinct().collect()} <= {0, 1}
+
+
+def test_leakage_loop_drops_the_planted_copy(spark):
+    from tablesmith.plans.run import run
+    from tablesmith.sources.fixtures import dirty
+    r = run(spark, dirty(spark, SF_SMALL), "churn", models=["LogisticRegression"], tune=False)
+    try:
+        assert r.dropped_for_leakage == ["leaky_churn_copy"]
+        assert r.attempts == 2
+        assert "leaky_churn_copy" not in r.features
+    finally:
+        r.release()
