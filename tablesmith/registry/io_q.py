@@ -220,3 +220,16 @@ def q_custom_pandas(spark, sf_dir):
         return pdf.assign(tax_amount=pdf["l_extendedprice"] * pdf["l_tax"])
     return apply_pandas(li, tax_amount, "l_orderkey long, l_linenumber int, l_extendedprice double, l_tax double, "
                                         "tax_amount double")
+
+
+@register("report_overview", with_fixtures("""
+WITH b AS (SELECT CAST(churn AS VARCHAR) AS label, count(*) AS n FROM dirty WHERE churn IS NOT NULL GROUP BY churn)
+SELECT 'overview' AS section, CAST(1 AS BIGINT) AS line_no, '- **Problem Type**: classification' AS text
+UNION ALL SELECT 'overview', 2, printf('- **Rows**: %d', (SELECT count(*) FROM dirty))
+UNION ALL SELECT 'overview', 3, '- **Columns**: 13'
+UNION ALL SELECT 'overview', row_number() OVER (ORDER BY n DESC, label) + 3,
+  printf('  - `%s`: %.2f%%', label, 100.0e0 * n / (SELECT sum(n) FROM b)) FROM b""", "dirty"))
+def q_report_overview(spark, sf_dir):
+    from tablesmith.operators.profile import detect_problem_type
+    d = dirty(spark, sf_dir)
+    return R.overview_lines(d, DIRTY_TARGET, detect_problem_type(d, DIRTY_TARGET))

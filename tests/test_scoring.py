@@ -30,5 +30,18 @@ def test_leakage_loop_drops_the_planted_copy(spark):
         assert r.dropped_for_leakage == ["leaky_churn_copy"]
         assert r.attempts == 2
         assert "leaky_churn_copy" not in r.features
+        import os
+        import uuid
+        from tablesmith.operators.reporting import build_report, write_report
+        from tablesmith.session import checkpoint_dir
+        from tablesmith.sources.fixtures import usage_raw
+        from tablesmith.operators.reporting import usage_table
+        rep = build_report(spark, dirty(spark, SF_SMALL), r, usage_table(usage_raw(spark, SF_SMALL)))
+        path = os.path.join(checkpoint_dir(spark), f"report-{uuid.uuid4().hex}")
+        write_report(rep, path)
+        lines = [x[0] for x in spark.read.text(path).collect()]
+        assert lines[0] == "- **Problem Type**: classification"
+        assert any(x.startswith("| LogisticRegression | accuracy |") for x in lines)
+        assert any(x.startswith("| **Total** |") for x in lines)
     finally:
         r.release()
