@@ -266,7 +266,8 @@ def _gram_corr(proj: DataFrame, columns: list[str], pairs: list[tuple[str, str]]
     names = F.array(*[F.lit(c) for c in columns])
     return tot.select(F.element_at(names, (F.col("i") + 1).cast("int")).alias("col_a"),
                       F.element_at(names, (F.col("j") + 1).cast("int")).alias("col_b"),
-                      F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias("corr"))
+                      # clamp rounding overshoot only; greatest/least would turn an undefined r into a bound
+                      F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("corr"))
 
 
 def correlation_flags(df: DataFrame, target: str, *, threshold: float = CORRELATION_THRESHOLD) -> DataFrame:

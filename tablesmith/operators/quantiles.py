@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.operators.aggs import collect_agg
+
 DEFAULT_ACCURACY = 10000
 AUTO_EXACT_ROWS = 5_000_000   # "auto": Spark's exact percentile up to this many rows, the bracket method above
 BRACKET_MAX_VALUES = 20_000   # distinct values per bracket collected in the final histogram
@@ -58,7 +60,7 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], metho
             aggs.append(F.percentile_approx(e, parr, accuracy).cast("array<double>").alias(f"q{i}"))
         else:
             raise ValueError(f"unknown quantile method {method!r}")
-    row = df.agg(*aggs).collect()[0]
+    row = collect_agg(df, aggs, chunk=60)
     out = {}
     for i, name in enumerate(names):
         vals = row[f"q{i}"]

@@ -20,6 +20,7 @@ from tablesmith.functions.exprs import (
     scale as scale_expr, to_num, to_ts,
 )
 from tablesmith.operators import prep as ops
+from tablesmith.operators.aggs import collect_agg
 from tablesmith.operators.quantiles import AUTO_EXACT_ROWS
 from tablesmith.plans.spec import MAX_ONEHOT_CARDINALITY, PrepPlan, PrepSpec
 from tablesmith.session import persist
@@ -47,7 +48,7 @@ def structure_stats(df: DataFrame) -> dict[str, dict]:
         if is_string(f.dataType):
             aggs.append(F.count(to_num(c, f.dataType)).alias(f"num{i}"))
             aggs.append(F.count(to_ts(c, f.dataType)).alias(f"dt{i}"))
-    row = df.agg(*aggs).collect()[0]
+    row = collect_agg(df, aggs)
     out = {}
     for i, f in enumerate(fields):
         out[f.name] = {
@@ -69,7 +70,7 @@ def text_cardinality(df: DataFrame, cols: list[str]) -> dict[str, int]:
     shuffle."""
     if not cols:
         return {}
-    row = df.agg(*[F.approx_count_distinct(qcol(c), 0.02).alias(f"a{i}") for i, c in enumerate(cols)]).collect()[0]
+    row = collect_agg(df, [F.approx_count_distinct(qcol(c), 0.02).alias(f"a{i}") for i, c in enumerate(cols)])
     out = {c: int(row[f"a{i}"]) for i, c in enumerate(cols)}
     lo, hi = MAX_ONEHOT_CARDINALITY // 2, 2 * MAX_ONEHOT_CARDINALITY
     unsure = [c for c in cols if lo <= out[c] <= hi]
@@ -416,7 +417,7 @@ def _fit_clip(df: DataFrame, exprs: dict[str, Column], k: float, method: str, sk
         q = F.percentile(x, parr) if method == "exact" else F.percentile_approx(x, parr, 10000).cast("array<double>")
         aggs += [q.alias(f"p{i}"), F.count(x).alias(f"n{i}"), F.min(x).alias(f"m{i}"), F.max(x).alias(f"M{i}"),
                  F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    row = df.agg(*aggs).collect()[0]
+    row = collect_agg(df, aggs)
     out = {}
     for i, c in enumerate(exprs):
         if skip_two_valued and _is_two_valued(*(row[f"{p}{i}"] for p in "nmMsq")):
@@ -446,7 +447,7 @@ def _two_valued_only(df: DataFrame, exprs: dict[str, Column]) -> set[str]:
         x = e.cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"m{i}"), F.max(x).alias(f"M{i}"),
                  F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    row = df.agg(*aggs).collect()[0]
+    row = collect_agg(df, aggs)
     return {c for i, c in enumerate(exprs) if _is_two_valued(*(row[f"{p}{i}"] for p in "nmMsq"))}
 
 
