@@ -51,11 +51,24 @@ def _static_dtype(dt: T.DataType) -> str | None:
     return None
 
 
+STATS_CHUNK = 50  # columns per aggregate scan of column_stats (wide tables stay within codegen limits)
+
+
 def column_stats(df: DataFrame) -> DataFrame:
-    """One aggregate pass: per column ``(column_name, position, n_rows, n_missing, n_non_null, n_number, n_datetime,
-    dtype)``.  ``n_number``/``n_datetime`` count non-null text values parseable as number / datetime."""
+    """One aggregate pass (per 50 columns): per column ``(column_name, position, n_rows, n_missing, n_non_null,
+    n_number, n_datetime, dtype)``.  ``n_number``/``n_datetime`` count non-null text values parseable as number /
+    datetime."""
+    fields = list(enumerate(df.schema.fields))
+    parts = [_column_stats_chunk(df, fields[s:s + STATS_CHUNK]) for s in range(0, len(fields), STATS_CHUNK)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _column_stats_chunk(df: DataFrame, fields: list) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, f in enumerate(df.schema.fields):
+    for i, f in fields:
         c = qcol(f.name)
         aggs.append(F.count_if(is_missing(c, f.dataType)).alias(f"m{i}"))
         if is_string(f.dataType):
@@ -64,7 +77,7 @@ def column_stats(df: DataFrame) -> DataFrame:
             aggs.append(F.count(to_ts(c, f.dataType)).alias(f"dt{i}"))
     row = df.agg(*aggs)
     items = []
-    for i, f in enumerate(df.schema.fields):
+    for i, f in fields:
         n, m = F.col("_n"), F.col(f"m{i}")
         static = _static_dtype(f.dataType)
         if static is not None or not is_string(f.dataType):

@@ -36,3 +36,13 @@ def test_undefined_correlation_stays_null(spark):
     df = spark.createDataFrame([(1.0, None, 5.0), (2.0, None, 5.0), (3.0, None, 5.0)], "a double, b double, c double")
     rows = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation_matrix(df, ["a", "b", "c"]).collect()}
     assert rows[("a", "b")] is None and rows[("a", "c")] is None
+
+
+def test_wide_profile_and_variance(spark):
+    from tablesmith.operators.profile import column_profile
+    from tablesmith.operators.selection import variance_table
+    df = _wide(spark)
+    prof = column_profile(df).collect()
+    assert len(prof) == N_COLS + 3
+    assert {r["column_name"]: r["missing_fraction"] for r in prof}["txt"] > 0
+    assert variance_table(df, "y").where("kept").count() == N_COLS + 1
