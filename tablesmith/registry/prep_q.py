@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesmith.functions.exprs import hash_fraction_key, qcol, rnd, to_num, to_ts
+from tablesmith.functions.exprs import qcol, rnd, to_num
 from tablesmith.operators import prep as ops
 from tablesmith.operators.labels import label_encode
 from tablesmith.operators.sampling import sample_n
@@ -445,5 +445,3 @@ def q_prep_dataframe(spark, sf_dir):
     out, _spec = prep_dataframe(dirty(spark, sf_dir), DIRTY_TARGET)
     return _rounded(out)
 
-
-__all__ = ["hash_fraction_key", "to_ts"]
