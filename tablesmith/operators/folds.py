@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions.exprs import hash_fraction_key, qcol
 
-# Upper bound of strata x sub-buckets for the broadcast offset table of stratified folds.
-MAX_OFFSET_ROWS = 5_000_000
+# Strata x sub-buckets up to which the offset table of stratified folds is broadcast.
+BROADCAST_OFFSET_ROWS = 200_000
 ROWS_PER_BUCKET = 2_000_000    # rows ranked by one window task at most (per class and bucket)
 MAX_BUCKETS = 4096
 
@@ -36,7 +36,8 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 3, buckets: i
     A class may hold a third of all rows, so the rank is not one window over the class: rows are split into
     ``buckets`` sub-buckets by hash (``"auto"``: enough that the largest class gives windows of at most
     ``ROWS_PER_BUCKET`` rows), ranked inside ``(label, bucket)`` and shifted by the row count of the earlier
-    sub-buckets of the same class (a table of classes x buckets rows, broadcast after its size is checked).
+    sub-buckets of the same class (a table of classes x buckets rows, broadcast only when its counted size is at
+    most ``BROADCAST_OFFSET_ROWS``).
     """
     if buckets == "auto":
         buckets = auto_buckets(df, label)
@@ -44,11 +45,11 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 3, buckets: i
     base = df.withColumn("__h", h).withColumn("__b", (F.col("__h") % buckets).cast("int"))
     counts = base.groupBy(qcol(label).alias("__y"), "__b").agg(F.count(F.lit(1)).alias("__n"))
     n_cells = counts.count()
-    if n_cells > MAX_OFFSET_ROWS:
-        raise ValueError(f"{n_cells} strata x buckets: too many classes for stratified folds; use hash_folds.")
     w_cls = Window.partitionBy("__y").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_cls), F.lit(0))).drop("__n")
-    joined = base.join(F.broadcast(offsets), (qcol(label).eqNullSafe(F.col("__y"))) & (base["__b"] == offsets["__b"]))
+    if n_cells <= BROADCAST_OFFSET_ROWS:   # size checked above: broadcast; otherwise an ordinary shuffle join
+        offsets = F.broadcast(offsets)
+    joined = base.join(offsets, (qcol(label).eqNullSafe(F.col("__y"))) & (base["__b"] == offsets["__b"]))
     joined = joined.drop(offsets["__b"]).drop("__y")
     w = Window.partitionBy(qcol(label), F.col("__b")).orderBy("__h", qcol(key))
     rank = F.col("__off") + F.row_number().over(w) - 1
