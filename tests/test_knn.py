@@ -31,3 +31,27 @@ def test_leave_one_out_equals_brute_force(spark, monkeypatch, pivots, block):
     got = {r["vec_id"]: r["prediction"] for r in K.knn_leave_one_out(
         e, id_col="vec_id", vec_col="embedding", label_col="label", k=5, n_pivots=pivots).collect()}
     assert got == expect
+
+
+def test_regression_and_distance_weights(spark):
+    rng = np.random.default_rng(3)
+    n = 300
+    vecs = rng.normal(size=(n, 8))
+    target = vecs[:, 0] * 3 + rng.normal(size=n) * 0.1
+    rows = [(int(i), [float(x) for x in vecs[i]], float(target[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y double")
+    ids = np.arange(n)
+    for weights in ("uniform", "distance"):
+        got = {r["id"]: r["prediction"] for r in K.knn_leave_one_out(
+            df, id_col="id", vec_col="v", label_col="y", k=4, problem_type="regression", weights=weights,
+            n_pivots=4).collect()}
+        for i in range(0, n, 37):
+            d = ((vecs - vecs[i]) ** 2).sum(axis=1)
+            d[i] = np.inf
+            nn = np.lexsort((ids, d))[:4]
+            if weights == "uniform":
+                expect = target[nn].mean()
+            else:
+                w = 1.0 / np.maximum(np.sqrt(d[nn]), 1e-12)
+                expect = (w * target[nn]).sum() / w.sum()
+            assert got[i] == pytest.approx(expect, rel=1e-9)

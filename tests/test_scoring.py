@@ -45,3 +45,30 @@ def test_leakage_loop_drops_the_planted_copy(spark):
         assert any(x.startswith("| **Total** |") for x in lines)
     finally:
         r.release()
+
+
+def test_foreach_batch_stream_runner(spark):
+    import os
+    import uuid
+
+    from tablesmith.operators.training import feature_table, fit_final_model
+    from tablesmith.plans.prep_fit import apply_prep, fit_prep
+    from tablesmith.session import checkpoint_dir
+    from tablesmith.sources.bundle import load_bundle, save_bundle
+    from tablesmith.sources.fixtures import dirty
+    from tablesmith.streaming.score import run_scoring_stream
+
+    base = os.path.join(checkpoint_dir(spark), f"stream-runner-{uuid.uuid4().hex}")
+    d = dirty(spark, SF_SMALL).drop("leaky_churn_copy")
+    spec = fit_prep(d, "churn")
+    ft = feature_table(apply_prep(d, spec), "churn", "classification")
+    save_bundle(spark, fit_final_model(ft, "LogisticRegression"), spec, os.path.join(base, "bundle"))
+    bundle = load_bundle(spark, os.path.join(base, "bundle"))
+    d.write.parquet(os.path.join(base, "src"))
+    q = run_scoring_stream(spark, bundle, os.path.join(base, "src"), d.schema, os.path.join(base, "sink"),
+                           checkpoint=os.path.join(base, "ckpt"))
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(base, "sink"))
+    assert out.count() == d.count()
+    assert {r[0] for r in out.select("prediction").distinct().collect()} <= {0, 1}
+    ft.release()
