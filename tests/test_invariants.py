@@ -157,3 +157,25 @@ def test_impute_all_switch(spark):
     assert "age" in every.fills               # option: every numeric feature gets one
     scored = apply_prep(d.withColumn("age", F.lit(None).cast("int")), every, "score")
     assert scored.where(F.col("age").isNull()).count() == 0
+
+
+def test_run_many_reports_a_failing_table(spark):
+    from tablesmith.plans.run import battery_summary, run_many
+    li = load_table(spark, SF_SMALL, "lineitem").select("l_quantity", "l_extendedprice")
+    out = run_many(spark, {"bad": (li, "no_such_column")}, tune=False).collect()
+    assert out[0]["status"].startswith("Failed")
+    flag = battery_summary(spark.createDataFrame([(r["dataset"], r["status"]) for r in out],
+                                                 "dataset string, status string")).collect()[0]
+    assert flag["all_passed"] is False
+
+
+def test_approx_quantiles_are_close(spark):
+    li = load_table(spark, SF_SMALL, "lineitem")
+    exact = quantiles(li, {"p": F.col("l_extendedprice")}, [0.1, 0.5, 0.9], "exact")["p"]
+    approx = quantiles(li, {"p": F.col("l_extendedprice")}, [0.1, 0.5, 0.9], "approx")["p"]
+    ranks = li.select(*[F.count_if(F.col("l_extendedprice") <= F.lit(a)).alias(f"r{i}")
+                        for i, a in enumerate(approx)]).collect()[0]
+    n = li.count()
+    for i, p in enumerate([0.1, 0.5, 0.9]):
+        assert abs(ranks[f"r{i}"] / n - p) < 0.01    # rank error of the sketch
+    assert approx[1] == pytest.approx(exact[1], rel=0.05)
