@@ -149,12 +149,13 @@ def value_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """A9 (columns part): ``(column_name, dtype, missing_fraction, cardinality)``, one row per column."""
+def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
+    """A9 (columns part): ``(column_name, dtype, missing_fraction, cardinality)``, one row per column.
+    ``approx=True`` counts distinct values with HLL sketches instead of the exact distinct shuffle."""
     s = column_stats(df)
     frac = F.when(F.col("n_rows") == 0, F.lit(0.0)).otherwise(F.col("n_missing") / F.col("n_rows"))
     left = s.select("column_name", "dtype", frac.alias("missing_fraction"))
-    return left.join(cardinality(df), "column_name", "left").select(
+    return left.join(cardinality(df, approx=approx), "column_name", "left").select(
         "column_name", "dtype", "missing_fraction", F.coalesce("cardinality", F.lit(0)).alias("cardinality"))
 
 

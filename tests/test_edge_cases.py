@@ -66,3 +66,14 @@ def test_unseen_categories(spark):
     assert [(r["c_a"], r["c_b"]) for r in rows] == [(1, 0), (0, 0), (0, 0)]
     st = fit_encoders(train, ["c"], "ordinal")
     assert [r["c"] for r in transform_encoders(test, st).collect()] == [0.0, -1.0, -1.0]
+
+
+def test_approx_profile_is_close(spark):
+    from tests.conftest import SF_SMALL
+    from tablesmith.operators.profile import column_profile
+    from tablesmith.sources.tables import load_table
+    li = load_table(spark, SF_SMALL, "lineitem")
+    exact = {r["column_name"]: r["cardinality"] for r in column_profile(li).collect()}
+    approx = {r["column_name"]: r["cardinality"] for r in column_profile(li, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c]) for c in exact)
