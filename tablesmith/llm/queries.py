@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import bpe, chat_format, packing, quality_rules, sharding
+from tablesmith.llm import bpe, chat_format, packing, quality_rules, secret_scan, sharding
 from tablesmith.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,16 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleave_shards(docs, "source", "doc_id", 16, payload=("size", "text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of the documents."""
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+    kinds = [F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    base = secret_scan.join_spans(F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS)))
+    return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"),
+                        secret_scan.join_spans(F.col("spans")).alias("spans"))
+
+
+ORACLES["op6_secret_scan"] = secret_scan.oracle()
