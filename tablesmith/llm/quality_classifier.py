@@ -68,19 +68,20 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return np.column_stack([*columns, shares / per])
 
 
-def text_statistics(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``doc`` and ``x`` (array of statistics) per document, from one pass over the texts."""
-    slim = docs.select(F.col(text).alias("t"), F.col(key).alias("doc"))
-    kind = dict(slim.dtypes)["doc"]
+def text_statistics(docs: DataFrame, text: str, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc``, the ``keep`` columns (as ``k0``, ...) and ``x`` (array of statistics) per document, from one pass over the texts."""
+    slim = docs.select(F.col(text).alias("t"), F.col(key).alias("doc"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    fields = [f.simpleString().replace(":", " ", 1) for f in slim.schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, 0):
                 x = statistics(part.column(0))
                 offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))], ["doc", "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))],
+                                                 [*part.schema.names[1:], "x"])
 
-    return slim.mapInArrow(run, f"doc {kind}, x array<double>")
+    return slim.mapInArrow(run, ", ".join([*fields, "x array<double>"]))
 
 
 class Fourier:
@@ -165,8 +166,8 @@ def _scored(rows: DataFrame, features: Fourier, weights: np.ndarray, knots: tupl
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",
-                    threshold: float = THRESHOLD) -> DataFrame:
-    """Quality score of every document: ``key``, ``held_out``, ``score`` (0 to 1), ``predicted``.
+                    threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Quality score of every document: ``key``, the ``keep`` columns, ``held_out``, ``score`` (0 to 1), ``predicted``.
 
     Statistics of the whole texts are standardised over all documents. Labelled documents outside the held-out fold
     (crc32 of the key as text mod 5 is 0) give partition sums of ridge normal equations over random Fourier features;
@@ -177,7 +178,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     count each. Without labels every score is 0.5; without calibration rows the raw score is clipped to 0..1. Other columns
     are ignored. An empty table gives an empty result.
     """
-    rows = cut(text_statistics(docs, text, key), "statistics")
+    rows = cut(text_statistics(docs, text, key, keep), "statistics")
+    kept = [f"k{i}" for i in range(len(keep))]
     fold = F.crc32(F.col("doc").cast("string")) % FOLDS
     held = F.coalesce(fold == 0, F.lit(False))
     width = len(STATISTICS)
@@ -189,7 +191,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key:
         features = Fourier(np.array(moments[0::2], float), np.array(moments[1::2], float))
         weights = fit_ridge(train.filter(F.col("fold") != CALIBRATE), features)
     if weights is None:
-        scored = rows.select("doc", F.lit(0.5).alias("score"))
+        scored = rows.select("doc", *kept, F.lit(0.5).alias("score"))
     else:
         counted = (_scored(train.filter(F.col("fold") == CALIBRATE).select("x", "y"), features, weights)
                    .groupBy(F.floor(F.col("raw") * (CELLS / 3)).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).collect())
@@ -197,5 +199,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key:
         if counted:
             c, n, ones = (np.array(v, float) for v in zip(*counted))
             knots = isotonic((c + 0.5) * 3 / CELLS, n, ones)
-        scored = _scored(rows, features, weights, knots).select("doc", "score")
-    return scored.select(F.col("doc").alias(key), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        scored = _scored(rows, features, weights, knots)
+    return scored.select(F.col("doc").alias(key), *[F.col(k).alias(c) for k, c in zip(kept, keep)], held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -126,23 +126,28 @@ def _lengths(text: Column, ord_: int, kind: str, pattern: str, group: int) -> Co
         x["part"].alias("part"))), lambda x: x["len"].isNotNull())
 
 
-def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple = RULES) -> DataFrame:
-    """Spans of every rule in every whole text: one row per document with ``spans``, an array of struct(start, ord, kind, end).
+SPANS = "array<struct<start:bigint,ord:int,kind:string,end:bigint>>"
+
+
+def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``k`` (key), ``t`` (text), ``h`` and ``n`` (hash and length of the text)."""
+    return (docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+            .withColumn("h", F.xxhash64("t")).withColumn("n", F.length("t")))
+
+
+def secret_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple = RULES) -> tuple[DataFrame, DataFrame]:
+    """(keys of all documents, spans of the documents that have any), both by key, hash and length of the text.
 
     Postings hold, for each trigram that some rule needs, the documents it occurs in. Each rule's Boolean query
     intersects the postings; only the candidates' texts are read again and verified with the regex. Rules without
     mandatory trigrams scan every text in the first pass. Matches are leftmost and not overlapping per rule; those whose
     group is shorter than the rule asks for are dropped. Positions are code points, end exclusive, in array order.
-
-    Nulls: a null text is empty, a null key is kept. Rows with equal key and text get equal spans, each its own row. Other
-    columns are ignored, whatever their names. An empty table gives an empty result.
     """
     queries = {kind: trigram_query(pattern) for kind, pattern, *_ in rules}
     grams = sorted({g for q in queries.values() if q for clause in q for g in clause})
     number = {g: i for i, g in enumerate(grams)}
     ords = {kind: i for i, (kind, *_) in enumerate(rules)}
-    t = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(F.col(key).alias("k"), t.alias("t")).withColumn("h", F.xxhash64("t")).withColumn("n", F.length("t"))
+    slim = _keyed(docs, text, key)
     ids = ["k", "h", "n"]
 
     empty = F.array().cast("array<struct<ord:int,kind:string,i:int,gap:int,len:int,part:int>>")
@@ -174,9 +179,43 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     spans = (matches.withColumn("end", end).filter(F.col("part") >= least)
              .select(*ids, F.struct((F.col("end") - F.col("len")).alias("start"), "ord", "kind", "end").alias("s"))
              .groupBy(*[F.col(c).alias(f"s{c}") for c in ids]).agg(F.array_sort(F.collect_list("s")).alias("spans")))
-    none = F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>")
-    return (first.select(*ids).join(spans, F.col("k").eqNullSafe(F.col("sk")) & (F.col("h") == F.col("sh")) & (F.col("n") == F.col("sn")), "left")
-            .select(F.col("k").alias(key), F.coalesce("spans", none).alias("spans")))
+    return first.select(*ids), cut(spans, "secret-spans")
+
+
+def _same(left: str = "", right: str = "s") -> Column:
+    return (F.col(f"{left}k").eqNullSafe(F.col(f"{right}k")) & (F.col(f"{left}h") == F.col(f"{right}h"))
+            & (F.col(f"{left}n") == F.col(f"{right}n")))
+
+
+def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple = RULES) -> DataFrame:
+    """Spans of every rule in every whole text: one row per document with ``spans``, an array of struct(start, ord, kind, end).
+
+    Nulls: a null text is empty, a null key is kept. Rows with equal key and text get equal spans, each its own row. Other
+    columns are ignored, whatever their names. An empty table gives an empty result.
+    """
+    keys, spans = secret_spans(docs, text, key, rules)
+    return (keys.join(spans, _same(), "left")
+            .select(F.col("k").alias(key), F.coalesce("spans", F.array().cast(SPANS)).alias("spans")))
+
+
+def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[secret]", rules: tuple = RULES) -> DataFrame:
+    """All rows and columns of ``docs``, with ``mark`` in place of each secret (overlapping ones together); a null text stays null."""
+    _, spans = secret_spans(docs, text, key, rules)
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    body = F.col(text)
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(body, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        fresh = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+                        F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate("__spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
+    spans = spans.select(*[F.col(f"s{c}").alias(f"__s{c}") for c in "khn"], F.col("spans").alias("__spans"))
+    t = F.coalesce(body, F.lit(""))
+    match = F.col(key).eqNullSafe(F.col("__sk")) & (F.xxhash64(t) == F.col("__sh")) & (F.length(t) == F.col("__sn"))
+    return docs.join(spans, match, "left").select(*[
+        (F.when(F.col("__spans").isNull(), body).otherwise(clean).alias(text) if c == text else F.col(c)) for c in docs.columns])
 
 
 def join_spans(spans: Column) -> Column:
