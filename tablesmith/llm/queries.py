@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import bpe, chat_format, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding
+from tablesmith.llm import (bpe, chat_format, html_style_tree, minhash_dedup, packing, quality_classifier, quality_rules,
+                            secret_scan, sharding)
 from tablesmith.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,9 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels outside the held-out fold."""
     return quality_classifier.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register
+def op1_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_style_tree.extract_main_text(read(spark, sf_dir, "pages"))
