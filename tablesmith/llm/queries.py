@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import (bpe, chat_format, html_style_tree, minhash_dedup, packing, quality_classifier, quality_rules,
+from tablesmith.llm import (bpe, chat_format, html_style_tree, minhash_dedup, nn_descent, packing, quality_classifier, quality_rules,
                             secret_scan, sharding)
 from tablesmith.llm.common import read
 
@@ -97,3 +97,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_style_tree.extract_main_text(read(spark, sf_dir, "pages"))
+
+
+@register
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found neighbours of every row whose id is divisible by 100."""
+    rows = read(spark, sf_dir, "embeddings")
+    return nn_descent.nearest_neighbours(rows, rows.filter("vec_id % 100 = 0"))
