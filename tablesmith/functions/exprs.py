@@ -93,6 +93,16 @@ def is_missing(c: Column, dt: T.DataType) -> Column:
     return c.isNull()
 
 
+def no_nan(c: Column) -> Column:
+    """A floating-point expression with NaN as null."""
+    return F.when(~F.isnan(c), c)
+
+
+def finite(c: Column) -> Column:
+    """A floating-point expression with NaN and infinities as null (NaN is greater than infinity in Spark)."""
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Replace NaN by null in every float/double column, once at the source (Spark keeps NaN != null)."""
     exprs = []

@@ -27,7 +27,8 @@ from tablesmith.functions.exprs import hash_fraction_key, qcol
 
 BLOCK_ROWS = 20_000          # corpus rows per (cell, block) group
 ROWS_PER_PIVOT = 2_000
-MAX_PIVOTS = 256
+PIVOTS_PER_ROOT = 4           # at most so many pivots per square root of the corpus size
+QUERY_ROWS = 50_000          # queries of one group
 QUERY_CHUNK = 2_000_000      # query x corpus distances computed at once inside a block
 
 
@@ -91,7 +92,7 @@ def knn_predict(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
     n_corpus = c.count()
     if n_corpus == 0:
         return q.select(F.col("qid").alias(id_col), F.lit(None).cast(label_type).alias("prediction"))
-    p = n_pivots or max(1, min(MAX_PIVOTS, n_corpus // ROWS_PER_PIVOT))
+    p = n_pivots or max(1, min(int(PIVOTS_PER_ROOT * math.sqrt(n_corpus)), n_corpus // ROWS_PER_PIVOT))
     piv_rows = c.orderBy(hash_fraction_key(F.col("tid")), F.col("tid")).limit(p).select("tvec").collect()
     pivots = np.stack([np.asarray(r["tvec"], dtype=np.float64) for r in piv_rows])
     bc = spark.sparkContext.broadcast(pivots)
@@ -136,7 +137,8 @@ def knn_predict(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
             hit = (cum >= need).argmax(axis=1)
             enough = cum[:, -1] >= need
             bound = np.where(enough, ub[np.arange(len(qv)), order[np.arange(len(qv)), hit]], np.inf)
-            cand = (dq - radii[None, :]) <= bound[:, None]
+            # rounded square roots: a tie at the bound must not be pruned
+            cand = (dq - radii[None, :]) <= bound[:, None] + 1e-9 * (1.0 + dq + radii[None, :])
             qi, ci = np.nonzero(cand)
             reps = nblocks[ci]
             rows_q = np.repeat(qi, reps)
@@ -146,6 +148,11 @@ def knn_predict(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
                                 "cell": cells_arr[rows_c], "block": blk.astype("int32")})
 
     routed = q.mapInPandas(route, "qid long, qvec array<double>, cell int, block int")
+    # a block that many queries need is one group per QUERY_ROWS of them; its corpus rows go to each of the groups
+    asked = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.create_map(*[v for x in cells for v in (F.lit(x), F.lit(max(1, math.ceil(asked.get(x, 0) / blocks[x] / QUERY_ROWS))))])
+    routed = routed.withColumn("part", F.pmod(F.xxhash64("qid", F.lit(7)), parts[F.col("cell")]).cast("int"))
+    corpus_blocks = corpus_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)))
 
     def block_topk(key, qdf: pd.DataFrame, tdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "tid": pd.Series([], dtype="int64"),
@@ -165,7 +172,7 @@ def knn_predict(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
             out.append(_chunk_topk(qv, qids, tv, tn, tid, lab, k, exclude_self))
         return pd.concat(out, ignore_index=True) if out else empty
 
-    cand = routed.groupBy("cell", "block").cogroup(corpus_blocks.groupBy("cell", "block")).applyInPandas(
+    cand = routed.groupBy("cell", "block", "part").cogroup(corpus_blocks.groupBy("cell", "block", "part")).applyInPandas(
         block_topk, f"qid long, tid long, label {label_type}, d2 double")
     w = Window.partitionBy("qid").orderBy("d2", "tid")
     nn = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)

@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.exprs import qcol
-
-# Above this many distinct labels the codes come from a joined table instead of a literal array.
-MAX_LITERAL_LABELS = 10_000
+from tablesmith.operators.codes import code_table, join_codes
 
 
 def fit_labels(df: DataFrame, col: str) -> list:
-    """Sorted distinct non-null labels (native order, so 2 sorts before 10).  Bounded by ``MAX_LITERAL_LABELS``."""
+    """Sorted distinct non-null labels (native order, so 2 sorts before 10): the classes of a model, which keeps one
+    set of weights or votes per class anyway. Encoding a column needs no such list, see :func:`label_encode`."""
     distinct = df.select(qcol(col).alias("v")).where(F.col("v").isNotNull()).distinct()
-    n = distinct.count()
-    if n > MAX_LITERAL_LABELS:
-        raise ValueError(f"'{col}' has {n} distinct labels; too many for a classification target.")
     return sorted(r["v"] for r in distinct.collect())
 
 
-def encode_expr(col, labels: list):
-    """Code of each label (null for unseen/null) as INT, through a literal array lookup (no join)."""
-    pos = F.array_position(F.array(*[F.lit(v) for v in labels]), col)
-    return F.when(pos > 0, (pos - 1).cast("int"))
+def encode_expr(col: Column, labels: list) -> Column:
+    """Code of each label of a model (null for unseen/null) as INT, by a literal map (no join)."""
+    if not labels:
+        return F.lit(None).cast("int")
+    codes = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
+    return F.try_element_at(codes, col).cast("int")
+
+
+def label_encode(df: DataFrame, col: str, out_col: str | None = None) -> tuple[DataFrame, str]:
+    """Return ``(df with out_col = code, path of the code table)``; any number of labels, null for null."""
+    path = code_table(df, qcol(col))
+    coded = join_codes(df, qcol(col), path, "__label_code")
+    return coded.withColumn(out_col or col, F.col("__label_code").cast("int")).drop("__label_code"), path
 
 
-def label_encode(df: DataFrame, col: str, out_col: str | None = None) -> tuple[DataFrame, list]:
-    """Return ``(df with out_col = code, labels)``."""
-    labels = fit_labels(df, col)
-    return df.withColumn(out_col or col, encode_expr(qcol(col), labels)), labels
+def label_decode(df: DataFrame, code_col: str, path: str, out_col: str) -> DataFrame:
+    """``df`` with the label of each code, null for a code that the table does not have."""
+    codes = df.sparkSession.read.parquet(path).select(F.col("code").alias("__code"), F.col("value").alias("__value"))
+    return df.join(codes, qcol(code_col) == F.col("__code"), "left").withColumn(out_col, F.col("__value")).drop("__code", "__value")
 
 
-def decode_expr(code_col, labels: list):
+def decode_expr(code_col: Column, labels: list) -> Column:
     """Code -> original label (label text restored at scoring time)."""
     arr = F.array(*[F.lit(v) for v in labels])
     return F.element_at(arr, code_col.cast("int") + 1)

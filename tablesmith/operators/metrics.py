@@ -57,7 +57,9 @@ def classification_metrics(df: DataFrame, y: str, p: str, average: str | None =
     """One row ``(accuracy, f1)``; ``average`` defaults to binary for <= 2 labels of y, else macro."""
     cm = confusion_counts(df, qcol(y), qcol(p), [F.lit(0).alias("__g")])
     if labels is None:
-        labels = sorted(r[0] for r in df.select(qcol(y)).where(qcol(y).isNotNull()).distinct().collect())
+        # more than two labels are all the same to the rule: three smallest ones tell
+        seen = df.select(qcol(y).alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").limit(3)
+        labels = [r["v"] for r in seen.collect()]
     if average is None:
         average = "binary" if len(labels) <= 2 else "macro"
     pos = str(labels[1]) if average == "binary" and len(labels) > 1 else None

@@ -22,7 +22,7 @@ SEARCH_SPACES = {
     "RandomForest": {"n_estimators": ("int", 50, 200), "max_depth": ("int", 3, 12)},
     "GradientBoosting": {"learning_rate": ("log", 0.01, 0.2), "n_estimators": ("int", 50, 200),
                          "max_depth": ("int", 3, 8)},
-    "GradientBoostingDeep": {"learning_rate": ("log", 0.01, 0.3), "n_estimators": ("int", 50, 200),
+    "GradientBoostingDeep": {"learning_rate": ("log", 0.01, 0.2), "n_estimators": ("int", 50, 200),
                              "max_depth": ("int", 3, 10)},
     "SVM": {"C": ("log", 1e-3, 1e2)},
     "SVR": {"C": ("log", 1e-3, 1e2)},

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.functions.exprs import (
-    INTEGRAL_TYPES, NESTED_TYPES, ROUND_DIGITS, dtype_of, guarded_corr, is_datetime, is_missing, is_numeric,
+    INTEGRAL_TYPES, NESTED_TYPES, ROUND_DIGITS, dtype_of, finite, guarded_corr, is_datetime, is_missing, is_numeric,
     is_string, qcol, rnd, to_num, to_ts, unpivot_as_text,
 )
+from tablesmith.operators.aggs import collect_agg
 from tablesmith.operators.quantiles import quantiles
 
 # Fixed rule constants of problem-type detection.
@@ -113,26 +114,27 @@ def infer_dtypes(df: DataFrame) -> DataFrame:
 def cardinality(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """A3: ``(column_name, cardinality LONG)`` distinct non-null values per column.
 
-    One unpivot to ``(column_name, s, d)``: numbers and datetimes as a double (cheaper to shuffle than their text,
-    and -0.0 equals 0.0), everything else as text; the distinct count then runs over ``(column_name, value)``
+    One unpivot to ``(column_name, s, i, d)``: integers, booleans and datetimes as a long, floating-point numbers as
+    a double (-0.0 equals 0.0), decimals and everything else as text; the distinct count then runs over ``(column_name, value)``
     pairs (hash partitioned, so a high-cardinality column spreads over all reducers).  Columns without any value
     come back with 0 through the caller's left join."""
     structs = []
     for f in df.schema.fields:
         c = qcol(f.name)
-        if is_numeric(f.dataType) or isinstance(f.dataType, T.BooleanType):
-            s_, d_ = F.lit(None).cast("string"), c.cast("double")
+        s_, i_, d_ = (F.lit(None).cast(t) for t in ("string", "long", "double"))
+        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+            i_ = c.cast("long")
         elif is_datetime(f.dataType):
-            s_, d_ = F.lit(None).cast("string"), F.unix_micros(c.cast("timestamp")).cast("double")
-        elif isinstance(f.dataType, NESTED_TYPES):
-            s_, d_ = F.to_json(c), F.lit(None).cast("double")
+            i_ = F.unix_micros(c.cast("timestamp"))
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            d_ = c.cast("double")
         else:
-            s_, d_ = c.cast("string"), F.lit(None).cast("double")
-        structs.append(F.struct(F.lit(f.name).alias("column_name"), s_.alias("s"), d_.alias("d")))
-    long = df.select(F.inline(F.array(*structs))).where(F.col("s").isNotNull() | F.col("d").isNotNull())
-    v = F.struct("s", "d")
+            s_ = F.to_json(c) if isinstance(f.dataType, NESTED_TYPES) else c.cast("string")
+        structs.append(F.struct(F.lit(f.name).alias("column_name"), s_.alias("s"), i_.alias("i"), d_.alias("d")))
+    long = df.select(F.inline(F.array(*structs))).where(F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string")).isNotNull())
+    v = F.struct("s", "i", "d")
     if approx:
-        agg = F.approx_count_distinct(F.coalesce(F.col("s"), F.col("d").cast("string")), rsd)
+        agg = F.approx_count_distinct(F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string")), rsd)
     else:
         agg = F.count_distinct(v)
     counted = long.groupBy("column_name").agg(agg.alias("cardinality"))
@@ -164,7 +166,7 @@ def problem_type_frame(df: DataFrame, target: str, *, max_unique: int = CLASSIFI
     """A5 as a one-row DataFrame ``(target, problem_type, n_non_null, n_unique)``; raises at run time when the
     target is entirely missing."""
     if target not in df.columns:
-        raise KeyError(f"Target column '{target}' not found.")
+        raise KeyError(f"no column named '{target}' to use as the target")
     dt = dtype_of(df, target)
     t = qcol(target)
     numeric = is_numeric(dt) or isinstance(dt, T.BooleanType)
@@ -183,7 +185,8 @@ def detect_problem_type(df: DataFrame, target: str, **kw) -> str:
 
 
 def target_balance(df: DataFrame, target: str, problem_type: str | None = None) -> DataFrame | None:
-    """``(label STRING, n LONG, proportion DOUBLE)`` over non-null target values; None for regression.
+    """``(label STRING, n LONG, proportion DOUBLE)`` over non-null target values, largest share first (ties by
+    label); None for regression.
 
     The total is a scalar subquery, so no single-partition window is needed over the class counts.
     """
@@ -195,7 +198,7 @@ def target_balance(df: DataFrame, target: str, problem_type: str | None = None)
     counts = df.where(t.isNotNull()).groupBy(t.alias("_label")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.select(F.sum("n")).scalar()
     return counts.select(F.col("_label").cast("string").alias("label"), "n",
-                         (F.col("n") / total).alias("proportion"))
+                         (F.col("n") / total).alias("proportion")).orderBy(F.desc("n"), "label")
 
 
 def numeric_view(df: DataFrame) -> dict[str, Column]:
@@ -218,7 +221,8 @@ def correlation_matrix(df: DataFrame, columns: list[str], exprs: dict[str, Colum
         pairs = [(a, b) for a in columns for b in columns if a < b]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    proj = df.select(*[exprs[c].cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    # a NaN or an infinity is a missing value: it must not hide the correlation of the other rows
+    proj = df.select(*[finite(exprs[c].cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
     idx = {c: i for i, c in enumerate(columns)}
     if method == "gram":
         return _gram_corr(proj, columns, pairs, idx, means)
@@ -243,7 +247,7 @@ def _gram_corr(proj: DataFrame, columns: list[str], pairs: list[tuple[str, str]]
 
     k = len(columns)
     if means is None:
-        means_row = proj.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).collect()[0]
+        means_row = collect_agg(proj, [F.avg(f"c{i}").alias(f"m{i}") for i in range(k)])
         means = {c: means_row[f"m{i}"] for i, c in enumerate(columns)}
     shift = np.array([means.get(c) or 0.0 for c in columns], dtype=np.float64)
     ii = np.array([idx[a] for a, _ in pairs])
@@ -284,26 +288,29 @@ def _gram_corr(proj: DataFrame, columns: list[str], pairs: list[tuple[str, str]]
                       F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("corr"))
 
 
-def correlation_flags(df: DataFrame, target: str, *, threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
-    """Pairs with |r| >= threshold over all columns coerced to numbers.
+def correlation_flags(df: DataFrame, target: str, *, threshold: float = CORRELATION_THRESHOLD,
+                      target_only: bool = False) -> DataFrame:
+    """Pairs with |r| >= threshold over all columns coerced to numbers, strongest first (ties by name);
+    ``target_only`` takes the pairs with the target alone. Non-finite values count as missing.
 
     A column takes part when it has at least two numeric values; nothing is returned when the target does not.
     Output ``(col_a, col_b, corr)``, names ordered a < b, r rounded to 6 digits.
     """
     if target not in df.columns:
-        raise KeyError(f"Target column '{target}' not found in dataset.")
-    exprs = numeric_view(df)
-    counts = df.agg(*[x for i, e in enumerate(exprs.values())
-                      for x in (F.count(e).alias(f"n{i}"), F.avg(e).alias(f"m{i}"))]).collect()[0]
+        raise KeyError(f"no column named '{target}' to use as the target")
+    exprs = {c: finite(e.cast("double")) for c, e in numeric_view(df).items()}
+    counts = collect_agg(df, [x for i, e in enumerate(exprs.values())
+                              for x in (F.count(e).alias(f"n{i}"), F.avg(e).alias(f"m{i}"))])
     cols = [c for i, c in enumerate(exprs) if counts[f"n{i}"] >= 2]
     empty = df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     if target not in cols:
         return empty
     means = {c: counts[f"m{i}"] for i, c in enumerate(exprs)}
-    m = correlation_matrix(df, cols, exprs, means=means)
+    pairs = [(min(c, target), max(c, target)) for c in cols if c != target] if target_only else None
+    m = correlation_matrix(df, cols, exprs, pairs=pairs, means=means)
     r = rnd(F.col("corr"), ROUND_DIGITS)
     return m.where(F.col("corr").isNotNull() & (F.abs(F.col("corr")) >= threshold)).select(
-        "col_a", "col_b", r.alias("corr"))
+        "col_a", "col_b", r.alias("corr")).orderBy(F.abs("corr").desc(), "col_a", "col_b")
 
 
 def outliers_iqr(df: DataFrame, column: str, *, k: float = 1.5, method: str = "exact") -> DataFrame:
@@ -313,7 +320,7 @@ def outliers_iqr(df: DataFrame, column: str, *, k: float = 1.5, method: str = "e
     fraction is over all rows, nulls included; NaN bounds and zeros when the column has no number.
     """
     if column not in df.columns:
-        raise KeyError(f"Column '{column}' not found in dataset.")
+        raise KeyError(f"there is no column '{column}'")
     x = to_num(qcol(column), dtype_of(df, column))
     q1, q3 = quantiles(df, {column: x}, [0.25, 0.75], method)[column]
     if q1 is None:
@@ -338,16 +345,16 @@ def concerns(df: DataFrame, target: str, *, corr_threshold: float = CORRELATION_
     n_rows = df.count()
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     text_cols = [c for c, d in dtypes.items() if is_string(d)]
-    p = prof.where(F.col("column_name") != F.lit(target))
-    all_null = p.where(F.col("missing_fraction") == 1.0).select(
-        "column_name", F.lit("all_null").alias("rule"), F.col("missing_fraction").alias("value"))
-    const = p.where((F.col("cardinality") <= 1) & (F.col("missing_fraction") < 1.0)).select(
-        "column_name", F.lit("constant").alias("rule"), F.col("cardinality").cast("double").alias("value"))
-    ident = p.where(F.col("column_name").isin(text_cols) & (F.col("cardinality") == F.lit(n_rows))
-                    & (F.lit(n_rows) > 1)).select(
-        "column_name", F.lit("identifier").alias("rule"), F.col("cardinality").cast("double").alias("value"))
-    flags = correlation_flags(df, target, threshold=corr_threshold)
-    tc = flags.where((F.col("col_a") == target) | (F.col("col_b") == target)).select(
+    missing, values = F.col("missing_fraction"), F.col("cardinality")
+    rules = {
+        "all_null": (missing == 1.0, missing),
+        "constant": ((values <= 1) & (missing < 1.0), values.cast("double")),
+        "identifier": (F.col("column_name").isin(text_cols) & (values == F.lit(n_rows)) & (F.lit(n_rows) > 1), values.cast("double")),
+    }
+    hits = F.array(*[F.when(cond, F.struct(F.lit(rule).alias("rule"), value.alias("value"))) for rule, (cond, value) in rules.items()])
+    found = prof.where(F.col("column_name") != F.lit(target)).select(
+        "column_name", F.inline(F.filter(hits, lambda h: h.isNotNull())))
+    tc = correlation_flags(df, target, threshold=corr_threshold, target_only=True).select(
         F.when(F.col("col_a") == target, F.col("col_b")).otherwise(F.col("col_a")).alias("column_name"),
         F.lit("target_correlation").alias("rule"), F.col("corr").alias("value"))
-    return all_null.unionByName(const).unionByName(ident).unionByName(tc)
+    return found.unionByName(tc)

@@ -1,43 +1,26 @@
-"""Quantiles of many column expressions in one aggregate job.
-
-``method="exact"`` gives the linearly interpolated order statistic (the pandas / ``quantile_cont`` definition) through
-Spark's ``percentile``; ``method="approx"`` uses ``percentile_approx`` with a bounded sketch per column and task, the
-form to use on very large continuous columns.  ``method="bracket"`` is exact with bounded memory: an approximate pass
-brackets each wanted rank, then only the values inside the bracket are counted (value histogram, so a hot value is
-one row) and the exact order statistics are read off that small histogram.  ``method="auto"`` takes ``exact`` up
-to ``AUTO_EXACT_ROWS`` rows and ``bracket`` above.
+"""Quantiles of many column expressions.
+
+``method="exact"`` gives the linearly interpolated order statistic (the pandas / ``quantile_cont`` definition) with bounded
+memory. Each wanted rank starts with the bracket from minimum to maximum; a bracket that holds too many rows and
+different values is narrowed by sketch quantiles of the values inside it, until none does; then the values inside the
+brackets are counted (a hot value is one row) and the executors read the order statistics off the running counts.
+``method="approx"`` takes the sketch quantiles themselves. ``"auto"`` and ``"bracket"`` are other names of ``"exact"``.
+NaN counts as null.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablesmith.functions.exprs import no_nan
 from tablesmith.operators.aggs import collect_agg
 
 DEFAULT_ACCURACY = 10000
-AUTO_EXACT_ROWS = 5_000_000   # "auto": Spark's exact percentile up to this many rows, the bracket method above
-BRACKET_MAX_VALUES = 20_000   # distinct values per bracket collected in the final histogram
-
-
-def _interp(sorted_counts: list[tuple[float, int]], below: int, n: int, p: float) -> float:
-    """Linear interpolation between order statistics from a (value, count) histogram that starts at rank ``below``."""
-    r = p * (n - 1)
-    lo_rank, hi_rank = math.floor(r), math.ceil(r)
-
-    def order_stat(rank: int) -> float:
-        cum = below
-        for v, c in sorted_counts:
-            cum += c
-            if cum > rank:
-                return v
-        raise ValueError("rank outside bracket")
-
-    lo = order_stat(lo_rank)
-    hi = order_stat(hi_rank) if hi_rank != lo_rank else lo
-    return lo + (hi - lo) * (r - lo_rank)
+BRACKET_ROWS = 200_000   # rows or different values that a counted bracket holds at most
+EXACT_NAMES = ("exact", "auto", "bracket")
 
 
 def quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], method: str = "exact",
@@ -45,98 +28,79 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], metho
     """Return ``{name: [q(p) for p in probs]}``; None where the expression has no non-null value."""
     if not exprs:
         return {}
+    if method not in (*EXACT_NAMES, "approx"):
+        raise ValueError(f"unknown quantile method {method!r}")
     names = list(exprs)
-    if method == "auto":
-        method = "exact" if df.count() <= AUTO_EXACT_ROWS else "bracket"
-    if method == "bracket":
-        return _bracket_quantiles(df, exprs, probs, accuracy)
-    parr = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = []
-    for i, name in enumerate(names):
-        e = exprs[name].cast("double")
-        if method == "exact":
-            aggs.append(F.percentile(e, parr).alias(f"q{i}"))
-        elif method == "approx":
-            aggs.append(F.percentile_approx(e, parr, accuracy).cast("array<double>").alias(f"q{i}"))
-        else:
-            raise ValueError(f"unknown quantile method {method!r}")
-    row = collect_agg(df, aggs, chunk=60)
-    out = {}
-    for i, name in enumerate(names):
-        vals = row[f"q{i}"]
-        out[name] = [None] * len(probs) if vals is None else [None if v is None else float(v) for v in vals]
+    proj = df.select(*[no_nan(exprs[n].cast("double")).alias(f"v{i}") for i, n in enumerate(names)])
+    if method == "approx":
+        parr = F.array(*[F.lit(float(p)) for p in probs])
+        row = collect_agg(proj, [F.percentile_approx(f"v{i}", parr, accuracy).alias(f"q{i}") for i in range(len(names))], chunk=60)
+        return {n: [None] * len(probs) if row[f"q{i}"] is None else [float(v) for v in row[f"q{i}"]] for i, n in enumerate(names)}
+    return _exact(proj, names, probs, accuracy)
+
+
+def _exact(proj: DataFrame, names: list[str], probs: list[float], accuracy: int) -> dict[str, list[float | None]]:
+    first = collect_agg(proj, [x for i in range(len(names)) for x in (
+        F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"))])
+    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
+    targets = [{"i": i, "j": j, "rank": p * (first[f"n{i}"] - 1), "lo": first[f"lo{i}"], "hi": first[f"hi{i}"], "below": 0,
+                "rows": first[f"n{i}"], "values": None, "margin": 2.0 / accuracy}
+               for i in range(len(names)) if first[f"n{i}"] for j, p in enumerate(probs)]
+    _narrow(proj, targets, accuracy)
+    for t, (low, high) in zip(targets, _order_statistics(proj, targets)):
+        out[names[t["i"]]][t["j"]] = low if low == high else low + (high - low) * (t["rank"] - math.floor(t["rank"]))
     return out
 
 
-def _bracket_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
-                       accuracy: int) -> dict[str, list[float | None]]:
-    """Exact quantiles with bounded memory (see module docstring).
+def _count(proj: DataFrame, targets: list[dict], brackets: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
+    """Per bracket: values below it, inside it, and (estimated) different ones inside it."""
+    aggs = []
+    for k, (t, (lo, hi)) in enumerate(zip(targets, brackets)):
+        v = F.col(f"v{t['i']}")
+        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        aggs += [F.count_if(v < F.lit(lo)).alias(f"b{k}"), F.count_if(inside).alias(f"c{k}"),
+                 F.approx_count_distinct(F.when(inside, v), 0.05).alias(f"d{k}")]
+    row = collect_agg(proj, aggs, chunk=60)
+    return [(row[f"b{k}"], row[f"c{k}"], row[f"d{k}"]) for k in range(len(targets))]
 
-    Each wanted rank r = p (n - 1) needs the order statistics at floor(r) and ceil(r).  A value bracket [lo, hi]
-    holding both is narrowed with approximate quantiles of the rows inside it until it holds at most
-    ``BRACKET_MAX_VALUES`` distinct values (HLL estimate); then the ``(value, count)`` histogram inside the bracket
-    (a hot value is one row) plus the count below it give the exact order statistics.  Every round is two
-    aggregate jobs over all brackets at once; with ``accuracy`` A a round shrinks a bracket about A / 4 times."""
-    names = list(exprs)
-    proj = df.select(*[exprs[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    first = proj.agg(*[x for i in range(len(names)) for x in (
-        F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"mn{i}"), F.max(f"v{i}").alias(f"mx{i}"),
-        F.approx_count_distinct(f"v{i}", 0.05).alias(f"d{i}"))]).collect()[0]
-    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-    targets = []
-    for i, name in enumerate(names):
-        n = first[f"n{i}"]
-        if not n:
-            continue
-        for j, p in enumerate(probs):
-            r = p * (n - 1)
-            targets.append({"i": i, "j": j, "n": n, "lo_rank": math.floor(r), "hi_rank": math.ceil(r), "p": p,
-                            "lo": first[f"mn{i}"], "hi": first[f"mx{i}"], "below": 0, "inside": n,
-                            "distinct": first[f"d{i}"], "margin": 2.0 / accuracy})
-    for _round in range(8):
-        pending = [t for t in targets if t["distinct"] > BRACKET_MAX_VALUES / 2 and t["lo"] < t["hi"]]
-        if not pending:
-            break
+
+def _narrow(proj: DataFrame, targets: list[dict], accuracy: int) -> None:
+    """Shrink brackets until each holds few enough rows or different values."""
+    def wide(t: dict) -> bool:
+        return t["lo"] < t["hi"] and t["rows"] > BRACKET_ROWS and (t["values"] is None or t["values"] > BRACKET_ROWS)
+
+    while pending := [t for t in targets if wide(t)]:
         aggs = []
         for k, t in enumerate(pending):
             v = F.col(f"v{t['i']}")
-            inside = F.when((v >= F.lit(t["lo"])) & (v <= F.lit(t["hi"])), v)
-            m = max(1, t["inside"] - 1)
-            rel_lo = max(0.0, (t["lo_rank"] - t["below"]) / m - t["margin"])
-            rel_hi = min(1.0, (t["hi_rank"] - t["below"]) / m + t["margin"])
-            aggs.append(F.percentile_approx(inside, F.array(F.lit(rel_lo), F.lit(rel_hi)), accuracy).alias(f"b{k}"))
-        brow = proj.agg(*aggs).collect()[0]
-        cand = []
-        for k, t in enumerate(pending):
-            lo2, hi2 = brow[f"b{k}"]
-            cand.append((max(t["lo"], lo2), min(t["hi"], hi2)))
-        caggs = []
-        for k, (t, (lo2, hi2)) in enumerate(zip(pending, cand)):
-            v = F.col(f"v{t['i']}")
-            ins = (v >= F.lit(lo2)) & (v <= F.lit(hi2))
-            caggs += [F.count_if(v < F.lit(lo2)).alias(f"below{k}"), F.count_if(ins).alias(f"in{k}"),
-                      F.approx_count_distinct(F.when(ins, v), 0.05).alias(f"d{k}")]
-        crow = proj.agg(*caggs).collect()[0]
-        for k, (t, (lo2, hi2)) in enumerate(zip(pending, cand)):
-            below, inside = crow[f"below{k}"], crow[f"in{k}"]
-            if below <= t["lo_rank"] and below + inside > t["hi_rank"]:
-                t.update(lo=lo2, hi=hi2, below=below, inside=inside, distinct=crow[f"d{k}"])
+            at = (t["rank"] - t["below"]) / max(1, t["rows"] - 1)
+            ends = F.array(F.lit(max(0.0, at - t["margin"])), F.lit(min(1.0, at + t["margin"])))
+            aggs.append(F.percentile_approx(F.when((v >= F.lit(t["lo"])) & (v <= F.lit(t["hi"])), v), ends, accuracy).alias(f"e{k}"))
+        row = collect_agg(proj, aggs, chunk=60)
+        inner = [tuple(row[f"e{k}"]) for k in range(len(pending))]
+        for t, (lo, hi), (b, c, d) in zip(pending, inner, _count(proj, pending, inner)):
+            if b <= math.floor(t["rank"]) and b + c > math.ceil(t["rank"]) and (lo, hi) != (t["lo"], t["hi"]):
+                t.update(lo=lo, hi=hi, below=b, rows=c, values=d, margin=2.0 / accuracy)
+            elif t["margin"] >= 1.0:
+                t["values"] = 0  # nothing left to shrink: count what is there
             else:
-                t["margin"] *= 4  # the sketch missed its bound: retry this bracket with a wider margin
-    # final pass: the value histogram inside every bracket
-    structs = []
-    for b, t in enumerate(targets):
-        v = F.col(f"v{t['i']}")
-        structs.append(F.struct(F.lit(b).alias("b"), F.when((v >= F.lit(t["lo"])) & (v <= F.lit(t["hi"])), v)
-                                .alias("v")))
+                t["margin"] *= 4  # the sketch missed, or nothing shrank: a wider try
+
+
+def _order_statistics(proj: DataFrame, targets: list[dict]) -> list[tuple[float, float]]:
+    """The values at the floor and the ceiling of each target's rank, from running counts inside its bracket."""
     if not targets:
-        return out
-    hist = proj.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull()).groupBy("b", "v").agg(
-        F.count(F.lit(1)).alias("c"))
-    per_b: dict[int, list[tuple[float, int]]] = {}
-    for r in hist.collect():
-        per_b.setdefault(r["b"], []).append((r["v"], r["c"]))
+        return []
+    cells = []
     for b, t in enumerate(targets):
-        counts = sorted(per_b.get(b, []))
-        out[names[t["i"]]][t["j"]] = _interp(counts, t["below"], t["n"], t["p"])
-    return out
+        v = F.col(f"v{t['i']}")
+        # values below the bracket count as one cell before all others (null sorts first)
+        cells.append(F.when(v <= F.lit(t["hi"]), F.struct(F.lit(b).alias("b"), F.when(v >= F.lit(t["lo"]), v).alias("v"))))
+    hist = proj.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull()))).groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = F.array(*[F.array(F.lit(math.floor(t["rank"])), F.lit(math.ceil(t["rank"]))) for t in targets])
+    run = hist.withColumn("upto", upto).withColumn("r", F.element_at(ranks, F.col("b") + 1))
+    holds = lambda k: (F.col("upto") - F.col("n") <= F.col("r")[k]) & (F.col("r")[k] < F.col("upto"))
+    rows = run.groupBy("b").agg(F.max(F.when(holds(0), F.col("v"))).alias("low"), F.max(F.when(holds(1), F.col("v"))).alias("high")).collect()
+    found = {r["b"]: (float(r["low"]), float(r["high"])) for r in rows}
+    return [found[b] for b in range(len(targets))]

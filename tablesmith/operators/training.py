@@ -28,6 +28,11 @@ from tablesmith.session import cut_lineage, persist
 
 log = logging.getLogger(__name__)
 
+PARTITION_BYTES = 64 << 20
+MIN_PARTITION_ROWS = 4_000
+# Fits that run side by side by default.
+PARALLEL_FITS = 3
+
 
 @dataclass
 class FeatureTable:
@@ -59,23 +64,30 @@ def feature_table(df: DataFrame, target: str, problem_type: str, features: list[
     else:
         labels = None
         y = qcol(target).cast("double")
-    # content hash as the row key: reproducible folds without relying on row order or partitioning
-    key = F.xxhash64(*[qcol(c) for c in df.columns])
-    # materialised once: the fold assignment reads it three times (class counts, offsets, ranking window)
-    base = persist(df.select(key.alias("row_id"), *cols, y.alias("label")))
-    base.count()
+    # folds hash the row's content, so they do not depend on row order or partitioning; equal rows share that hash, so
+    # the row key is another one: a unique number, written once together with the rows and never computed again
+    content = F.xxhash64(*[qcol(c) for c in df.columns])
+    base = cut_lineage(df.select(F.monotonically_increasing_id().alias("row_id"), content.alias("__content"),
+                                 *cols, y.alias("label")))
+    n = base.count()
     if problem_type == "classification":
-        folded = stratified_folds(base, "row_id", "label", k=cv)
+        folded = stratified_folds(base, "__content", "label", k=cv)
     else:
-        folded = hash_folds(base, "row_id", k=cv)
+        folded = hash_folds(base, "__content", k=cv)
     vec = VectorAssembler(inputCols=[f"f{i}" for i in range(len(feats))], outputCol="features",
                           handleInvalid="error").transform(folded).select("row_id", "features", "label", "fold")
+    vec = cut_lineage(vec.repartition(training_partitions(df.sparkSession, n, len(feats)), "row_id"))
     vec = persist(vec)
-    n = vec.count()
-    base.unpersist()
     return FeatureTable(vec, feats, medians, labels, problem_type, n)
 
 
+def training_partitions(spark, rows: int, n_features: int) -> int:
+    """Partitions of a feature table: every learner runs one task per partition in each of its many passes, so there
+    are as many as ``PARTITION_BYTES`` asks for, and on small tables one per ``MIN_PARTITION_ROWS`` rows up to the cores."""
+    by_size = -(-rows * (8 * n_features + 32) // PARTITION_BYTES)
+    return int(max(1, by_size, min(spark.sparkContext.defaultParallelism, rows // MIN_PARTITION_ROWS)))
+
+
 def _predict(ft: FeatureTable, est, train: DataFrame, test: DataFrame) -> DataFrame:
     """Fit on ``train``; ``(row_id, label, prediction)`` for ``test``."""
     if isinstance(est, KNNConfig):
@@ -124,18 +136,11 @@ def score_predictions(pred: DataFrame, ft: FeatureTable) -> DataFrame:
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics])))
 
 
-def default_parallelism(spark) -> int:
-    """Concurrent fits: one per 4 GB of driver heap (fitted trees live on the driver), between 1 and 4."""
-    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
-    return int(max(1, min(4, heap // (4 * 2**30))))
-
-
 def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3,
-                parallelism: int | None = None) -> DataFrame:
+                parallelism: int = PARALLEL_FITS) -> DataFrame:
     """K-fold CV of every slot; a failing model is logged and skipped.  Returns the long score table
     ``(model_id, fold, metric, score, seq)``, already computed (cached) so later reads are free."""
     models = models or slots(ft.problem_type)
-    parallelism = parallelism or default_parallelism(ft.df.sparkSession)
     preds = []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         for i, m in enumerate(models):
@@ -156,11 +161,10 @@ def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3,
 
 
 def tune_model(ft: FeatureTable, model_id: str, metric: str, cv: int = 3, n_trials: int = 10, seed: int = 42,
-               parallelism: int | None = None) -> tuple[DataFrame, dict]:
+               parallelism: int = PARALLEL_FITS) -> tuple[DataFrame, dict]:
     """Seeded random search; each trial is cross-validated on the same folds, a failing trial scores +/-inf;
     the best trial's fold scores (all metrics) are returned under ``"<model_id> (Tuned)"`` with its parameters."""
     trials = sample_params(model_id, n_trials, seed)
-    parallelism = parallelism or default_parallelism(ft.df.sparkSession)
     smaller = metric in M.SMALLER_IS_BETTER
     results = []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:

@@ -21,7 +21,7 @@ from tablesmith.functions.exprs import (
 )
 from tablesmith.operators import prep as ops
 from tablesmith.operators.aggs import collect_agg
-from tablesmith.operators.quantiles import AUTO_EXACT_ROWS
+from tablesmith.operators.codes import join_codes
 from tablesmith.plans.spec import MAX_ONEHOT_CARDINALITY, PrepPlan, PrepSpec
 from tablesmith.session import persist
 
@@ -83,62 +83,72 @@ def text_cardinality(df: DataFrame, cols: list[str]) -> dict[str, int]:
     return out
 
 
+#: What an inferred plan does with a column of each role: the list it joins, its encoder, its fill (where values miss).
+ROLE_ACTIONS = {
+    "datetime": ("datetime_cols", None, None),
+    "number": (None, None, "median"),
+    "number_text": ("mixed_numeric_cols", None, "median"),
+    "category": (None, "onehot", "mode"),
+    "unusable": ("drop_cols", None, None),
+}
+
+
+def column_role(stats: dict, distinct: int | None = None) -> str | None:
+    """Role of a column from its statistics; None for text whose number of ``distinct`` values is still needed."""
+    kind, present = stats["type"], stats["n_non_null"]
+    if is_datetime(kind):
+        return "datetime"
+    if is_numeric(kind) or isinstance(kind, T.BooleanType):
+        return "number"
+    if not is_string(kind) or not present:
+        return "unusable"  # nested values cannot be features, an empty text column says nothing
+    if stats["n_number"]:
+        return "number_text"
+    if stats["n_datetime"] >= DATETIME_SHARE * present:
+        return "datetime"
+    if distinct is None:
+        return None
+    return "category" if 1 < distinct <= MAX_ONEHOT_CARDINALITY else "unusable"
+
+
 def infer_plan_from_stats(stats: dict[str, dict], ndv: dict[str, int], target: str) -> PrepPlan:
+    """PIPE-0: each column's role, looked up in ``ROLE_ACTIONS``."""
     plan = PrepPlan()
-    for c, s in stats.items():
-        if c == target:
-            continue
-        dt = s["type"]
-        missing = s["n_non_null"] < s["n_rows"]
-        if is_datetime(dt):
-            plan.datetime_cols.append(c)
-            continue
-        if is_numeric(dt) or isinstance(dt, T.BooleanType):
-            if missing:
-                plan.impute[c] = "median"
-            continue
-        if not is_string(dt):
-            plan.drop_cols.append(c)  # nested values cannot be prepared as features
-            continue
-        nn = s["n_non_null"]
-        if nn == 0:
-            plan.drop_cols.append(c)
-            continue
-        share = s["n_number"] / nn
-        if share > 0:
-            plan.mixed_numeric_cols.append(c)
-            if missing or share < 1.0:
-                plan.impute[c] = "median"
+    for name, s in stats.items():
+        if name == target:
             continue
-        if s["n_datetime"] / nn >= DATETIME_SHARE:
-            plan.datetime_cols.append(c)
-            continue
-        n_unique = ndv.get(c, 0)
-        if n_unique <= 1 or n_unique > MAX_ONEHOT_CARDINALITY:
-            plan.drop_cols.append(c)
-        else:
-            plan.encode[c] = "onehot"
-            if missing:
-                plan.impute[c] = "mode"
+        group, encoder, fill = ROLE_ACTIONS[column_role(s, ndv.get(name, 0))]
+        if group:
+            getattr(plan, group).append(name)
+        if encoder:
+            plan.encode[name] = encoder
+        # text that is not all numbers loses values when it is coerced
+        gaps = s["n_non_null"] < s["n_rows"] or (group == "mixed_numeric_cols" and s["n_number"] < s["n_non_null"])
+        if fill and gaps:
+            plan.impute[name] = fill
     return plan
 
 
 def _categorical_candidates(stats: dict[str, dict], target: str) -> list[str]:
-    out = []
-    for c, s in stats.items():
-        if c == target or not is_string(s["type"]) or s["n_non_null"] == 0:
-            continue
-        if s["n_number"] > 0 or s["n_datetime"] / s["n_non_null"] >= DATETIME_SHARE:
-            continue
-        out.append(c)
-    return out
+    return [c for c, s in stats.items() if c != target and column_role(s) is None]
+
+
+def override_plan(inferred: PrepPlan, given: PrepPlan) -> PrepPlan:
+    """R2: the inferred plan with ``given`` in place of it for every column that ``given`` names; its other settings hold."""
+    plan = given.copy()
+    named = {*given.drop_cols, *given.datetime_cols, *given.mixed_numeric_cols, *given.impute, *given.encode}
+    for group in ("drop_cols", "datetime_cols", "mixed_numeric_cols"):
+        getattr(plan, group).extend(c for c in getattr(inferred, group) if c not in named)
+    plan.impute.update({c: s for c, s in inferred.impute.items() if c not in named})
+    plan.encode.update({c: s for c, s in inferred.encode.items() if c not in named})
+    return plan
 
 
 def infer_plan(df: DataFrame, target: str) -> PrepPlan:
     """PIPE-0: datetime / numeric / text branches; drop all-null, <= 1-value and > 50-value text columns; median
     for numbers and coerced text, mode + one-hot for categories.  Two jobs."""
     if target not in df.columns:
-        raise KeyError(f"Target column '{target}' not found.")
+        raise KeyError(f"no column named '{target}' to use as the target")
     df = ops.drop_null_target(nan_to_null(df), target)
     stats = structure_stats(df)
     ndv = text_cardinality(df, _categorical_candidates(stats, target))
@@ -232,7 +242,9 @@ def staged(df: DataFrame, spec: PrepSpec, upto: str = "scale", keep: list[str] |
                 tail[name] = x.cast("double")
                 kind[name] = "num"
         elif n in spec.ordinal:
-            new[n], kind[n] = ops.ordinal_expr(qcol(n), spec.ordinal[n]), "num"
+            stored = isinstance(spec.ordinal[n], dict)
+            new[n] = ops.ordinal_code(F.col(f"__oc_{n}")) if stored else ops.ordinal_expr(qcol(n), spec.ordinal[n])
+            kind[n] = "num"
         elif n in spec.target_maps:
             entry = spec.target_maps[n]
             if "path" in entry:
@@ -275,6 +287,9 @@ def _with_lookups(df: DataFrame, spec: PrepSpec) -> DataFrame:
     """Join stored target-encoding lookup tables (large category sets) as ``__te_<col>`` columns, keyed on the
     filled column; broadcast only when the size recorded at fit time is small."""
     spark = df.sparkSession
+    for c, entry in spec.ordinal.items():
+        if isinstance(entry, dict) and c in df.columns:
+            df = join_codes(df, qcol(c), entry["path"], f"__oc_{c}")
     for c, entry in spec.target_maps.items():
         if "path" not in entry or c not in df.columns:
             continue
@@ -290,14 +305,18 @@ def _with_lookups(df: DataFrame, spec: PrepSpec) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def _ordered_unique(xs):
-    return list(dict.fromkeys(xs))
+def _check_names(names: list[str]) -> None:
+    """Two prepared columns of one name would silently become one."""
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"preparation makes several columns named {twice}; rename a column or encode it differently")
 
 
-def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return_base: bool = False):
-    """PIPE-1: learn a ``PrepSpec`` from training rows.  The caller's plan is never mutated."""
+def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, infer_rest: bool = False) -> PrepSpec:
+    """PIPE-1: learn a ``PrepSpec`` from training rows.  The caller's plan is never mutated; with ``infer_rest`` the
+    columns it does not name are treated as the inferred plan would."""
     if target not in df.columns:
-        raise KeyError(f"Target column '{target}' not found.")
+        raise KeyError(f"no column named '{target}' to use as the target")
     for f in df.schema.fields:
         if isinstance(f.dataType, NESTED_TYPES) and (plan is None or f.name not in plan.drop_cols):
             raise TypeError(f"Column '{f.name}' is nested ({f.dataType.simpleString()}); drop it before prep.")
@@ -305,29 +324,32 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
     src = ops.drop_null_target(nan_to_null(df), target)
     stats = structure_stats(src)
     inferred = plan is None
-    if plan is None:
+    if plan is None or infer_rest:
         ndv = text_cardinality(src, _categorical_candidates(stats, target))
-        plan = infer_plan_from_stats(stats, ndv, target)  # its one-hot columns have <= 50 values
+        found = infer_plan_from_stats(stats, ndv, target)  # its one-hot columns have <= 50 values
+        plan = found if plan is None else override_plan(found, plan)
     else:
         plan = plan.copy()
     plan.validate(target)
     method = plan.quantiles
-    if method == "auto":  # resolved once from the row count the structure pass already has
-        n_rows = next(iter(stats.values()))["n_rows"] if stats else 0
-        method = "exact" if n_rows <= AUTO_EXACT_ROWS else "bracket"
 
-    known_small = set(plan.encode) if inferred else set()
     all_null = [c for c, s in stats.items() if s["n_non_null"] == 0]
     single = [c for c, s in stats.items() if c != target and s["single"]]
-    dropped = _ordered_unique(all_null + single + plan.drop_cols)
-    if target in dropped:
-        dropped.remove(target)
+    dropped = [c for c in dict.fromkeys((*all_null, *single, *plan.drop_cols)) if c != target]
     if plan.dedupe == "before_drop":
         base = ops.drop_columns(ops.dedupe_rows(src), dropped)
     else:
         base = ops.dedupe_rows(ops.drop_columns(src, dropped))
     base = persist(base)
+    try:
+        return _fit_on(base, df, target, plan, stats, dropped, method, set(plan.encode) if inferred else set(), input_types)
+    finally:
+        base.unpersist()
+
 
+def _fit_on(base: DataFrame, df: DataFrame, target: str, plan: PrepPlan, stats: dict, dropped: list[str], method: str,
+            known_small: set[str], input_types: dict) -> PrepSpec:
+    """The statistics of a resolved plan over the rows that training sees."""
     types = {f.name: f.dataType for f in base.schema.fields}
     spec = PrepSpec(target=target, input_columns=list(df.columns),
                     input_types={k: v.simpleString() for k, v in input_types.items()},
@@ -341,21 +363,18 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
     impute = dict(plan.impute)
     work, kind = staged(base, spec, "coerce")
     cur = {n: qcol(n) for n in kind}
-    for c in spec.datetime_columns:
-        for part in ("year", "month", "day", "dayofweek"):
-            impute.setdefault(f"{c}_{part}", "median")
-    if plan.impute_all:
-        for c, k in kind.items():
-            if k == "num":
-                impute.setdefault(c, "median")
+    dated = set(types) & set(spec.datetime_columns)
+    always = [n for n in kind if kind[n] == "num" and (plan.impute_all or n not in types or n in dated)]
+    impute = dict.fromkeys(always, "median") | impute
     strategies = {c: s for c, s in impute.items() if c in cur and kind[c] != "target"}
     numeric = {c: kind[c] == "num" for c in cur}
     enc = {c: s for c, s in plan.encode.items() if c in cur and kind[c] != "target"}
-    cat_cols = [c for c, s in enc.items() if s in ("onehot", "ordinal")]
+    cat_cols = [c for c, s in enc.items() if s == "onehot" or (s == "ordinal" and c in known_small)]
+    coded = [c for c, s in enc.items() if s == "ordinal" and c not in known_small]
     mode_cols = [c for c, s in strategies.items() if s == "mode"]
     # one histogram job gives the modes and the categories (a mode fill adds no new category)
     hist_cols = list(dict.fromkeys(mode_cols + cat_cols))
-    vs = ops.value_summary(work, {c: cur[c] for c in hist_cols}, numeric, categories_for=cat_cols,
+    vs = ops.value_summary(work, {c: cur[c] for c in hist_cols}, numeric, categories_for=cat_cols, max_categories=None,
                            known_small=frozenset(known_small)) if hist_cols else {}
     other = {c: s for c, s in strategies.items() if s != "mode"}
     spec.fills = ops.fit_fills(work, {c: cur[c] for c in other}, other, numeric, plan.fill_values, method)
@@ -366,19 +385,22 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
     # encoders
     for c in cat_cols:
         cats = vs[c]["categories"]
-        if cats is None:
-            raise ValueError(f"Column '{c}' has too many categories for {enc[c]} encoding.")
         fill = spec.fills.get(c)
         if vs[c]["has_null"] and fill is not None and fill not in cats:
             cats = sorted(cats + [float(fill) if numeric.get(c) else fill])
         (spec.onehot if enc[c] == "onehot" else spec.ordinal)[c] = cats
     te_cols = [c for c, s in enc.items() if s == "target"]
-    if te_cols:
+    if te_cols or coded:
         work, kind = staged(base, spec, "fill")
+    if coded:  # categories of the filled column
+        spec.ordinal.update(ops.fit_categories(work, {c: qcol(c) for c in coded}, numeric, "ordinal"))
+    if te_cols:
         spec.target_maps = ops.fit_target_means(work, {c: qcol(c) for c in te_cols}, qcol(target))
     spec.encoded_columns = [c for c in spec.ordinal] + [c for c in spec.target_maps] + [
         ops.onehot_name(c, cat) for c, cats in spec.onehot.items() for cat in cats]
 
+    _check_names(output_names(spec, types, "encode"))
+
     # clipping: numeric features; by default not encoded columns, original booleans or two-valued columns
     work, kind = staged(base, spec, "encode")
     cur = {n: qcol(n) for n in work.columns}
@@ -394,41 +416,20 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, return
     work, kind = staged(base, spec, "clip")
     spec.scalers = ops.fit_scalers(work, {c: qcol(c) for c in num_cols}, plan.scale_strategy, method)
     spec.output_columns = output_names(spec, types)
-    if return_base:
-        return spec, base
-    base.unpersist()
+    spec.sources = {ops.onehot_name(c, cat): c for c, cats in spec.onehot.items() for cat in cats} | {
+        f"{c}_{part}": c for c in spec.datetime_columns for part in ("year", "month", "day", "dayofweek")}
     return spec
 
 
 def _fit_clip(df: DataFrame, exprs: dict[str, Column], k: float, method: str, skip_two_valued: bool
               ) -> dict[str, list]:
-    """IQR bounds and the two-value test in one aggregate job.
+    """IQR bounds of the columns that are clipped.
 
     A column whose values take at most two distinct numbers is not clipped (by default): for values in [m, M],
     x^2 <= (m + M) x - m M with equality only at m and M, so count, min, max, sum and sum of squares decide it."""
-    if method == "bracket":
-        bounds = ops.fit_clip_iqr(df, exprs, k, method)
-        two = _two_valued_only(df, exprs) if skip_two_valued else set()
-        return {c: b for c, b in bounds.items() if c not in two}
-    parr = F.array(F.lit(0.25), F.lit(0.75))
-    aggs = []
-    for i, e in enumerate(exprs.values()):
-        x = e.cast("double")
-        q = F.percentile(x, parr) if method == "exact" else F.percentile_approx(x, parr, 10000).cast("array<double>")
-        aggs += [q.alias(f"p{i}"), F.count(x).alias(f"n{i}"), F.min(x).alias(f"m{i}"), F.max(x).alias(f"M{i}"),
-                 F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    row = collect_agg(df, aggs)
-    out = {}
-    for i, c in enumerate(exprs):
-        if skip_two_valued and _is_two_valued(*(row[f"{p}{i}"] for p in "nmMsq")):
-            continue
-        qs = row[f"p{i}"]
-        if qs is None or qs[0] is None:
-            out[c] = [float("nan"), float("nan")]
-        else:
-            q1, q3 = float(qs[0]), float(qs[1])
-            out[c] = [q1 - k * (q3 - q1), q3 + k * (q3 - q1)]
-    return out
+    bounds = ops.fit_clip_iqr(df, exprs, k, method)
+    two = _two_valued_only(df, exprs) if skip_two_valued else set()
+    return {c: b for c, b in bounds.items() if c not in two}
 
 
 def _is_two_valued(n, m, M, s, q) -> bool:
@@ -478,9 +479,11 @@ def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train", keep: list[st
         df = df.select(*[qcol(c) for c in spec.input_columns if c in df.columns])
         if spec.target in df.columns:
             df = df.where(qcol(spec.target).isNotNull())
+    if mode == "train" and spec.dedupe == "before_drop":
+        df = ops.dedupe_rows(df)
     df = ops.drop_columns(df, [c for c in spec.dropped_columns if not (mode == "score" and c in passthrough)])
-    if mode == "train":
-        df = df.dropDuplicates()
+    if mode == "train" and spec.dedupe != "before_drop":
+        df = ops.dedupe_rows(df)
     out, _ = staged(df, spec, "scale", keep=passthrough if mode == "score" else ())
     return out
 
@@ -503,5 +506,5 @@ def spec_table(spec: PrepSpec, spark) -> DataFrame:
     for c, (_s, center, sc) in spec.scalers.items():
         rows += [(c, "center", float(center)), (c, "scale", float(sc))]
     for c, cats in {**spec.onehot, **spec.ordinal}.items():
-        rows.append((c, "n_categories", float(len(cats))))
+        rows.append((c, "n_categories", float(cats["size"] if isinstance(cats, dict) else len(cats))))
     return spark.createDataFrame(rows, "column_name string, stat string, value double")

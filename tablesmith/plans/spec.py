@@ -34,7 +34,7 @@ class PrepPlan:
     clip_encoded: bool = False      # True: also clip one-hot / ordinal / target-encoded and <= 2-value columns
     impute_all: bool = False        # True: every numeric feature gets a fill, even without nulls at fit time
     dedupe: str = "after_drop"      # or "before_drop"
-    quantiles: str = "auto"         # "auto" (exact up to 5M rows, else bracket) | "exact" | "bracket" | "approx"
+    quantiles: str = "exact"        # "exact" (bounded memory; "auto" and "bracket" are other names) | "approx"
 
     def copy(self) -> "PrepPlan":
         return copy.deepcopy(self)
@@ -44,14 +44,14 @@ class PrepPlan:
             raise ValueError(f"drop_cols must not contain the target column '{target}'.")
         for c, s in self.impute.items():
             if s not in IMPUTE_STRATEGIES:
-                raise ValueError(f"Unknown imputation strategy: '{s}'")
+                raise ValueError(f"'{s}' is no way to fill column '{c}'; choose one of {IMPUTE_STRATEGIES}")
             if s == "constant" and c not in self.fill_values:
-                raise ValueError(f"fill_value must be provided when strategy='constant' (column '{c}').")
+                raise ValueError(f"a constant fill needs a value (column '{c}')")
         for c, s in self.encode.items():
             if s not in ENCODE_STRATEGIES:
-                raise ValueError(f"Unknown encoder strategy: '{s}'")
+                raise ValueError(f"'{s}' is no encoder for column '{c}'; choose one of {ENCODE_STRATEGIES}")
         if self.scale_strategy not in SCALE_STRATEGIES:
-            raise ValueError(f"Unknown scaler strategy: '{self.scale_strategy}'")
+            raise ValueError(f"'{self.scale_strategy}' is no scaler; choose one of {SCALE_STRATEGIES}")
 
     def to_dict(self) -> dict:
         return dataclasses.asdict(self)
@@ -72,12 +72,13 @@ class PrepSpec:
     bool_columns: list[str] = field(default_factory=list)
     fills: dict[str, object] = field(default_factory=dict)
     onehot: dict[str, list] = field(default_factory=dict)
-    ordinal: dict[str, list] = field(default_factory=dict)
+    ordinal: dict[str, object] = field(default_factory=dict)        # col -> categories, or {"path", "size"} of a code table
     target_maps: dict[str, dict] = field(default_factory=dict)      # col -> {"values": [...], "means": [...], "global_mean": x}
     clip_bounds: dict[str, list[float]] = field(default_factory=dict)
     scalers: dict[str, list] = field(default_factory=dict)          # col -> [strategy, center, scale]
     output_columns: list[str] = field(default_factory=list)
     encoded_columns: list[str] = field(default_factory=list)
+    sources: dict[str, str] = field(default_factory=dict)           # prepared feature -> raw column, where they differ
     dedupe: str = "after_drop"
     plan: dict = field(default_factory=dict)
 

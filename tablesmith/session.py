@@ -40,7 +40,8 @@ def get_session(master: str | None = None, app: str = "tablesmith", shuffle_part
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when nothing is configured (local tests) a fresh scratch folder is set.
+    Read from the session. Only a local session without that setting (tests) gets a fresh scratch folder; on a cluster
+    a missing setting is an error, since executors cannot see a folder of the driver's machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="tablesmith-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

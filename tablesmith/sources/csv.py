@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.functions.exprs import NA_TOKENS, NUMBER_PATTERN, qcol
+from tablesmith.operators.aggs import collect_agg
 
 INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 BOOL_PATTERN = r"^(?i)(true|false)$"
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST").csv(path)
+def read_text_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """All columns as text, NA tokens as null. ``multiline`` reads quoted line breaks (a file is then one task)."""
+    df = spark.read.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"').option("inferSchema", False).option("mode", "FAILFAST").csv(path)
     if not df.columns:
         raise ValueError(f"CSV at {path} has no columns")
     return df.select(*[F.when(qcol(c).isin(NA_TOKENS), None).otherwise(qcol(c)).alias(c) for c in df.columns])
@@ -27,9 +29,10 @@ def infer_types(df: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(df.columns):
         x = qcol(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.rlike(INT_PATTERN)).alias(f"i{i}"),
+        whole = x.rlike(INT_PATTERN) & F.trim(x).try_cast("long").isNotNull()  # beyond a long it is a number
+        aggs += [F.count(x).alias(f"n{i}"), F.count_if(whole).alias(f"i{i}"),
                  F.count_if(x.rlike(NUMBER_PATTERN)).alias(f"d{i}"), F.count_if(x.rlike(BOOL_PATTERN)).alias(f"b{i}")]
-    row = df.agg(*aggs).collect()[0]
+    row = collect_agg(df, aggs)
     out = []
     for i, c in enumerate(df.columns):
         n = row[f"n{i}"]
@@ -47,9 +50,9 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def load_csv(spark: SparkSession, path: str) -> DataFrame:
+def load_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Read, null the NA tokens, infer types; raises when the file has no rows."""
-    df = infer_types(read_text_csv(spark, path))
+    df = infer_types(read_text_csv(spark, path, multiline))
     if df.isEmpty():
         raise ValueError(f"CSV at {path} has no rows")
     return df

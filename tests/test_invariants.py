@@ -104,8 +104,9 @@ def test_hash_folds_cover_all_rows(spark):
 def test_bracket_quantiles_equal_exact(spark):
     li = load_table(spark, SF_SMALL, "lineitem")
     exprs = {c: F.col(c) for c in ["l_quantity", "l_extendedprice", "l_discount"]}
-    a = quantiles(li, exprs, [0.1, 0.25, 0.5, 0.75, 0.99], "exact")
-    b = quantiles(li, exprs, [0.1, 0.25, 0.5, 0.75, 0.99], "bracket", accuracy=100)
+    probs = [0.1, 0.25, 0.5, 0.75, 0.99]
+    a = li.agg(*[F.percentile(e, F.array(*map(F.lit, probs))).alias(c) for c, e in exprs.items()]).first()
+    b = quantiles(li, exprs, probs, accuracy=100)
     for c in exprs:
         assert a[c] == pytest.approx(b[c], rel=1e-12)
 
@@ -128,13 +129,13 @@ def test_expressions_are_shared_between_fit_and_apply(fitted):
 
 def test_bracket_narrowing_with_a_hot_value(spark, monkeypatch):
     import tablesmith.operators.quantiles as Q
-    monkeypatch.setattr(Q, "BRACKET_MAX_VALUES", 50)   # force several narrowing rounds on a small table
+    monkeypatch.setattr(Q, "BRACKET_ROWS", 50)   # force several narrowing rounds on a small table
     li = load_table(spark, SF_SMALL, "lineitem").withColumn(
         "hot", F.when(F.col("l_orderkey") % 3 == 0, F.lit(7.0)).otherwise(F.col("l_extendedprice")))
     exprs = {"hot": F.col("hot"), "l_partkey": F.col("l_partkey")}
     probs = [0.0, 0.2, 0.5, 0.77, 1.0]
-    a = quantiles(li, exprs, probs, "exact")
-    b = quantiles(li, exprs, probs, "bracket", accuracy=50)
+    a = li.agg(*[F.percentile(e, F.array(*map(F.lit, probs))).alias(c) for c, e in exprs.items()]).first()
+    b = quantiles(li, exprs, probs, accuracy=50)
     for c in exprs:
         assert a[c] == pytest.approx(b[c], rel=1e-12)
 
