@@ -212,7 +212,8 @@ def q_custom_expr(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", *_CUSTOM)
 
 
-@register("custom_pandas")
+@register("custom_pandas", "SELECT l_orderkey, l_linenumber, l_extendedprice, l_tax, l_extendedprice * l_tax AS tax_amount "
+                           "FROM lineitem")
 def q_custom_pandas(spark, sf_dir):
     li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax")
 

@@ -43,7 +43,7 @@ from tablesmith.plans.run import run  # noqa: E402
 from tablesmith.session import checkpoint_dir  # noqa: E402
 from tablesmith.sources.bundle import load_bundle, predict_from_bundle, save_bundle  # noqa: E402
 from tablesmith.sources.fixtures import DIRTY_TARGET, dirty  # noqa: E402
-from tablesmith.streaming.state import fold_state  # noqa: E402
+from tablesmith.streaming.state import appended_items, fold_state, run_state_stream  # noqa: E402
 
 
 def _prepared(spark, sf_dir, drop_leak: bool = True):
@@ -187,12 +187,11 @@ def q_score_stream(spark, sf_dir):
     from tablesmith.sources.fixtures import DIRTY_SQL
     stream_dirty = spark.sql(DIRTY_SQL, orders=src)
     scored = predict_from_bundle(b, stream_dirty, keep=["customer_id"]).select("customer_id", "prediction")
-    name = "score_stream_" + os.path.basename(_bundle_dir(spark, "stream")).replace("-", "_")
-    ck = os.path.join(checkpoint_dir(spark), "streams", name)
-    qy = scored.writeStream.format("memory").queryName(name).outputMode("append") \
-        .option("checkpointLocation", ck).trigger(availableNow=True).start()
+    sink = _bundle_dir(spark, "stream")
+    qy = scored.writeStream.format("parquet").outputMode("append").option("path", sink) \
+        .option("checkpointLocation", sink + "-checkpoint").trigger(availableNow=True).start()
     qy.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(scored.schema).parquet(sink)
 
 
 @register("fold_state", "SELECT user_id, max_by(event_type, event_id) AS last_event_type, count(value) AS n_value "
@@ -207,13 +206,13 @@ def q_fold_state_stream(spark, sf_dir):
     """ST1 as a streaming aggregation (update mode, state store) over the ``events`` file."""
     ev = load_table(spark, sf_dir, "events")
     src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    agg = fold_state(src, "user_id", "event_id", ["event_type"], ["value"])
-    name = "fold_state_" + os.path.basename(_bundle_dir(spark, "state")).replace("-", "_")
-    ck = os.path.join(checkpoint_dir(spark), "streams", name)
-    qy = agg.writeStream.format("memory").queryName(name).outputMode("complete") \
-        .option("checkpointLocation", ck).trigger(availableNow=True).start()
-    qy.awaitTermination()
-    return spark.table(name)
+    return run_state_stream(spark, src, "user_id", "event_id", ["event_type"], ["value"], _bundle_dir(spark, "state"))
+
+
+@register("state_appended", "SELECT user_id, event_id, value FROM events WHERE value IS NOT NULL")
+def q_state_appended(spark, sf_dir):
+    """ST1: the values of an append key, one row each in a run's order of ``event_id``."""
+    return appended_items(load_table(spark, sf_dir, "events"), "user_id", "event_id", "value")
 
 
 @register("battery_summary")

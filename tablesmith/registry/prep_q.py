@@ -11,6 +11,7 @@ from tablesmith.operators.sampling import sample_n
 from tablesmith.plans.prep_fit import apply_prep, fit_prep, infer_plan, plan_table, prep_dataframe, spec_table
 from tablesmith.registry import duck_num, duck_ts, register, union_all, with_fixtures
 from tablesmith.sources.fixtures import DIRTY_COLUMNS, DIRTY_TARGET, dirty
+from tablesmith.plans.spec import PrepPlan
 from tablesmith.sources.tables import load_table
 
 Q = '"'
@@ -137,6 +138,56 @@ def q_label_encode(spark, sf_dir):
     return enc.select("event_id", "label")
 
 
+@register("label_encode_many", """
+SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS label FROM customer""")
+def q_label_encode_many(spark, sf_dir):
+    """E13 over a column with as many labels as rows: codes come from a stored table."""
+    enc, _ = label_encode(load_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "label")
+    return enc.select("c_custkey", "label")
+
+
+@register("ordinal_many", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS DOUBLE) AS o_custkey FROM orders""")
+def q_ordinal_many(spark, sf_dir):
+    """E2/E4 over thousands of categories."""
+    o = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return ops.transform_encoders(o, ops.fit_encoders(o, ["o_custkey"], "ordinal"))
+
+
+@register("onehot_many", """
+SELECT c_custkey, 'c_nationkey_' || CAST(CAST(c_nationkey AS DOUBLE) AS VARCHAR) AS hot FROM customer""")
+def q_onehot_many(spark, sf_dir):
+    """E1 without a cap: one output column per nation, read back as the name of the column that is set."""
+    c = load_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("c_nationkey"))
+    wide = ops.transform_encoders(c, ops.fit_encoders(c, ["c_nationkey"], "onehot"))
+    names = [n for n in wide.columns if n != "c_custkey"]
+    return wide.select("c_custkey", F.array_join(F.array_compact(F.array(*[F.when(qcol(n) == 1, F.lit(n)) for n in names])), ",").alias("hot"))
+
+
+@register("dedupe_before_drop", """
+SELECT l_suppkey AS y, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_quantity FROM lineitem)
+GROUP BY l_suppkey""")
+def q_dedupe_before_drop(spark, sf_dir):
+    """Rows are compared before columns are dropped, at fit and at apply."""
+    li = load_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("y"), "l_orderkey", "l_linenumber", "l_quantity")
+    plan = PrepPlan(drop_cols=["l_orderkey", "l_linenumber"], dedupe="before_drop")
+    out, _ = prep_dataframe(li, "y", plan)
+    return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("plan_override", """
+SELECT 'segment' AS column_name, 'ordinal' AS action UNION ALL SELECT 'region', 'onehot' UNION ALL
+SELECT 'customer_id', 'drop' UNION ALL SELECT 'signup_date', 'datetime' UNION ALL SELECT 'credit_score_text', 'coerce'
+UNION ALL SELECT 'age', 'drop' UNION ALL SELECT 'annual_income', 'keep' UNION ALL SELECT 'tenure_months', 'keep' UNION ALL
+SELECT 'monthly_usage_gb', 'keep' UNION ALL SELECT 'leaky_churn_copy', 'keep' UNION ALL SELECT 'churn', 'target' UNION ALL
+SELECT 'all_null_feature', 'keep' UNION ALL SELECT 'legacy_flag', 'drop'""")
+def q_plan_override(spark, sf_dir):
+    """R2: a given plan for two columns, the inferred one for the others."""
+    d = dirty(spark, sf_dir)
+    spec = fit_prep(d, DIRTY_TARGET, PrepPlan(drop_cols=["age"], encode={"segment": "ordinal"}), infer_rest=True)
+    return plan_table(PrepPlan.from_dict(spec.plan), d.columns, DIRTY_TARGET, spark).select("column_name", "action")
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Fills
 # ---------------------------------------------------------------------------------------------------------------

@@ -160,3 +160,31 @@ SELECT CASE WHEN col_a = 'churn' THEN col_b ELSE col_a END, 'target_correlation'
 @register("concerns", with_fixtures(_CONCERNS, "dirty"))
 def q_concerns(spark, sf_dir):
     return P.concerns(dirty(spark, sf_dir), DIRTY_TARGET)
+
+
+@register("cardinality_big_keys", """
+SELECT 'big' AS column_name, count(DISTINCT o_orderkey) AS cardinality FROM orders
+UNION ALL SELECT 'small', count(DISTINCT o_orderkey % 7) FROM orders""")
+def q_cardinality_big_keys(spark, sf_dir):
+    """A3 on integers that a double cannot tell apart."""
+    o = load_table(spark, sf_dir, "orders").select((F.lit(2**60) + F.col("o_orderkey")).alias("big"), (F.col("o_orderkey") % 7).alias("small"))
+    return P.cardinality(o)
+
+
+@register("corr_flags_nan", """
+SELECT 'copy' AS col_a, 'l_quantity' AS col_b, 1.0e0 AS corr FROM lineitem HAVING count(*) > 0""")
+def q_corr_flags_nan(spark, sf_dir):
+    """A copy of the target with NaN and infinite values in it is still flagged."""
+    li = load_table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("l_quantity"), F.when(
+        F.col("l_orderkey") % 5 == 0, F.lit(float("nan"))).when(F.col("l_orderkey") % 7 == 0, F.lit(float("inf")))
+        .otherwise(F.col("l_quantity").cast("double")).alias("copy"))
+    return P.correlation_flags(li, "l_quantity")
+
+
+@register("balance_order", """
+SELECT row_number() OVER (ORDER BY n DESC, label) AS position, label FROM (
+  SELECT CAST(l_returnflag AS VARCHAR) AS label, count(*) AS n FROM lineitem GROUP BY l_returnflag)""")
+def q_balance_order(spark, sf_dir):
+    """Class shares come largest first."""
+    rows = P.target_balance(load_table(spark, sf_dir, "lineitem"), "l_returnflag", "classification")
+    return rows.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("position"), "label")

@@ -7,10 +7,13 @@ stay a long table ``(run, seq, value)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.functions.exprs import qcol
+from tablesmith.session import checkpoint_dir
 
 
 def fold_state(events: DataFrame, run: str, seq: str, overwrite: list[str], append: list[str]) -> DataFrame:
@@ -25,11 +28,22 @@ def appended_items(events: DataFrame, run: str, seq: str, key: str) -> DataFrame
     return events.where(qcol(key).isNotNull()).select(qcol(run), qcol(seq), qcol(key))
 
 
-def fold_state_stream(spark, source_dir: str, schema, run: str, seq: str, overwrite: list[str], append: list[str],
-                      query_name: str, checkpoint: str):
-    """Start a streaming fold in update mode into an in-memory table ``query_name`` (state kept in the state
-    store, checkpointed for restart)."""
-    src = spark.readStream.schema(schema).parquet(source_dir)
-    agg = fold_state(src, run, seq, overwrite, append)
-    return (agg.writeStream.outputMode("update").format("memory").queryName(query_name)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def run_state_stream(spark: SparkSession, source: DataFrame, run: str, seq: str, overwrite: list[str], append: list[str],
+                     sink_dir: str, checkpoint: str | None = None) -> DataFrame:
+    """Fold a stream until its present end and return the state per run.
+
+    The running state is kept in the state store; each micro-batch writes the changed runs with the batch's number below
+    ``sink_dir`` (a replayed batch overwrites its own folder), and the last version of each run is read back.
+    """
+    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "streams", os.path.basename(sink_dir.rstrip("/")))
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
+
+    folded = fold_state(source, run, seq, overwrite, append)
+    query = folded.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = spark.read.parquet(sink_dir)
+    last = states.groupBy(qcol(run)).agg(F.max_by(F.struct(*[qcol(c) for c in folded.columns]), "batch_id").alias("s"))
+    return last.select("s.*")
