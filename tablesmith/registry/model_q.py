@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesmith.operators.knn import knn_leave_one_out
-from tablesmith.registry import register
+from tablesmith.operators.models import CLASSIFIERS
+from tablesmith.registry import register, with_fixtures
 from tablesmith.sources.tables import load_table
 
 _KNN_SQL = """
@@ -111,14 +112,48 @@ def q_feature_matrix(spark, sf_dir):
     return ft.df.select(arr[0].alias("f0"), arr[1].alias("f1"), "label")
 
 
-@register("battery")
+#: Rows of the prepared ``dirty`` table without its leak: distinct ones with a target, the dropped columns aside.
+_PREPARED_ROWS = """(SELECT count(*) FROM (SELECT DISTINCT age, annual_income, tenure_months, monthly_usage_gb, segment, region,
+  credit_score_text, signup_date, churn FROM dirty WHERE churn IS NOT NULL))"""
+_BATTERY_SQL = f"""SELECT model_id, metric, CAST(3 AS BIGINT) AS n_folds, true AS in_range, {_PREPARED_ROWS} AS n_rows FROM
+  (SELECT unnest({CLASSIFIERS!r}) AS model_id), (SELECT unnest(['accuracy', 'f1']) AS metric)"""
+
+
+@register("battery", with_fixtures(_BATTERY_SQL, "dirty"))
 def q_battery(spark, sf_dir):
+    """Every slot scored on every fold of the whole prepared table; scores lie between 0 and 1."""
     prepped, _ = _prepared(spark, sf_dir)
     ft = feature_table(prepped, DIRTY_TARGET, "classification", cv=3)
-    scores = run_battery(ft, cv=3)
-    s = cv_summary(scores)
-    return _materialised(s.select("model_id", "metric", rnd(F.col("mean_score")).alias("mean_score"),
-                                  rnd(F.col("std_score")).alias("std_score"), "n_folds"), ft, scores)
+    s = cv_summary(run_battery(ft, cv=3))
+    return _materialised(s.select("model_id", "metric", "n_folds", F.col("mean_score").between(0, 1).alias("in_range"),
+                                  F.lit(ft.n_rows).cast("long").alias("n_rows")), ft)
+
+
+@register("knn_cv_duplicates", """
+SELECT CAST(fold AS INTEGER) AS fold, CAST(0 AS BIGINT) AS missing, true AS all_rows FROM (SELECT unnest([0, 1, 2]) AS fold)
+WHERE (SELECT count(*) FROM customer) > 0""")
+def q_knn_cv_duplicates(spark, sf_dir):
+    """M8 in cross-validation on a table of repeated rows: as many predictions as rows."""
+    c = load_table(spark, sf_dir, "customer").select(F.col("c_acctbal"), (F.col("c_nationkey") % 3).alias("y"))
+    ft = feature_table(c.union(c).union(c), "y", "classification", cv=3)
+    p = cv_predictions(ft, "KNN", None, 3)
+    n = F.count(F.lit(1))
+    folds = ft.df.groupBy(F.col("fold").alias("f")).agg(n.alias("rows"))
+    out = p.groupBy("fold").agg(n.alias("n"), F.count_if(F.col("prediction").isNull()).alias("missing")).join(folds, F.col("fold") == F.col("f"))
+    return _materialised(out.select("fold", "missing", (F.col("n") == F.col("rows")).alias("all_rows")), ft)
+
+
+@register("leak_beside_onehot", """
+SELECT 'kind_code' AS dropped, CAST(2 AS INTEGER) AS attempts FROM customer HAVING count(*) > 0""")
+def q_leak_beside_onehot(spark, sf_dir):
+    """L3: a leaking number whose name begins like a one-hot column's; only the number is dropped."""
+    c = load_table(spark, sf_dir, "customer")
+    y = (F.col("c_custkey") % 2).alias("y")
+    d = c.select(F.concat(F.lit("k"), F.col("c_nationkey") % 4).alias("kind"), (F.col("c_custkey") % 2 * 2 + 1).alias("kind_code"), "c_acctbal", y)
+    r = run(spark, d, "y", models=["LogisticRegression"], tune=False)
+    out = spark.createDataFrame([(",".join(r.dropped_for_leakage), r.attempts)], "dropped string, attempts int")
+    r.release()
+    return out
 
 
 @register("tune")
@@ -129,18 +164,18 @@ def q_tune(spark, sf_dir):
     return _materialised(cv_summary(scores).withColumn("best_C", F.lit(float(params["C"]))), ft)
 
 
-@register("automl_run")
+@register("automl_run", f"""SELECT model_id, metric, CAST(3 AS BIGINT) AS n_folds, 'leaky_churn_copy' AS dropped_for_leakage, 2 AS attempts,
+  true AS reported FROM (SELECT unnest({CLASSIFIERS!r}) AS model_id), (SELECT unnest(['accuracy', 'f1']) AS metric)
+  WHERE (SELECT count(*) FROM orders) > 0""")
 def q_automl_run(spark, sf_dir):
-    """End to end on ``dirty`` with the leak kept: the leakage loop must drop ``leaky_churn_copy``.
-
-    Battery of LogisticRegression and KNN (tuned, 5 trials each): it must fit a 1 GB driver heap next to every other
-    check; forests tuned up to 200 trees of depth 12 do not."""
-    r = run(spark, dirty(spark, sf_dir), DIRTY_TARGET, models=["LogisticRegression", "KNN"], n_trials=5)
-    s = cv_summary(r.scores)
-    out = s.select("model_id", "metric", rnd(F.col("mean_score")).alias("mean_score"),
-                   F.lit(r.best_model_id).alias("best_model"),
-                   F.lit(",".join(r.dropped_for_leakage)).alias("dropped_for_leakage"),
-                   F.lit(r.attempts).alias("attempts")).persist()
+    """End to end on ``dirty`` with the leak kept: the leakage loop must drop ``leaky_churn_copy``, the full battery runs, the
+    two best models are tuned with ten trials each, and the report and the bundle are written."""
+    folder = _bundle_dir(spark, "run")
+    r = run(spark, dirty(spark, sf_dir), DIRTY_TARGET, report_path=f"{folder}/report", bundle_path=f"{folder}/bundle")
+    reported = not spark.read.text(f"{folder}/report").isEmpty() and load_bundle(spark, f"{folder}/bundle")["target"] == DIRTY_TARGET
+    s = cv_summary(r.scores).where(~F.col("model_id").contains("(Tuned)"))
+    out = s.select("model_id", "metric", "n_folds", F.lit(",".join(r.dropped_for_leakage)).alias("dropped_for_leakage"),
+                   F.lit(r.attempts).alias("attempts"), F.lit(reported).alias("reported")).persist()
     out.count()
     r.release()
     return out
