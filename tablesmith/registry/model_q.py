@@ -70,22 +70,59 @@ def _model_scores(model_id: str):
     def q(spark, sf_dir):
         prepped, _ = _prepared(spark, sf_dir)
         ft = feature_table(prepped, DIRTY_TARGET, "classification", cv=3)
-        return _materialised(score_predictions(cv_predictions(ft, model_id, None, 3), ft).select(
-            "model_id", "fold", "metric", rnd(F.col("score")).alias("score")), ft)
+        return _fold_facts(ft, cv_predictions(ft, model_id, None, 3))
     return q
 
 
+def _fold_facts(ft, predictions):
+    """Facts of a cross-validation that hold for any right learner, per fold and metric: every row of the fold is
+    predicted once, each class model answers with a known class, and the score is a number within its bounds."""
+    predictions = predictions.persist()
+    scores = score_predictions(predictions, ft)
+    low, high = (0.0, 1.0) if ft.labels else (float("-inf"), float("inf"))
+    known = F.col("prediction").isin([float(i) for i in range(len(ft.labels))]) if ft.labels else F.col("prediction").isNotNull()
+    n = F.count(F.lit(1))
+    facts = predictions.groupBy("fold").agg(n.alias("n"), F.count_if(~known).alias("unknown"))
+    rows = ft.df.groupBy(F.col("fold").alias("f")).agg(n.alias("rows"))
+    facts = facts.join(rows, F.col("fold") == F.col("f")).select("fold", (F.col("n") == F.col("rows")).alias("all_rows"), "unknown")
+    out = scores.join(facts, "fold").select("model_id", "fold", "metric", "all_rows", "unknown",
+                                            F.col("score").between(low, high).alias("in_range"))
+    return _materialised(out, ft, predictions)
+
+
+def _fold_facts_sql(model_id, metrics):
+    return f"""SELECT '{model_id}' AS model_id, CAST(fold AS INTEGER) AS fold, metric, true AS all_rows, CAST(0 AS BIGINT) AS unknown,
+  true AS in_range FROM (SELECT unnest([0, 1, 2]) AS fold), (SELECT unnest({metrics!r}) AS metric)
+  WHERE (SELECT count(*) FROM orders) > 0"""
+
+
 for _mid, _key in [("LogisticRegression", "model_logreg"), ("RandomForest", "model_rf"),
                    ("GradientBoosting", "model_gbt"), ("GradientBoostingDeep", "model_gbt_deep"),
                    ("SVM", "model_svc")]:
-    register(_key)(_model_scores(_mid))
+    register(_key, _fold_facts_sql(_mid, ["accuracy", "f1"]))(_model_scores(_mid))
+
+
+@register("logreg_balance", """
+SELECT l_returnflag, round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0e0 ELSE 0.0e0 END), 4) AS mean_probability FROM lineitem
+GROUP BY l_returnflag""")
+def q_logreg_balance(spark, sf_dir):
+    """M1: the score equations of an (almost) unpenalised logistic regression on class indicators make the mean predicted
+    probability of each group equal its observed share."""
+    li = load_table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", (F.col("l_returnflag") == "A").cast("int").alias("a"), (F.col("l_returnflag") == "N").cast("int").alias("n"), "l_linestatus")
+    ft = feature_table(li, "l_linestatus", "classification", features=["a", "n"], cv=3)
+    model = fit_final_model(ft, "LogisticRegression", {"C": 1e6}).spark_model
+    from pyspark.ml.functions import vector_to_array
+    x = vector_to_array("features")
+    flag = F.when(x[0] == 1, "A").when(x[1] == 1, "N").otherwise("R")
+    scored = model.transform(ft.df).select(flag.alias("l_returnflag"), vector_to_array("probability")[1].alias("p"))
+    return _materialised(scored.groupBy("l_returnflag").agg(F.round(F.avg("p"), 4).alias("mean_probability")), ft)
 
 
-@register("model_svr")
+@register("model_svr", _fold_facts_sql("SVR", ["mae", "rmse", "r2"]))
 def q_model_svr(spark, sf_dir):
-    li = load_table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    ft = feature_table(li, "l_extendedprice", "regression", cv=3)
-    return _materialised(score_predictions(cv_predictions(ft, "SVR", None, 3), ft), ft)
+    ft = feature_table(load_table(spark, sf_dir, "lineitem"), "l_extendedprice", "regression", cv=3)
+    return _fold_facts(ft, cv_predictions(ft, "SVR", None, 3))
 
 
 @register("model_linreg", """
@@ -96,9 +133,7 @@ def q_model_linreg(spark, sf_dir):
     ft = feature_table(li, "l_extendedprice", "regression", features=["l_quantity"], cv=3)
     fm = fit_final_model(ft, "LinearRegression")
     m = fm.spark_model
-    return ft.df.agg(F.count(F.lit(1)).alias("_n")).select(
-        F.round(F.lit(float(m.coefficients[0])), 4).alias("slope"), F.round(F.lit(float(m.intercept)), 4).alias(
-            "intercept"))
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 4), round(float(m.intercept), 4))], "slope double, intercept double")
 
 
 @register("feature_matrix", """
@@ -156,12 +191,16 @@ def q_leak_beside_onehot(spark, sf_dir):
     return out
 
 
-@register("tune")
+@register("tune", """SELECT 'LogisticRegression (Tuned)' AS model_id, metric, CAST(3 AS BIGINT) AS n_folds, true AS in_space, true AS as_recomputed
+  FROM (SELECT unnest(['accuracy', 'f1']) AS metric) WHERE (SELECT count(*) FROM orders) > 0""")
 def q_tune(spark, sf_dir):
     prepped, _ = _prepared(spark, sf_dir)
     ft = feature_table(prepped, DIRTY_TARGET, "classification", cv=3)
     scores, params = tune_model(ft, "LogisticRegression", "f1", cv=3, n_trials=10)
-    return _materialised(cv_summary(scores).withColumn("best_C", F.lit(float(params["C"]))), ft)
+    again = {r["metric"]: r["mean_score"] for r in cv_summary(score_predictions(cv_predictions(ft, "LogisticRegression", params, 3), ft)).collect()}
+    same = F.abs(F.col("mean_score") - F.element_at(F.create_map(*[F.lit(x) for kv in again.items() for x in kv]), F.col("metric"))) < 1e-9
+    return _materialised(cv_summary(scores).select("model_id", "metric", "n_folds", F.lit(1e-4 <= params["C"] <= 1e2).alias("in_space"),
+                                                   same.alias("as_recomputed")), ft)
 
 
 @register("automl_run", f"""SELECT model_id, metric, CAST(3 AS BIGINT) AS n_folds, 'leaky_churn_copy' AS dropped_for_leakage, 2 AS attempts,
@@ -192,31 +231,49 @@ def _trained_bundle(spark, sf_dir):
     spec = fit_prep(d, DIRTY_TARGET)
     prepped = apply_prep(d, spec, "train")
     ft = feature_table(prepped, DIRTY_TARGET, "classification", cv=3)
-    fm = fit_final_model(ft, "RandomForest", {"n_estimators": 30, "max_depth": 8})
+    fm = fit_final_model(ft, "RandomForest")
     path = _bundle_dir(spark, "bundle")
     save_bundle(spark, fm, spec, path)
-    return load_bundle(spark, path)
+    loaded = load_bundle(spark, path)
+    return loaded, {**loaded, "model": fm.spark_model, "spec": spec}
 
 
-@register("bundle_roundtrip")
+def _same_rows(a, b) -> bool:
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+@register("bundle_roundtrip", with_fixtures("""
+SELECT 'RandomForest' AS model_id, 'classification' AS problem_type, 'churn' AS target,
+  CAST(9 + count(DISTINCT segment) + count(DISTINCT region) AS INTEGER) AS n_features,
+  string_agg(DISTINCT CAST(churn AS VARCHAR), ',' ORDER BY CAST(churn AS VARCHAR)) AS labels FROM dirty""", "dirty"))
 def q_bundle_roundtrip(spark, sf_dir):
-    b = _trained_bundle(spark, sf_dir)
+    """Five numbers, four date parts and the one-hot columns come back as the model's features."""
+    b, _ = _trained_bundle(spark, sf_dir)
     return spark.createDataFrame([(b["model_id"], b["problem_type"], b["target"], len(b["features"]),
                                    ",".join(str(x) for x in b["labels"]))],
                                  "model_id string, problem_type string, target string, n_features int, labels string")
 
 
-@register("score_batch")
+_SCORED_SQL = with_fixtures("SELECT customer_id, true AS scored, true AS agrees FROM dirty", "dirty")
+
+
+def _scored_rows(scored, other):
+    return scored.select("customer_id", F.col("prediction").isin(0, 1).alias("scored"), F.lit(_same_rows(scored, other)).alias("agrees"))
+
+
+@register("score_batch", _SCORED_SQL)
 def q_score_batch(spark, sf_dir):
-    """Every raw row (nulls, duplicates and all) gets one prediction, keyed by ``customer_id``."""
-    b = _trained_bundle(spark, sf_dir)
-    return predict_from_bundle(b, dirty(spark, sf_dir), keep=["customer_id"]).select("customer_id", "prediction")
+    """Every raw row (nulls, duplicates and all) gets one prediction, keyed by ``customer_id``, and the loaded bundle
+    predicts what the model in memory does."""
+    b, memory = _trained_bundle(spark, sf_dir)
+    scored, other = (predict_from_bundle(x, dirty(spark, sf_dir), keep=["customer_id"]).select("customer_id", "prediction") for x in (b, memory))
+    return _scored_rows(scored, other)
 
 
-@register("score_stream")
+@register("score_stream", _SCORED_SQL)
 def q_score_stream(spark, sf_dir):
-    """The same scoring on a stream of ``orders`` files; equals ``score_batch`` row for row."""
-    b = _trained_bundle(spark, sf_dir)
+    """The same scoring on a stream of ``orders`` files agrees with batch scoring row for row."""
+    b, _ = _trained_bundle(spark, sf_dir)
     orders_schema = load_table(spark, sf_dir, "orders").schema
     src = spark.readStream.schema(orders_schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     from tablesmith.sources.fixtures import DIRTY_SQL
@@ -226,7 +283,8 @@ def q_score_stream(spark, sf_dir):
     qy = scored.writeStream.format("parquet").outputMode("append").option("path", sink) \
         .option("checkpointLocation", sink + "-checkpoint").trigger(availableNow=True).start()
     qy.awaitTermination()
-    return spark.read.schema(scored.schema).parquet(sink)
+    batch = predict_from_bundle(b, dirty(spark, sf_dir), keep=["customer_id"]).select("customer_id", "prediction")
+    return _scored_rows(spark.read.schema(scored.schema).parquet(sink), batch)
 
 
 @register("fold_state", "SELECT user_id, max_by(event_type, event_id) AS last_event_type, count(value) AS n_value "
@@ -250,17 +308,17 @@ def q_state_appended(spark, sf_dir):
     return appended_items(load_table(spark, sf_dir, "events"), "user_id", "event_id", "value")
 
 
-@register("battery_summary")
+@register("battery_summary", """SELECT 'dirty' AS dataset, 'Success' AS status, 'classification' AS problem_type, 'LogisticRegression' AS best_model,
+  true AS all_passed FROM orders HAVING count(*) > 0 UNION ALL
+  SELECT 'lineitem', 'Success', 'regression', 'LinearRegression', true FROM lineitem HAVING count(*) > 0""")
 def q_battery_summary(spark, sf_dir):
-    """PIPE-5 + A20: the end-to-end run over two tables (classification on ``dirty``, regression on a ``lineitem``
-    projection), one summary row each, then the all-passed flag over the summaries."""
+    """PIPE-5 + A20: the end-to-end run over two tables with detected problem types (classification on ``dirty``, regression on
+    ``lineitem``) and one model each, one summary row each, then the all-passed flag over the summaries."""
     from tablesmith.plans.run import battery_summary, run_many
-    li = load_table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    li = load_table(spark, sf_dir, "lineitem")
     datasets = {"dirty": (dirty(spark, sf_dir).drop("leaky_churn_copy"), DIRTY_TARGET),
                 "lineitem": (li, "l_extendedprice")}
-    summary = run_many(spark, datasets, models=None, tune=False, selection="none",
-                       problem_types={"dirty": "classification", "lineitem": "regression"},
+    summary = run_many(spark, datasets, tune=False,
                        models_by_type={"classification": ["LogisticRegression"], "regression": ["LinearRegression"]})
     flag = battery_summary(summary).collect()[0]
-    return summary.select("dataset", "status", "problem_type", "best_model", "metric",
-                          F.lit(bool(flag["all_passed"])).alias("all_passed"))
+    return summary.select("dataset", "status", "problem_type", "best_model", F.lit(bool(flag["all_passed"])).alias("all_passed"))
