@@ -17,9 +17,9 @@ from tablesmith.llm.common import cut, steps, word_codes
 #: keeps groups whose clean texts all score the same (often exactly 0) from rejecting every slight deviation.
 RULES = {
     "symbols_per_word": 0.1,
-    "chars_per_word": 1.0,
-    "dup_line_share": 0.1,
-    "repeat_word_share": 0.05,
+    "chars_per_word": 1.5,
+    "dup_line_share": 0.2,
+    "repeat_word_share": 0.07,
 }
 #: A threshold lies this many spreads (interquartile ranges, at least the smallest spread) above the upper quartile.
 SPREADS = 3.0
@@ -151,7 +151,7 @@ def adaptive_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     kl, ks = f"k{len(keep)}", f"k{len(keep) + 1}"
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     figures = cut(figures.withColumn("base_failed", failed), "rule-figures")
-    fine = cut(sketches(figures.filter(~F.col("base_failed")).select("*"), (kl, ks)), "rule-sketch")
+    fine = cut(sketches(figures.filter(~F.col("base_failed")), (kl, ks)), "rule-sketch")
     by_lang = fine.groupBy(kl, "rule", "bin").agg(F.sum("n").alias("n"))
     by_all = by_lang.groupBy("rule", "bin").agg(F.sum("n").alias("n"))
     own = sketch_thresholds(fine, (kl, ks))
