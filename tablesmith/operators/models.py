@@ -31,13 +31,18 @@ SEARCH_SPACES = {
 
 # Spark's tree depth limit is 30; an unlimited-depth forest is capped here (model size, and so driver memory and
 # the broadcast for scoring, grows with 2^depth per tree).
-DEFAULT_FOREST_DEPTH = 10
+DEFAULT_FOREST_DEPTH = 15
 # Memory for the per-level split statistics of tree learners, per task (Spark default 256 MB); bounded so that every
 # task slot of an executor can hold its share and several fits can run
 # side by side.
 TREE_MEMORY_MB = 32
 
 
+# A user's own learner for a slot: ``ESTIMATOR_HOOKS[slot] = f(problem_type, params, seed) -> Spark ML estimator`` with
+# ``features`` and ``label`` as its input columns. It takes the slot's place in the battery, in tuning and in the refit.
+ESTIMATOR_HOOKS: dict = {}
+
+
 @dataclass
 class KNNConfig:
     """Marker 'estimator' of the KNN slot (the search itself lives in ``knn.knn_predict``)."""
@@ -61,6 +66,8 @@ def build_estimator(model_id: str, problem_type: str, params: dict | None = None
     model_id = model_id.replace(" (Tuned)", "")
     clf = problem_type == "classification"
     n = max(1, n_train)
+    if model_id in ESTIMATOR_HOOKS:
+        return ESTIMATOR_HOOKS[model_id](problem_type, p, seed)
     if model_id == "LogisticRegression" and clf:
         # C * sum(loss) + 1/2 |w|^2  ==  mean(loss) + regParam/2 |w|^2 with regParam = 1 / (C n)
         return LogisticRegression(regParam=1.0 / (p.get("C", 1.0) * n), elasticNetParam=0.0, standardization=False,

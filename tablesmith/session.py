@@ -56,10 +56,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+_scratch: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for tables an operator writes to cut lineage."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    path = os.path.join(checkpoint_dir(spark), "tables", name)
+    _scratch.add(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this process wrote through :func:`scratch_path`; frames read from them end with it. Returns how
+    many there were. A long session calls this between runs whose results it has stored elsewhere."""
+    jvm, paths = spark._jvm, list(_scratch)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scratch.discard(p)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -22,3 +22,5 @@ def spark():
     if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tablesmith-test-ckpt-"))
     yield s
+    from tablesmith.session import clear_scratch
+    clear_scratch(s)
