@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tablesmith.session import checkpoint_dir
+from tablesmith.session import scratch_path
 
 #: Bytes of text that one step inside a Python task works on (one longer text is a step of its own).
 STEP_BYTES = 4 << 20
@@ -29,7 +29,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     broadcasts only what is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
