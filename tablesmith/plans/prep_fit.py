@@ -208,23 +208,27 @@ def _coerce_stage(types: dict[str, T.DataType], spec: PrepSpec) -> tuple[dict[st
     return cur, kind
 
 
-def staged(df: DataFrame, spec: PrepSpec, upto: str = "scale", keep: list[str] | tuple = ()
-           ) -> tuple[DataFrame, dict[str, str]]:
+def staged(df: DataFrame, spec: PrepSpec, upto: str = "scale", keep: list[str] | tuple = (),
+           coerced: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The prepared columns after stage ``upto`` (coerce, fill, encode, clip, scale) as a DataFrame, plus
     ``{name: kind}`` (num / str / other / target).  Fit and apply both use this one builder.
 
     Every stage is its own projection over the previous stage's columns *by name*, so an expression is never
     re-nested into the next one (a clip reads its input three times; nesting parse -> fill -> clip -> scale would
-    grow the generated code multiplicatively).  ``keep`` columns pass through every stage unchanged."""
+    grow the generated code multiplicatively).  ``keep`` columns pass through every stage unchanged.  ``coerced`` tells that ``df`` is what stage ``coerce`` made,
+    with these kinds: the fit parses its text columns once."""
     stop = STAGES.index(upto)
     types = {f.name: f.dataType for f in df.schema.fields}
     keep = [k for k in keep if k in df.columns]
     kept = [qcol(k) for k in keep]
-    parsed = [to_ts(qcol(c), types[c]).alias(f"__ts_{c}") for c in spec.datetime_columns if c in types]
-    src = df.select("*", *parsed) if parsed else df
-    cur, kind = _coerce_stage(types, spec)
-    out = src.select(*kept, *[e.alias(n) for n, e in cur.items()])
-    names = list(cur)
+    if coerced is None:
+        parsed = [to_ts(qcol(c), types[c]).alias(f"__ts_{c}") for c in spec.datetime_columns if c in types]
+        src = df.select("*", *parsed) if parsed else df
+        cur, kind = _coerce_stage(types, spec)
+        out = src.select(*kept, *[e.alias(n) for n, e in cur.items()])
+    else:
+        out, kind = df, dict(coerced)
+    names = list(kind)
     if stop < 1:
         return out, kind
     fills = {n: v for n, v in spec.fills.items() if n in kind and v is not None and kind[n] != "target"}
@@ -340,16 +344,6 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, infer_
         base = ops.drop_columns(ops.dedupe_rows(src), dropped)
     else:
         base = ops.dedupe_rows(ops.drop_columns(src, dropped))
-    base = persist(base)
-    try:
-        return _fit_on(base, df, target, plan, stats, dropped, method, set(plan.encode) if inferred else set(), input_types)
-    finally:
-        base.unpersist()
-
-
-def _fit_on(base: DataFrame, df: DataFrame, target: str, plan: PrepPlan, stats: dict, dropped: list[str], method: str,
-            known_small: set[str], input_types: dict) -> PrepSpec:
-    """The statistics of a resolved plan over the rows that training sees."""
     types = {f.name: f.dataType for f in base.schema.fields}
     spec = PrepSpec(target=target, input_columns=list(df.columns),
                     input_types={k: v.simpleString() for k, v in input_types.items()},
@@ -359,9 +353,25 @@ def _fit_on(base: DataFrame, df: DataFrame, target: str, plan: PrepPlan, stats:
                             and c not in spec.datetime_columns]
     spec.bool_columns = [c for c, t in types.items() if isinstance(t, T.BooleanType) and c != target]
 
+    # every later pass reads the de-duplicated rows with their text already parsed
+    parsed, kind = staged(base, spec, "coerce")
+    parsed = persist(parsed)
+    try:
+        return _fit_statistics(parsed, kind, spec, plan, types, method, set(plan.encode) if inferred else set())
+    finally:
+        parsed.unpersist()
+
+
+def _fit_statistics(parsed: DataFrame, parsed_kind: dict[str, str], spec: PrepSpec, plan: PrepPlan, types: dict, method: str,
+                    known_small: set[str]) -> PrepSpec:
+    """The statistics of a resolved plan over the coerced training rows."""
+    target, work, kind = spec.target, parsed, dict(parsed_kind)
+
+    def stage(upto: str) -> tuple[DataFrame, dict[str, str]]:
+        return staged(parsed, spec, upto, coerced=parsed_kind)
+
     # fills (datetime parts get a median unless the plan says otherwise; the plan copy is what changes)
     impute = dict(plan.impute)
-    work, kind = staged(base, spec, "coerce")
     cur = {n: qcol(n) for n in kind}
     dated = set(types) & set(spec.datetime_columns)
     always = [n for n in kind if kind[n] == "num" and (plan.impute_all or n not in types or n in dated)]
@@ -391,7 +401,7 @@ def _fit_on(base: DataFrame, df: DataFrame, target: str, plan: PrepPlan, stats:
         (spec.onehot if enc[c] == "onehot" else spec.ordinal)[c] = cats
     te_cols = [c for c, s in enc.items() if s == "target"]
     if te_cols or coded:
-        work, kind = staged(base, spec, "fill")
+        work, kind = stage("fill")
     if coded:  # categories of the filled column
         spec.ordinal.update(ops.fit_categories(work, {c: qcol(c) for c in coded}, numeric, "ordinal"))
     if te_cols:
@@ -402,7 +412,7 @@ def _fit_on(base: DataFrame, df: DataFrame, target: str, plan: PrepPlan, stats:
     _check_names(output_names(spec, types, "encode"))
 
     # clipping: numeric features; by default not encoded columns, original booleans or two-valued columns
-    work, kind = staged(base, spec, "encode")
+    work, kind = stage("encode")
     cur = {n: qcol(n) for n in work.columns}
     num_cols = [c for c in cur if kind.get(c) == "num"]
     if plan.iqr_k is not None and num_cols:
@@ -413,7 +423,7 @@ def _fit_on(base: DataFrame, df: DataFrame, target: str, plan: PrepPlan, stats:
                                          skip_two_valued=not plan.clip_encoded)
 
     # scaling over clipped values
-    work, kind = staged(base, spec, "clip")
+    work, kind = stage("clip")
     spec.scalers = ops.fit_scalers(work, {c: qcol(c) for c in num_cols}, plan.scale_strategy, method)
     spec.output_columns = output_names(spec, types)
     spec.sources = {ops.onehot_name(c, cat): c for c, cats in spec.onehot.items() for cat in cats} | {
