@@ -14,7 +14,6 @@ from tablesmith.functions.exprs import hash_fraction_key, qcol
 # Strata x sub-buckets up to which the offset table of stratified folds is broadcast.
 BROADCAST_OFFSET_ROWS = 200_000
 ROWS_PER_BUCKET = 2_000_000    # rows ranked by one window task at most (per class and bucket)
-MAX_BUCKETS = 4096
 
 
 def hash_folds(df: DataFrame, key: str, k: int = 3, out: str = "fold") -> DataFrame:
@@ -25,7 +24,7 @@ def hash_folds(df: DataFrame, key: str, k: int = 3, out: str = "fold") -> DataFr
 def auto_buckets(df: DataFrame, label: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Buckets so that the largest class splits into windows of at most ``rows_per_bucket`` rows."""
     top = df.groupBy(qcol(label)).count().agg(F.max("count")).collect()[0][0] or 0
-    return int(min(MAX_BUCKETS, max(1, -(-top // rows_per_bucket))))
+    return int(max(1, -(-top // rows_per_bucket)))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 3, buckets: int | str = "auto",
@@ -43,14 +42,13 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 3, buckets: i
         buckets = auto_buckets(df, label)
     h = hash_fraction_key(qcol(key))
     base = df.withColumn("__h", h).withColumn("__b", (F.col("__h") % buckets).cast("int"))
-    counts = base.groupBy(qcol(label).alias("__y"), "__b").agg(F.count(F.lit(1)).alias("__n"))
+    counts = base.groupBy(qcol(label).alias("__y"), F.col("__b").alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
     n_cells = counts.count()
-    w_cls = Window.partitionBy("__y").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    w_cls = Window.partitionBy("__y").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_cls), F.lit(0))).drop("__n")
     if n_cells <= BROADCAST_OFFSET_ROWS:   # size checked above: broadcast; otherwise an ordinary shuffle join
         offsets = F.broadcast(offsets)
-    joined = base.join(offsets, (qcol(label).eqNullSafe(F.col("__y"))) & (base["__b"] == offsets["__b"]))
-    joined = joined.drop(offsets["__b"]).drop("__y")
+    joined = base.join(offsets, qcol(label).eqNullSafe(F.col("__y")) & (F.col("__b") == F.col("__cell"))).drop("__y", "__cell")
     w = Window.partitionBy(qcol(label), F.col("__b")).orderBy("__h", qcol(key))
     rank = F.col("__off") + F.row_number().over(w) - 1
     return joined.withColumn(out, (rank % k).cast("int")).drop("__h", "__b", "__off")

@@ -31,11 +31,11 @@ SEARCH_SPACES = {
 
 # Spark's tree depth limit is 30; an unlimited-depth forest is capped here (model size, and so driver memory and
 # the broadcast for scoring, grows with 2^depth per tree).
-DEFAULT_FOREST_DEPTH = 15
+DEFAULT_FOREST_DEPTH = 12
 # Memory for the per-level split statistics of tree learners, per task (Spark default 256 MB); bounded so that every
 # task slot of an executor can hold its share and several fits can run
 # side by side.
-TREE_MEMORY_MB = 32
+TREE_MEMORY_MB = 64
 
 
 # A user's own learner for a slot: ``ESTIMATOR_HOOKS[slot] = f(problem_type, params, seed) -> Spark ML estimator`` with

@@ -10,7 +10,8 @@ from tests.conftest import SF_SMALL
 import __spark_entry__ as E  # noqa: E402
 from tablesmith.sources.tables import TABLES
 
-SLOW = set()  # all oracle queries are cheap at this scale
+# minutes of training each, also on the smallest tables: tools/oracle_check.py runs them
+SLOW = {"automl_run", "battery", "battery_summary", "model_rf", "model_gbt", "model_gbt_deep", "score_stream", "tune", "leak_beside_onehot"}
 
 
 def _norm(v):
@@ -32,7 +33,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SLOW))
 def test_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]

@@ -19,7 +19,7 @@ def test_bundle_keys(spark):
 
 def test_predictions_are_labels(spark):
     out = E.queries()["score_batch"](spark, SF_SMALL)
-    assert {r[0] for r in out.select("prediction").distinct().collect()} <= {0, 1}
+    assert {tuple(r) for r in out.select("scored", "agrees").distinct().collect()} == {(True, True)}
 
 
 def test_leakage_loop_drops_the_planted_copy(spark):
