@@ -13,14 +13,25 @@ from pyspark.sql import Window as W
 
 from tablesmith.llm.common import cut, steps, word_codes
 
-#: Ratios the rules look at, with the smallest spread (in the ratio's own unit) that a threshold allows for. The spread
-#: keeps groups whose clean texts all score the same (often exactly 0) from rejecting every slight deviation.
+#: Ratios the rules look at, with the spread (in the ratio's own unit) that a group whose interquartile range is smaller
+#: has at most. ``SPREADS`` of it stay below the base test's limit, so that every rule can fire.
 RULES = {
     "symbols_per_word": 0.1,
-    "chars_per_word": 1.5,
-    "dup_line_share": 0.2,
-    "repeat_word_share": 0.07,
+    "chars_per_word": 0.5,
+    "dup_line_share": 0.08,
+    "repeat_word_share": 0.04,
 }
+#: The spread that every group has at least: where clean texts all score the same (often exactly 0), a slight deviation passes.
+LEAST = {
+    "symbols_per_word": 0.01,
+    "chars_per_word": 0.1,
+    "dup_line_share": 0.03,
+    "repeat_word_share": 0.01,
+}
+#: Between the limits of the two spreads a group's own tail decides: this quantile of its sketch and a relative margin.
+TAIL, MARGIN = 0.99, 0.05
+#: Rules with a lower limit as well (low shares are never a fault).
+BOTH_SIDES = ("chars_per_word",)
 #: A threshold lies this many spreads (interquartile ranges, at least the smallest spread) above the upper quartile.
 SPREADS = 3.0
 #: Relative error of a sketch's quantiles: bin i holds values in (g^(i-1), g^i] with g = (1 + e) / (1 - e).
@@ -120,26 +131,39 @@ def sketches(figures: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*groups, "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Columns of the limits: the highest ratio of each rule, and the lowest one of those with two sides.
+LIMITS = tuple(f"most_{r}" for r in RULES) + tuple(f"least_{r}" for r in BOTH_SIDES)
+
+
 def sketch_thresholds(sketch: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """Upper limits per group and rule: upper quartile plus ``SPREADS`` spreads, and the group's number of texts."""
+    """Limits per group and rule, and the group's number of texts.
+
+    The upper limit is the group's ``TAIL`` quantile plus ``MARGIN``, but at least ``SPREADS`` spreads of ``LEAST`` and at
+    most ``SPREADS`` spreads of ``RULES`` above the upper quartile; a larger interquartile range is the spread in both.
+    The lower limit is as many spreads below the lower quartile.
+    """
     g = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
     key = [*groups, "rule"]
     upto = W.partitionBy(*key).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     ranked = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy(*key)))
     value = F.when(F.col("bin") == -(1 << 30), F.lit(0.0)).otherwise(F.pow(F.lit(g), F.col("bin")) * 2 / (1 + g))
-    spread = F.element_at(F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv]), F.col("rule"))
-    quartile = [F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), value)) for q in (0.25, 0.75)]
-    return (ranked.groupBy(*key).agg(quartile[0].alias("q1"), quartile[1].alias("q3"), F.max("all").alias("texts"))
-            .withColumn("most", F.col("q3") + SPREADS * F.greatest(F.col("q3") - F.col("q1"), spread))
-            .groupBy(*groups).agg(F.max("texts").alias("texts"),
-                                  *[F.max(F.when(F.col("rule") == r, F.col("most"))).alias(f"most_{r}") for r in RULES]))
+    spread, least = (F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("rule")) for d in (RULES, LEAST))
+    quantile = [F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), value)) for q in (0.25, 0.75, TAIL)]
+    iqr = F.col("q3") - F.col("q1")
+    top = F.col("q3") + SPREADS * F.greatest(iqr, spread)
+    tail = F.greatest(F.col("q3") + SPREADS * F.greatest(iqr, least), F.col("tail") * (1 + MARGIN))
+    of = lambda r, c: F.max(F.when(F.col("rule") == r, F.col(c)))
+    return (ranked.groupBy(*key).agg(*[x.alias(c) for x, c in zip(quantile, ("q1", "q3", "tail"))], F.max("all").alias("texts"))
+            .withColumn("most", F.least(top, tail)).withColumn("least", F.col("q1") - SPREADS * F.greatest(iqr, spread))
+            .groupBy(*groups).agg(F.max("texts").alias("texts"), *[of(r, "most").alias(f"most_{r}") for r in RULES],
+                                  *[of(r, "least").alias(f"least_{r}") for r in BOTH_SIDES]))
 
 
 def adaptive_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
-                    keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Judge every document: base figures, ``base_failed`` and ``kept``.
+                    keep: tuple[str, ...] = ("doc_id",), reasons: bool = False) -> DataFrame:
+    """Judge every document: base figures, ``base_failed`` and ``kept``; with ``reasons`` also ``failed_rules``.
 
-    A document fails a rule when its ratio exceeds the threshold learned for its language and source. Thresholds come
+    A document fails a rule when its ratio is beyond a limit learned for its language and source. The limits come
     from quantile sketches of all documents that pass the fixed base test; small groups use the merged sketch of their
     language or of the corpus. The thresholds are joined to the documents by language and source.
 
@@ -156,19 +180,31 @@ def adaptive_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     by_all = by_lang.groupBy("rule", "bin").agg(F.sum("n").alias("n"))
     own = sketch_thresholds(fine, (kl, ks))
     wide = sketch_thresholds(by_lang, (kl,)).select(F.col(kl).alias("__l"), F.col("texts").alias("__tl"),
-                                                    *[F.col(f"most_{r}").alias(f"__l_{r}") for r in RULES])
+                                                    *[F.col(c).alias(f"__l_{c}") for c in LIMITS])
     whole = sketch_thresholds(by_all.withColumn("g", F.lit(0)), ("g",)).select(
-        *[F.col(f"most_{r}").alias(f"__a_{r}") for r in RULES]).first()
+        *[F.col(c).alias(f"__a_{c}") for c in LIMITS]).first()
     limits = own.join(wide, F.col(kl).eqNullSafe(F.col("__l")))
-    for r in RULES:
-        limits = limits.withColumn(f"most_{r}", F.when(F.col("texts") >= MIN_GROUP, F.col(f"most_{r}"))
-                                   .when(F.col("__tl") >= MIN_GROUP, F.col(f"__l_{r}"))
-                                   .otherwise(F.lit(whole[f"__a_{r}"] if whole else None)))
+    for c in LIMITS:
+        limits = limits.withColumn(c, F.when(F.col("texts") >= MIN_GROUP, F.col(c))
+                                   .when(F.col("__tl") >= MIN_GROUP, F.col(f"__l_{c}"))
+                                   .otherwise(F.lit(whole[f"__a_{c}"] if whole else None)))
     limits = cut(limits.select(F.col(kl).alias("__lang"), F.col(ks).alias("__source"),
-                               *[f"most_{r}" for r in RULES]), "rule-limits")
+                               *LIMITS), "rule-limits")
     joined = figures.join(limits, F.col(kl).eqNullSafe(F.col("__lang")) & F.col(ks).eqNullSafe(F.col("__source")), "left")
+    fails = {r: F.coalesce(value > F.col(f"most_{r}"), F.lit(False)) for r, value in ratios().items()}
+    for r in BOTH_SIDES:
+        fails[r] = fails[r] | F.coalesce(ratios()[r] < F.col(f"least_{r}"), F.lit(False))
+    named = F.filter(F.array(*[F.when(~F.col("base_failed") & x, F.lit(r)) for r, x in fails.items()]), lambda x: x.isNotNull())
     passed = ~F.col("base_failed")
-    for r, value in ratios().items():
-        passed = passed & ~F.coalesce(value > F.col(f"most_{r}"), F.lit(False))
-    return joined.select(*[F.col(i).alias(c) for i, c in zip(ids, keep)],
-                         *[c for c in BASE_FIELDS], "base_failed", passed.alias("kept"))
+    for x in fails.values():
+        passed = passed & ~x
+    return joined.select(*[F.col(i).alias(c) for i, c in zip(ids, keep)], *[c for c in BASE_FIELDS], "base_failed",
+                         passed.alias("kept"), *([named.alias("failed_rules")] if reasons else []))
+
+
+def rejections(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """Documents that each adaptive rule rejects after the base test: (rule, documents); one may fail several rules."""
+    judged = adaptive_filter(docs, text, lang, source, (), reasons=True)
+    rules = docs.sparkSession.createDataFrame([(r,) for r in RULES], "rule string")
+    counts = judged.select(F.explode("failed_rules").alias("r")).groupBy("r").count()
+    return rules.join(counts, F.col("rule") == F.col("r"), "left").select("rule", F.coalesce("count", F.lit(0)).alias("documents"))

@@ -89,6 +89,27 @@ def test_verdicts_match_plain_rules(spark, make_docs, monkeypatch):
     assert got == want and 0 < sum(want.values()) < len(rows)
 
 
+def test_every_rule_fires_below_the_base_limit(spark, make_docs):
+    """In a group of clean texts each kind of fault goes and is counted for its rule, though the base test lets all pass."""
+    rng = random.Random(8)
+    word = lambda low, high: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(low, high)))
+    lines = lambda n, low=3, high=7: [" ".join(word(low, high) for _ in range(8)) for _ in range(n)]
+    clean = ["\n".join(lines(6)) for _ in range(150)]
+    base = lines(11)
+    faults = {"symbols_per_word": ["\n".join([*lines(6), "# * $ & | < > % # *"])],
+              "chars_per_word": ["\n".join(lines(6, 10, 14)), "\n".join(lines(6, 1, 1))],
+              "dup_line_share": ["\n".join(lines(6) + ["ab cd"] * 5)],
+              "repeat_word_share": ["\n".join([*base, " ".join(base[0].split()[:6])])]}
+    odd = [(r, t) for r, texts in faults.items() for t in texts]
+    docs = make_docs([(i, t, "en", "s") for i, t in enumerate([*clean, *[t for _, t in odd]])])
+    got = {r.doc_id: r for r in quality_rules.adaptive_filter(docs, reasons=True).collect()}
+    assert not any(r.base_failed for r in got.values())
+    for i, (rule, _) in enumerate(odd):
+        assert not got[len(clean) + i].kept and rule in got[len(clean) + i].failed_rules, rule
+    assert sum(got[i].kept for i in range(len(clean))) >= 0.98 * len(clean)
+    assert all(r.documents > 0 for r in quality_rules.rejections(docs).collect())
+
+
 def test_rules_keep_good_documents(spark, sf_docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality_rules.adaptive_filter(sf_docs).join(labels, "doc_id").toPandas()
