@@ -130,6 +130,21 @@ def test_few_and_no_vectors(spark):
     assert nn_descent.nearest_neighbours(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_neighbours_in_a_clump_of_near_copies(spark):
+    """Copies whose differences are below an 8-bit step are told apart."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=32)
+    points = np.vstack([base * (1 + 0.001 * rng.normal(size=(700, 32))), rng.normal(size=(700, 32))]).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in nn_descent.nearest_neighbours(df, df.filter("vec_id % 20 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {q: {i for _, i in d} for q, d in plain_neighbours(rows, 10).items() if q % 20 == 0}
+    assert got.keys() == want.keys()
+    assert np.mean([len(got[q] & want[q]) / 10 for q in want if q < 700]) >= 0.9
+
+
 def test_recall_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
