@@ -145,6 +145,20 @@ def test_neighbours_in_a_clump_of_near_copies(spark):
     assert np.mean([len(got[q] & want[q]) / 10 for q in want if q < 700]) >= 0.9
 
 
+def test_beam_grows_with_measured_recall(spark, monkeypatch):
+    """A first beam that is too narrow for the table is widened until sampled queries find their neighbours."""
+    monkeypatch.setattr(nn_descent, "BEAM", 11)
+    monkeypatch.setattr(nn_descent, "SPARE", 0)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=48)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in nn_descent.nearest_neighbours(df, df.filter("vec_id % 25 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {q: {i for _, i in d} for q, d in plain_neighbours(rows, 10).items() if q % 25 == 0}
+    assert np.mean([len(got[q] & want[q]) / 10 for q in want]) >= nn_descent.RECALL
+
+
 def test_recall_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
