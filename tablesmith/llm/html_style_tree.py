@@ -38,6 +38,10 @@ cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsl
 promoted recommended related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar
 widget contentinfo complementary alert alertdialog""".split())
 
+#: Hints under which an article element is a comment or a teaser and not the article, and classes that make it one itself.
+FOREIGN = frozenset("""comment comments disqus reply respond related recommended promoted sponsored advertisement""".split())
+FOREIGN_CLASSES = frozenset(("comment", "comment-body", "reply"))
+
 _TAG = re.compile(r"""<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -55,10 +59,10 @@ def _key(*parts: str) -> int:
 class _Node:
     """An open element: its path key in the site's style tree, and what is known of it beforehand."""
 
-    __slots__ = ("tag", "path", "noise", "hinted", "inside", "asked", "children")
+    __slots__ = ("tag", "path", "noise", "hinted", "foreign", "inside", "asked", "children")
 
-    def __init__(self, tag: str, path: int, noise: bool, hinted: bool, inside: bool, asked: tuple):
-        self.tag, self.path, self.noise, self.hinted, self.inside, self.asked = tag, path, noise, hinted, inside, asked
+    def __init__(self, tag: str, path: int, noise: bool, hinted: bool, foreign: bool, inside: bool, asked: tuple):
+        self.tag, self.path, self.noise, self.hinted, self.foreign, self.inside, self.asked = tag, path, noise, hinted, foreign, inside, asked
         self.children: list[str] = []
 
 
@@ -70,7 +74,7 @@ class Page:
         self.shapes: dict[int, list[str]] = {}
         self.article = False
         self._text: list[str] = []
-        self._stack = [_Node("", 0, False, False, False, ())]
+        self._stack = [_Node("", 0, False, False, False, False, ())]
         self._parse(source)
         self._flush()
         while len(self._stack) > 1:
@@ -95,7 +99,8 @@ class Page:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         words = set(re.split(r"[\s_-]+", " ".join(found.get(a, "") for a in ("class", "id", "role")).lower()))
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        core = tag in ("article", "main")
+        foreign = self._stack[-1].foreign
+        core = tag in ("article", "main") and not foreign and FOREIGN_CLASSES.isdisjoint(found.get("class", "").lower().split())
         hinted = not core and tag not in ("html", "body") and (hidden or not words.isdisjoint(HINTS))
         if block:
             self._flush()
@@ -109,21 +114,23 @@ class Page:
                         break
         elif tag == "br":
             self._text.append(" ")
+        foreign = foreign or (tag not in ("html", "body") and not core and not words.isdisjoint(FOREIGN))
         if tag in VOID or not (block or hinted or tag in NOISE):
             return
         up = self._stack[-1]
         name = tag + "." + ".".join(sorted(found.get("class", "").split()))
         inside = core or up.inside
-        self.article |= core
+        # only an article that is kept may push out what is outside it
+        self.article |= core and not up.noise and not up.hinted
         noise = up.noise or tag in NOISE or (tag == "header" and not inside)
-        # an article inside a wrapper with a telling class is still the article; one inside a menu is not
+        # an article inside a wrapper with a telling class is still the article; one in a menu or among comments is not
         hinted = hinted or (up.hinted and not core)
         path = _key(str(up.path), name)
         plain = up.inside and not found.get("class") and not found.get("id") and not noise and not hinted
         # an article is kept as a whole, however alike the pages of its host are; only branches inside it are asked
         asked = () if core else up.asked if tag in ("html", "body") or plain else (*up.asked, path)
         up.children.append(name)
-        self._stack.append(_Node(tag, path, noise, hinted, inside, asked))
+        self._stack.append(_Node(tag, path, noise, hinted, foreign, inside, asked))
 
     def _cut(self, i: int) -> None:
         while len(self._stack) > i:

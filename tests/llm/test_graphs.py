@@ -206,6 +206,19 @@ def test_importance_is_entropy(spark):
     assert got == [0.0, 0.0, w, w]
 
 
+def test_articles_in_comments_and_asides():
+    """Article elements of comments and asides are not the article, and do not push out the page's text."""
+    def kept(source):
+        page = html_style_tree.Page(source)
+        return [text for noise, inside, _, text in page.blocks if not noise and (inside or not page.article)]
+
+    assert kept("<div class=post><p>text</p></div><aside><article>tease</article></aside>") == ["text"]
+    assert kept("<div class=post><p>text</p></div><section id=comments><article><p>nice</p></article></section>") == ["text"]
+    assert kept("<article><p>text</p><div class=comments><article class=comment><p>nice</p></article></div></article>") == ["text"]
+    assert kept("<article>text</article><ol><li><article class='comment odd'><p>nice</p></article></ol>") == ["text"]
+    assert kept("<div class='page has sidebar'><article>one</article><article>two</article></div>") == ["one", "two"]
+
+
 def test_articles_of_the_test_pages(spark):
     import html as h
     df = spark.read.parquet(f"{SF}/pages.parquet")
