@@ -24,6 +24,10 @@ RULES = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32),
     ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27),
 )
+#: What follows the first line of a private key: all up to its last line, or the lines of base64 where that is missing.
+KEY_BODY = r"""(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/]{16,}={0,2})*)"""
+#: The rules of a redaction, in which the key itself goes with its first line.
+REDACTED = tuple((kind, pattern + KEY_BODY if kind == "private_key" else pattern, group, least) for kind, pattern, group, least in RULES)
 BASE_KINDS = ("assign", "access", "hex")
 #: Classes and products of alternatives beyond these sizes count as unknown text.
 MOST_CLASS, MOST_STRINGS = 8, 64
@@ -198,7 +202,7 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
             .select(F.col("k").alias(key), F.coalesce("spans", F.array().cast(SPANS)).alias("spans")))
 
 
-def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[secret]", rules: tuple = RULES) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[secret]", rules: tuple = REDACTED) -> DataFrame:
     """All rows and columns of ``docs``, with ``mark`` in place of each secret (overlapping ones together); a null text stays null."""
     _, spans = secret_spans(docs, text, key, rules)
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

@@ -266,6 +266,14 @@ def test_redaction(spark, make_docs):
         assert got[i].text == (None if text is None else "".join(want) + text[at:]) and got[i].node == "clash"
 
 
+def test_redaction_takes_the_whole_key(spark, make_docs):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "aB3/" * 12 for _ in range(25)) + "\nQ2x=="
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {head}\n{body}\n{end} b", f"a {head}\nDEK-Info: AES-256-CBC,0F\n\n{body}\n{end} b", f"a {head}\n{body[:-6]}\n-- b", f"a {head} b"]
+    got = {r.doc_id: r.text for r in secret_scan.redact(make_docs(rows_of(texts))).collect()}
+    assert got == {0: "a [secret] b", 1: "a [secret] b", 2: "a [secret]\n-- b", 3: "a [secret] b"}
+
+
 def test_trigram_queries():
     query = {kind: secret_scan.trigram_query(p) for kind, p, *_ in secret_scan.RULES}
     assert query["hex"] is None and query["access"] == {frozenset(("aki", "kia"))}
