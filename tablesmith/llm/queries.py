@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import (bpe, chat_format, html_style_tree, minhash_dedup, nn_descent, packing, quality_classifier, quality_rules,
-                            secret_scan, sharding)
+from tablesmith.llm import (bpe, chat_format, html_style_tree, line_dedup, minhash_dedup, nn_descent, packing, quality_classifier,
+                            quality_rules, secret_scan, sharding, token_align, whitening)
 from tablesmith.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,32 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest found neighbours of every row whose id is divisible by 100."""
     rows = read(spark, sf_dir, "embeddings")
     return nn_descent.nearest_neighbours(rows, rows.filter("vec_id % 100 = 0"))
+
+
+@register
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenizations of every document aligned, with the corpus-wide support of its links."""
+    aligned = token_align.align_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return token_align.link_support(aligned.withColumn("groups_sha256", digest)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@register
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    left = line_dedup.drop_frequent_lines(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_line_dedup"] = line_dedup.oracle()
+
+
+@register
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the whitened principal components, one row per component."""
+    white = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    cells = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return white.select("vec_id", "n", "deviation", "identity_error", cells).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
