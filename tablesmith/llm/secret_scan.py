@@ -21,11 +21,13 @@ RULES = (
     ("github", r"gh[opsur]_[A-Za-z0-9]{36,}", 0, 40),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 39),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32),
     ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27),
 )
 #: What follows the first line of a private key: all up to its last line, or the lines of base64 where that is missing.
-KEY_BODY = r"""(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/]{16,}={0,2})*)"""
+#: Possessive groups are loops in Java's regex; a plain group would recurse once per line of the key.
+KEY_BODY = (r"""(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,20}PRIVATE KEY-----"""
+            r"""|(?:\s++[A-Za-z0-9+/]{16,}+={0,2}+)*+(?:\s++[A-Za-z0-9+/]{1,15}+={1,2})?)""")
 #: The rules of a redaction, in which the key itself goes with its first line.
 REDACTED = tuple((kind, pattern + KEY_BODY if kind == "private_key" else pattern, group, least) for kind, pattern, group, least in RULES)
 BASE_KINDS = ("assign", "access", "hex")
