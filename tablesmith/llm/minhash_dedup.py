@@ -127,7 +127,7 @@ def _prints(flat: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
 
 def _classes(docs: DataFrame, text: str, key: str, size: int) -> tuple[DataFrame, DataFrame]:
     """(documents with their set's fingerprint and size, one row per distinct non-empty set with its band keys)."""
-    slim = docs.select(F.col(text).alias("t"), F.col(key).alias("doc"))
+    slim = docs.select(F.col(text).alias("t"), F.col(key).alias("doc"), F.xxhash64(text).alias("h"))
     kind = dict(slim.dtypes)["doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,13 +138,13 @@ def _classes(docs: DataFrame, text: str, key: str, size: int) -> tuple[DataFrame
                 keys = band_keys(signatures(flat, sizes[some])) if some.any() else np.zeros((0, BANDS), np.int64)
                 offsets = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(_prints(flat, sizes), pa.binary()), pa.array(sizes), bands],
-                                                 ["doc", "fp", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(_prints(flat, sizes), pa.binary()), pa.array(sizes), bands],
+                                                 ["doc", "h", "fp", "n", "bands"])
 
-    every = cut(slim.mapInArrow(run, f"doc {kind}, fp binary, n long, bands array<long>"), "shingled")
+    every = cut(slim.mapInArrow(run, f"doc {kind}, h long, fp binary, n long, bands array<long>"), "shingled")
     classes = (every.filter("fp is not null").groupBy("fp")
                .agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
-    return every.select("doc", "fp", "n"), cut(classes, "set-classes")
+    return every.select("doc", "h", "fp", "n"), cut(classes, "set-classes")
 
 
 def _members(docs: DataFrame, wanted: DataFrame, text: str, key: str, size: int) -> DataFrame:
@@ -290,7 +290,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, percent: int = 80,
+                    fingerprints: bool = False) -> DataFrame:
     """Connected components of documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Documents with equal sets form one class first (grouped by a 128-bit fingerprint), so copies are never paired.
@@ -301,7 +302,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     survivors are confirmed on the full sets of their texts. Bands miss a pair at
     the threshold with probability 2.9e-6.
 
-    Returns one row per document: ``key``, ``n_shingles``, ``component_id`` (smallest key reachable). Nulls: a null or
+    Returns one row per document: ``key``, ``n_shingles``, ``component_id`` (smallest key reachable); with ``fingerprints`` also
+    ``text_hash`` (xxhash64 of the text) and ``component`` (a number of the component's own, null without shingles), which
+    tell rows of one key apart. Nulls: a null or
     wordless text has no shingles and is alone; a null key is never the smallest, unless no other is in the component.
     Rows that share key and text are one class. Other columns are ignored. An empty table gives an empty result.
     """
@@ -338,7 +341,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     named = classes.select("node", "fp", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named, "class-roots")
     least = named.groupBy("root").agg(F.min("doc").alias("least"))
-    ids = cut(named.join(least, "root").select(F.col("fp").alias("f"), "least"), "class-components")
+    ids = cut(named.join(least, "root").select(F.col("fp").alias("f"), "least", F.col("root").alias("component")), "class-components")
     return (every.join(ids, F.col("fp") == F.col("f"), "left")
             .select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc"))
-                    .otherwise(F.col("least")).alias("component_id")))
+                    .otherwise(F.col("least")).alias("component_id"),
+                    *([F.col("h").alias("text_hash"), "component"] if fingerprints else [])))
