@@ -274,6 +274,16 @@ def test_redaction_takes_the_whole_key(spark, make_docs):
     assert got == {0: "a [secret] b", 1: "a [secret] b", 2: "a [secret]\n-- b", 3: "a [secret] b"}
 
 
+def test_a_long_key_without_its_end(spark, make_docs):
+    """One truncated key of 100,000 lines must neither recurse per line nor leave its body."""
+    line = "MIIEpAIBAAKCAQEA" + "aB3/" * 12
+    head = "-----BEGIN PRIVATE KEY-----"
+    texts = [f"a {head}\n" + "\n".join([line] * 100_000) + "\nrest of it", f"{head}\nA-B: " + "- " * 60 + f"\n{line}\n-----END PRIVATE KEY----- b",
+             "eyJ" * 20_000, f"{head}\n{line} some words {head}\n{line}\nQ2x=\nend"]
+    got = {r.doc_id: r.text for r in secret_scan.redact(make_docs(rows_of(texts))).collect()}
+    assert got == {0: "a [secret]\nrest of it", 1: "[secret] b", 2: texts[2], 3: "[secret] some words [secret]\nend"}
+
+
 def test_trigram_queries():
     query = {kind: secret_scan.trigram_query(p) for kind, p, *_ in secret_scan.RULES}
     assert query["hex"] is None and query["access"] == {frozenset(("aki", "kia"))}
@@ -365,6 +375,18 @@ def test_pipeline_stages_equal_plain_versions(spark):
     check_pieces(pieces, {r.doc_id: r.text for r in clean.collect()}, 2048)
 
 
+def test_near_dedup_keeps_one_row_per_component(spark, make_docs):
+    """Rows of one key are told apart: only the text that repeats another row's goes."""
+    import corpus_pipeline as P
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (None, c), (None, c + " more"), (7, None), (7, None), (8, ""), (None, b + " x")]
+    docs = make_docs([(i, t, "en", "s") for i, t in rows])
+    got = sorted(((r.doc_id, r.text) for r in P.near_dedup_stage(spark, docs, SF).collect()), key=str)
+    one_c = [t for k, t in got if k is None]
+    assert len(one_c) == 1 and one_c[0].startswith(c)
+    assert [g for g in got if g[0] is not None] == [(1, a), (5, b), (7, None), (8, "")]
+
+
 def test_pipeline_on_odd_documents(spark, make_docs, tmp_path):
     import corpus_pipeline as P
     rows = rows_of(ODD_TEXTS + SECRET_TEXTS) + [(None, " ".join(f"w{i}" for i in range(40)), None, None)] * 2

@@ -56,19 +56,23 @@ def plain_verdicts(rows):
                 for key in ((lang, source), (lang,), ()):
                     groups[key][rule][b] += 1
 
-    def limit(key, rule):
+    def limits(key, rule):
         bins, total, seen, out = groups[key][rule], sum(groups[key][rule].values()), 0, []
+        wanted = (0.25, 0.75, quality_rules.TAIL)
         for b in sorted(bins, key=lambda b: -math.inf if b is None else b):
             seen += bins[b]
-            while len(out) < 2 and seen >= math.ceil(total * (0.25, 0.75)[len(out)]):
+            while len(out) < len(wanted) and seen >= math.ceil(total * wanted[len(out)]):
                 out.append(0.0 if b is None else g ** b * 2 / (1 + g))
-        return out[1] + quality_rules.SPREADS * max(out[1] - out[0], quality_rules.RULES[rule])
+        q1, q3, tail = out
+        most, least = (q3 + quality_rules.SPREADS * max(q3 - q1, spread[rule]) for spread in (quality_rules.RULES, quality_rules.LEAST))
+        low = q1 - quality_rules.SPREADS * max(q3 - q1, quality_rules.RULES[rule]) if rule in quality_rules.BOTH_SIDES else -math.inf
+        return low, min(most, max(least, tail * (1 + quality_rules.MARGIN)))
 
     size = lambda key: sum(groups[key]["chars_per_word"].values()) if key in groups else 0
     out = {}
     for i, _, lang, source in rows:
         key = next((k for k in ((lang, source), (lang,)) if size(k) >= quality_rules.MIN_GROUP), ())
-        out[i] = not failed[i] and all(v <= limit(key, rule) for rule, v in ratio[i].items())
+        out[i] = not failed[i] and all(limits(key, rule)[0] <= v <= limits(key, rule)[1] for rule, v in ratio[i].items())
     return out
 
 
@@ -82,6 +86,10 @@ def test_verdicts_match_plain_rules(spark, make_docs, monkeypatch):
             words = [w + rng.choice(["###", "$$$"]) for w in words]
         if i % 13 == 0:
             words = words[:5] * 6
+        if i % 23 == 0:
+            words = [w[:1] for w in words]
+        if i % 29 == 0:
+            words += words[:6]
         texts.append(" ".join(words) + ("\nsame line\nsame line" if i % 5 == 0 else ""))
     rows = rows_of(texts + ODD_TEXTS)
     got = {r.doc_id: r.kept for r in quality_rules.adaptive_filter(make_docs(rows)).collect()}
