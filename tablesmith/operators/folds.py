@@ -23,8 +23,12 @@ def hash_folds(df: DataFrame, key: str, k: int = 3, out: str = "fold") -> DataFr
 
 def auto_buckets(df: DataFrame, label: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Buckets so that the largest class splits into windows of at most ``rows_per_bucket`` rows."""
-    top = df.groupBy(qcol(label)).count().agg(F.max("count")).collect()[0][0] or 0
-    return int(max(1, -(-top // rows_per_bucket)))
+    return buckets_for(df.groupBy(qcol(label)).count().agg(F.max("count")).collect()[0][0] or 0, rows_per_bucket)
+
+
+def buckets_for(largest: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets of a class with ``largest`` rows."""
+    return int(max(1, -(-largest // rows_per_bucket)))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 3, buckets: int | str = "auto",

@@ -75,10 +75,9 @@ def _chunk_topk(qv: np.ndarray, qids: np.ndarray, tv: np.ndarray, tn: np.ndarray
     return pd.DataFrame({"qid": qids[rows[sel]], "tid": tid[cols[sel]], "label": lab[cols[sel]], "d2": exact[sel]})
 
 
-def knn_predict(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str, label_col: str, k: int = 5,
-                weights: str = "uniform", problem_type: str = "classification", exclude_self: bool = False,
-                n_pivots: int | None = None) -> DataFrame:
-    """Prediction per query row: ``(id_col, prediction)``.
+def knn_neighbours(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str, label_col: str, k: int = 5,
+                   exclude_self: bool = False, n_pivots: int | None = None) -> DataFrame:
+    """The ``k`` nearest corpus rows of every query: ``(qid, tid, label, d2, rn)``, ties to the smaller id.
 
     ``corpus`` holds ``(id, vec, label)``; ``queries`` holds ``(id, vec)``.  With ``exclude_self`` a query never
     counts the corpus row of the same id (leave-one-out when both sides are the same table).
@@ -91,7 +90,7 @@ def knn_predict(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
 
     n_corpus = c.count()
     if n_corpus == 0:
-        return q.select(F.col("qid").alias(id_col), F.lit(None).cast(label_type).alias("prediction"))
+        return c.select(F.col("tid").alias("qid"), "tid", "label", F.lit(0.0).alias("d2"), F.lit(1).alias("rn"))
     p = n_pivots or max(1, min(int(PIVOTS_PER_ROOT * math.sqrt(n_corpus)), n_corpus // ROWS_PER_PIVOT))
     piv_rows = c.orderBy(hash_fraction_key(F.col("tid")), F.col("tid")).limit(p).select("tvec").collect()
     pivots = np.stack([np.asarray(r["tvec"], dtype=np.float64) for r in piv_rows])
@@ -175,21 +174,30 @@ def knn_predict(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
     cand = routed.groupBy("cell", "block", "part").cogroup(corpus_blocks.groupBy("cell", "block", "part")).applyInPandas(
         block_topk, f"qid long, tid long, label {label_type}, d2 double")
     w = Window.partitionBy("qid").orderBy("d2", "tid")
-    nn = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    return cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+
+
+def knn_votes(neighbours: DataFrame, configs: list[tuple[int, str]], problem_type: str = "classification") -> DataFrame:
+    """Predictions of several ``(k, weights)`` configurations from one neighbour table: ``(config, qid, prediction)``, where
+    ``config`` is the place in the list. Each neighbour votes in the configurations whose ``k`` reaches it."""
+    inverse = 1.0 / F.greatest(F.sqrt("d2"), F.lit(1e-12))
+    ballots = F.array(*[F.struct(F.lit(i).alias("config"), F.lit(int(k)).alias("k"), (F.lit(1.0) if w == "uniform" else inverse).alias("wt"))
+                        for i, (k, w) in enumerate(configs)])
+    cast = neighbours.select("qid", "label", F.inline(F.filter(ballots, lambda b: F.col("rn") <= b["k"])))
     if problem_type == "classification":
-        wt = F.lit(1.0) if weights == "uniform" else 1.0 / F.greatest(F.sqrt("d2"), F.lit(1e-12))
-        votes = nn.groupBy("qid", "label").agg(F.sum(wt).alias("v"))
-        pred = votes.groupBy("qid").agg(F.min_by("label", F.struct((-F.col("v")).alias("nv"), F.col("label")))
-                                        .alias("prediction"))
-    else:
-        if weights == "uniform":
-            pred = nn.groupBy("qid").agg(F.avg(F.col("label").cast("double")).alias("prediction"))
-        else:
-            wt = 1.0 / F.greatest(F.sqrt("d2"), F.lit(1e-12))
-            pred = nn.groupBy("qid").agg((F.sum(wt * F.col("label").cast("double")) / F.sum(wt))
-                                         .alias("prediction"))
-    # queries with no neighbour at all (empty corpus after exclusion) still get a row
-    out = q.select("qid").join(pred, "qid", "left")
+        votes = cast.groupBy("config", "qid", "label").agg(F.sum("wt").alias("v"))
+        return votes.groupBy("config", "qid").agg(F.min_by("label", F.struct((-F.col("v")).alias("nv"), F.col("label"))).alias("prediction"))
+    y = F.col("label").cast("double")
+    return cast.groupBy("config", "qid").agg((F.sum(F.col("wt") * y) / F.sum("wt")).alias("prediction"))
+
+
+def knn_predict(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str, label_col: str, k: int = 5,
+                weights: str = "uniform", problem_type: str = "classification", exclude_self: bool = False,
+                n_pivots: int | None = None) -> DataFrame:
+    """Prediction per query row: ``(id_col, prediction)``; null where no corpus row is left to vote."""
+    near = knn_neighbours(corpus, queries, id_col=id_col, vec_col=vec_col, label_col=label_col, k=k, exclude_self=exclude_self, n_pivots=n_pivots)
+    pred = knn_votes(near, [(k, weights)], problem_type).drop("config")
+    out = queries.select(qcol(id_col).cast("long").alias("qid")).join(pred, "qid", "left")
     return out.select(F.col("qid").alias(id_col), "prediction")
 
 

@@ -52,14 +52,19 @@ def classification_scores(cm: DataFrame, group: list[str], average: str, pos_lab
     return acc.join(f1, group, "left")
 
 
+def smallest_labels(df: DataFrame, label: Column, most: int = 3) -> list:
+    """The smallest labels in native order. Three of them tell what the averages ask: are there more than two, and which one
+    is the second?"""
+    seen = df.select(label.alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").limit(most)
+    return [r["v"] for r in seen.collect()]
+
+
 def classification_metrics(df: DataFrame, y: str, p: str, average: str | None = None,
                            labels: list | None = None) -> DataFrame:
     """One row ``(accuracy, f1)``; ``average`` defaults to binary for <= 2 labels of y, else macro."""
     cm = confusion_counts(df, qcol(y), qcol(p), [F.lit(0).alias("__g")])
     if labels is None:
-        # more than two labels are all the same to the rule: three smallest ones tell
-        seen = df.select(qcol(y).alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").limit(3)
-        labels = [r["v"] for r in seen.collect()]
+        labels = smallest_labels(df, qcol(y))
     if average is None:
         average = "binary" if len(labels) <= 2 else "macro"
     pos = str(labels[1]) if average == "binary" and len(labels) > 1 else None
@@ -90,7 +95,7 @@ def fold_scores(df: DataFrame, label: str, predictions: dict[str, Column], fold_
                      F.inline(F.array(*structs)))
     if problem_type == "classification":
         if labels is None:
-            labels = sorted(r[0] for r in df.select(qcol(label)).where(qcol(label).isNotNull()).distinct().collect())
+            labels = smallest_labels(df, qcol(label))
         average = "binary" if len(labels) <= 2 else "macro"
         pos = str(labels[1]) if average == "binary" and len(labels) > 1 else None
         cm = confusion_counts(long, F.col("__y"), F.col("p"), [F.col("model_id"), F.col("fold")])

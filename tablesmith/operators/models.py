@@ -1,16 +1,22 @@
 """Model registry (M1–M9): battery slot name -> Spark ML estimator, with the fixed defaults and search spaces.
 
-Slots whose single-machine solver has no Spark counterpart are re-aimed (see README): the boosting-library slot is
-a second, deeper gradient-boosted-tree configuration; the RBF SVM is a linear SVM; the RBF SVR is a Huber-loss linear
+Slots whose single-machine solver has no Spark counterpart are re-aimed (see README): the two boosting slots are chains of
+trees grown in shared passes (``boosting``), the deeper one with a ridge on leaf values and row sampling; the RBF SVM is a linear SVM; the RBF SVR is a Huber-loss linear
 regression; KNN is the exact distributed search of ``tablesmith.operators.knn``.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
+from tablesmith.operators.boosting import Boost
+
+# Slots that are boosted in shared passes (``boosting``).
+BOOSTED = ("GradientBoosting", "GradientBoostingDeep")
+
 # Battery order per problem type (fixed).
 CLASSIFIERS = ["LogisticRegression", "RandomForest", "GradientBoosting", "GradientBoostingDeep", "SVM", "KNN"]
 REGRESSORS = ["LinearRegression", "RandomForest", "GradientBoosting", "GradientBoostingDeep", "SVR", "KNN"]
@@ -29,15 +35,26 @@ SEARCH_SPACES = {
     "KNN": {"n_neighbors": ("int", 3, 15), "weights": ("choice", ["uniform", "distance"])},
 }
 
-# Spark's tree depth limit is 30; an unlimited-depth forest is capped here (model size, and so driver memory and
-# the broadcast for scoring, grows with 2^depth per tree).
-DEFAULT_FOREST_DEPTH = 12
+# An unlimited forest: Spark's own limit of the depth.
+DEFAULT_FOREST_DEPTH = 30
+# Leaves of a tree at most, by the least rows of a leaf: this, and not the depth, bounds the model on the driver and in the
+# broadcast for scoring (a node takes some 300 bytes, so 100 full trees take half a gigabyte).
+FOREST_LEAVES = 8000
 # Memory for the per-level split statistics of tree learners, per task (Spark default 256 MB); bounded so that every
 # task slot of an executor can hold its share and several fits can run
 # side by side.
 TREE_MEMORY_MB = 64
 
 
+def forest_settings(rows: int, depth: int | None = None) -> dict:
+    """Parameters that let a forest of any depth grow in bounded memory: node ids of the rows are cached and checkpointed, so that
+    a level does not walk the trees again, and a leaf holds a fifth of the root of the rows at least (one row of a table of up to
+    a hundred, 20 of 10,000, 200 of a million), or 1 / ``FOREST_LEAVES`` of them where that is more."""
+    least = max(1, math.isqrt(rows) // 5, rows // FOREST_LEAVES)
+    return {"maxDepth": depth or DEFAULT_FOREST_DEPTH, "minInstancesPerNode": least, "cacheNodeIds": True,
+            "checkpointInterval": 10, "maxMemoryInMB": TREE_MEMORY_MB}
+
+
 # A user's own learner for a slot: ``ESTIMATOR_HOOKS[slot] = f(problem_type, params, seed) -> Spark ML estimator`` with
 # ``features`` and ``label`` as its input columns. It takes the slot's place in the battery, in tuning and in the refit.
 ESTIMATOR_HOOKS: dict = {}
@@ -56,11 +73,10 @@ def slots(problem_type: str) -> list[str]:
 
 def build_estimator(model_id: str, problem_type: str, params: dict | None = None, *, n_train: int = 1,
                     n_classes: int = 2, seed: int = 42):
-    """M9: unfitted estimator for a slot name (``featuresCol='features'``, ``labelCol='label'``)."""
-    from pyspark.ml.classification import (
-        GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
-    )
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+    """M9: unfitted estimator for a slot name (``featuresCol='features'``, ``labelCol='label'``); KNN and the boosted slots give the
+    settings of the library's own learners."""
+    from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
     p = dict(params or {})
     model_id = model_id.replace(" (Tuned)", "")
@@ -71,23 +87,16 @@ def build_estimator(model_id: str, problem_type: str, params: dict | None = None
     if model_id == "LogisticRegression" and clf:
         # C * sum(loss) + 1/2 |w|^2  ==  mean(loss) + regParam/2 |w|^2 with regParam = 1 / (C n)
         return LogisticRegression(regParam=1.0 / (p.get("C", 1.0) * n), elasticNetParam=0.0, standardization=False,
-                                  maxIter=1000, family="auto")
+                                  maxIter=1000, tol=1e-10, family="auto")
     if model_id == "LinearRegression" and not clf:
         return LinearRegression(regParam=0.0, solver="normal", fitIntercept=bool(p.get("fit_intercept", True)))
     if model_id == "RandomForest":
-        kw = dict(numTrees=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", DEFAULT_FOREST_DEPTH)),
-                  seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
+        kw = dict(numTrees=int(p.get("n_estimators", 100)), seed=seed, **forest_settings(n, p.get("max_depth")))
         return RandomForestClassifier(**kw) if clf else RandomForestRegressor(featureSubsetStrategy="all", **kw)
-    if model_id in ("GradientBoosting", "GradientBoostingDeep"):
+    if model_id in BOOSTED:
         deep = model_id == "GradientBoostingDeep"
-        kw = dict(stepSize=float(p.get("learning_rate", 0.1)), maxIter=int(p.get("n_estimators", 100)),
-                  maxDepth=int(p.get("max_depth", 6 if deep else 3)), seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
-        if deep:
-            kw["subsamplingRate"] = 0.8
-        if clf:
-            gbt = GBTClassifier(**kw)
-            return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
-        return GBTRegressor(**kw)
+        return Boost(int(p.get("n_estimators", 100)), float(p.get("learning_rate", 0.1)), int(p.get("max_depth", 6 if deep else 3)),
+                     *((1.0, 1.0, 0.8) if deep else (0.0, 1e-3, 1.0)))
     if model_id == "SVM" and clf:
         svc = LinearSVC(regParam=1.0 / (p.get("C", 1.0) * n), maxIter=100, standardization=True)
         return svc if n_classes <= 2 else OneVsRest(classifier=svc)
@@ -95,8 +104,7 @@ def build_estimator(model_id: str, problem_type: str, params: dict | None = None
         return LinearRegression(loss="huber", regParam=1.0 / (p.get("C", 1.0) * n), maxIter=100)
     if model_id == "KNN":
         return KNNConfig(k=int(p.get("n_neighbors", 5)), weights=p.get("weights", "uniform"))
-    raise ValueError(f"Unknown model_id '{model_id}' for {problem_type}. Valid values: "
-                     f"{', '.join(sorted(set(CLASSIFIERS + REGRESSORS)))}.")
+    raise ValueError(f"no {problem_type} slot is named {model_id!r}; there are {', '.join(slots(problem_type))}")
 
 
 def sample_params(model_id: str, n_trials: int, seed: int = 42) -> list[dict]:

@@ -1,27 +1,33 @@
 """Training (M0, M10–M12): feature matrix, cross-validated battery, random-search tuning, final refit.
 
 The feature table (assembled vector, encoded label, fold) is built once and persisted; every fit of the battery
-reads it.  Fits of different (model, fold) pairs run as concurrent Spark jobs from a small thread pool, the way
-``CrossValidator(parallelism=...)`` does.  Predictions of all folds and models are scored in one aggregation.
+reads it.  Fits of different (model, configuration, fold) triples run as concurrent Spark jobs from one queue, the way
+``CrossValidator(parallelism=...)`` does, and each is scored as soon as it is fitted.  Linear slots fit all folds and
+configurations in shared passes (``many_fits``); KNN searches once per fold for all configurations.
 """
 
 from __future__ import annotations
 
 import logging
-from concurrent.futures import ThreadPoolExecutor
+import math
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.exprs import qcol
+from tablesmith.operators import boosting
 from tablesmith.operators import metrics as M
-from tablesmith.operators.folds import hash_folds, stratified_folds
-from tablesmith.operators.knn import knn_predict
-from tablesmith.operators.labels import encode_expr, fit_labels
-from tablesmith.operators.models import KNNConfig, build_estimator, sample_params, slots
+from tablesmith.operators.boosting import Boost, BoostedModel, BoostFit
+from tablesmith.operators.folds import buckets_for, hash_folds, stratified_folds
+from tablesmith.operators.knn import knn_neighbours, knn_predict, knn_votes
+from tablesmith.operators.labels import encode_target
+from tablesmith.operators.many_fits import MOST_WIDTH, LinearFit, fit_linear, score_linear
+from tablesmith.operators.models import BOOSTED, ESTIMATOR_HOOKS, KNNConfig, build_estimator, sample_params, slots
 from tablesmith.operators.quantiles import quantiles
 from tablesmith.operators.selection import numeric_features
 from tablesmith.session import cut_lineage, persist
@@ -29,9 +35,13 @@ from tablesmith.session import cut_lineage, persist
 log = logging.getLogger(__name__)
 
 PARTITION_BYTES = 64 << 20
-MIN_PARTITION_ROWS = 4_000
-# Fits that run side by side by default.
+MIN_PARTITION_ROWS = 20_000
+# Fits that run side by side at least.
 PARALLEL_FITS = 3
+# Slots whose configurations and folds are fitted in shared passes, with their loss.
+SHARED_SCAN = {"LogisticRegression": "logistic", "LinearRegression": "squared"}
+# Slots in the order in which their fits join the queue.
+COSTLIEST = ["RandomForest", "GradientBoostingDeep", "GradientBoosting", "KNN", "SVM", "SVR"]
 
 
 @dataclass
@@ -57,28 +67,29 @@ def feature_table(df: DataFrame, target: str, problem_type: str, features: list[
     df = df.where(qcol(target).isNotNull())
     med = quantiles(df, {c: qcol(c).cast("double") for c in feats}, [0.5])
     medians = {c: (v[0] if v[0] is not None else 0.0) for c, v in med.items()}
+    content = F.xxhash64(*[qcol(c) for c in df.columns])
     cols = [F.coalesce(qcol(c).cast("double"), F.lit(medians[c])).alias(f"f{i}") for i, c in enumerate(feats)]
     if problem_type == "classification":
-        labels = labels or fit_labels(df, target)
-        y = encode_expr(qcol(target), labels).cast("double")
+        df, labels = encode_target(df, target, "__y", labels)
+        y = F.col("__y")
     else:
         labels = None
         y = qcol(target).cast("double")
     # folds hash the row's content, so they do not depend on row order or partitioning; equal rows share that hash, so
     # the row key is another one: a unique number, written once together with the rows and never computed again
-    content = F.xxhash64(*[qcol(c) for c in df.columns])
     base = cut_lineage(df.select(F.monotonically_increasing_id().alias("row_id"), content.alias("__content"),
                                  *cols, y.alias("label")))
-    n = base.count()
+    n, largest = base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first() \
+        if problem_type == "classification" else (base.count(), 0)
     if problem_type == "classification":
-        folded = stratified_folds(base, "__content", "label", k=cv)
+        folded = stratified_folds(base, "__content", "label", k=cv, buckets=buckets_for(largest))
     else:
         folded = hash_folds(base, "__content", k=cv)
     vec = VectorAssembler(inputCols=[f"f{i}" for i in range(len(feats))], outputCol="features",
                           handleInvalid="error").transform(folded).select("row_id", "features", "label", "fold")
-    vec = cut_lineage(vec.repartition(training_partitions(df.sparkSession, n, len(feats)), "row_id"))
-    vec = persist(vec)
-    return FeatureTable(vec, feats, medians, labels, problem_type, n)
+    parts = training_partitions(df.sparkSession, n, len(feats))
+    vec = persist(cut_lineage(vec.repartition(parts, "row_id")))
+    return FeatureTable(vec, feats, medians, labels, problem_type, n, {"partitions": parts})
 
 
 def training_partitions(spark, rows: int, n_features: int) -> int:
@@ -97,6 +108,9 @@ def _predict(ft: FeatureTable, est, train: DataFrame, test: DataFrame) -> DataFr
                            weights=est.weights, problem_type=ft.problem_type)
         return test.select("row_id", "label").join(pred, "row_id").select(
             "row_id", "label", F.col("prediction").cast("double").alias("prediction"))
+    if isinstance(est, Boost):
+        model = boosting.fit_model(train, len(ft.features), est, len(ft.labels or []), ft.labels is None)
+        return test.select("row_id", "label", model.predict(vector_to_array("features")).alias("prediction"))
     model = est.fit(train)
     return model.transform(test).select("row_id", "label", F.col("prediction").cast("double").alias("prediction"))
 
@@ -120,73 +134,188 @@ def cv_predictions(ft: FeatureTable, model_id: str, params: dict | None = None,
     return out.withColumn("model_id", F.lit(model_id))
 
 
+def _wide_to_long(wide: DataFrame, metrics: tuple) -> DataFrame:
+    return wide.select("model_id", F.col("fold").cast("int").alias("fold"), F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics])))
+
+
+def score_counts(counted: DataFrame, ft: FeatureTable) -> DataFrame:
+    """Long scores from predictions that are counted already: rows ``(model_id, fold, label, prediction, n)``."""
+    average = "binary" if len(ft.labels) <= 2 else "macro"
+    pos = "1.0" if average == "binary" and len(ft.labels) > 1 else None
+    cm = counted.groupBy("model_id", "fold", F.col("label").cast("string").alias("y"), F.col("prediction").cast("string").alias("p")).agg(F.sum("n").alias("n"))
+    return _wide_to_long(M.classification_scores(cm, ["model_id", "fold"], average, pos), M.CLASSIFICATION_METRICS)
+
+
 def score_predictions(pred: DataFrame, ft: FeatureTable) -> DataFrame:
     """Long scores ``(model_id, fold, metric, score)`` from out-of-fold predictions (one aggregation)."""
     if ft.problem_type == "classification":
-        codes = [float(i) for i in range(len(ft.labels))]
-        average = "binary" if len(codes) <= 2 else "macro"
-        pos = str(codes[1]) if average == "binary" and len(codes) > 1 else None
-        cm = M.confusion_counts(pred, F.col("label"), F.col("prediction"), [F.col("model_id"), F.col("fold")])
-        wide = M.classification_scores(cm, ["model_id", "fold"], average, pos)
-        metrics = M.CLASSIFICATION_METRICS
-    else:
-        wide = M.regression_scores(pred, F.col("label"), F.col("prediction"), [F.col("model_id"), F.col("fold")])
-        metrics = M.REGRESSION_METRICS
-    return wide.select("model_id", F.col("fold").cast("int").alias("fold"), F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics])))
+        return score_counts(pred.select("model_id", "fold", "label", "prediction", F.lit(1).alias("n")), ft)
+    wide = M.regression_scores(pred, F.col("label"), F.col("prediction"), [F.col("model_id"), F.col("fold")])
+    return _wide_to_long(wide, M.REGRESSION_METRICS)
+
+
+def fits_at_once(ft: FeatureTable, parallelism: int | None) -> int:
+    """Concurrent fits: as many as the cores hold at one task per partition, unless the caller says."""
+    return parallelism or max(PARALLEL_FITS, ft.df.sparkSession.sparkContext.defaultParallelism // max(1, ft.extra.get("partitions", 1)))
+
+
+def shares_scan(ft: FeatureTable, model_id: str) -> bool:
+    """Can all configurations and folds of the slot be fitted in shared passes?"""
+    outputs = 1 if not ft.labels or len(ft.labels) <= 2 else len(ft.labels)
+    return model_id in SHARED_SCAN and model_id not in ESTIMATOR_HOOKS and outputs * (len(ft.features) + 1) <= MOST_WIDTH
+
+
+def _metric_rows(scores: DataFrame) -> dict[str, list[tuple]]:
+    """``{model_id: [(fold, metric, score)]}`` of a long score table (folds x metrics rows per model)."""
+    out: dict[str, list[tuple]] = {}
+    for r in scores.collect():
+        out.setdefault(r["model_id"], []).append((r["fold"], r["metric"], r["score"]))
+    return out
+
+
+def _shared_scan_scores(ft: FeatureTable, model_id: str, trials: list[dict], cv: int) -> list[list[tuple]]:
+    """Fold scores of every configuration of a linear slot: all (configuration, fold) fits in the same passes."""
+    loss, n_train = SHARED_SCAN[model_id], max(1, int(ft.n_rows * (cv - 1) / cv))
+    fits = [LinearFit(f, 1.0 / (t.get("C", 1.0) * n_train) if loss == "logistic" else 0.0, bool(t.get("fit_intercept", True)))
+            for t in trials for f in range(cv)]
+    names = [str(i) for i in range(len(trials)) for _ in range(cv)]
+    weights = fit_linear(ft.df, fits, len(ft.features), loss, len(ft.labels or []))
+    scored = score_linear(ft.df, fits, names, weights, loss)
+    found = _metric_rows(score_counts(scored, ft) if ft.problem_type == "classification" else score_predictions(scored, ft))
+    return [found.get(str(i), []) for i in range(len(trials))]
+
+
+def _boosted_scores(ft: FeatureTable, model_id: str, trials: list[dict], cv: int) -> list[list[tuple]]:
+    """Fold scores of every configuration of a boosted slot: all chains advance in the same passes."""
+    numbers = ft.labels is None
+    chains = boosting.targets_of(len(ft.labels or []), numbers)
+    models = [(str(i), BoostFit(build_estimator(model_id, ft.problem_type, t), f, c)) for i, t in enumerate(trials) for f in range(cv) for c in chains]
+    done = boosting.boost(boosting.blocks_of(ft.df, len(ft.features), numbers, ft.extra), [fit for _, fit in models])
+    scored = boosting.out_of_fold(done, [name for name, _ in models])
+    found = _metric_rows(score_predictions(scored, ft) if numbers else score_counts(scored, ft))
+    return [found.get(str(i), []) for i in range(len(trials))]
 
 
-def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3,
-                parallelism: int = PARALLEL_FITS) -> DataFrame:
+def _neighbour_scores(ft: FeatureTable, trials: list[dict], cv: int, pool: ThreadPoolExecutor) -> list[list[tuple]]:
+    """Fold scores of every KNN configuration from one search per fold with the largest k: all of them vote on its neighbours."""
+    configs = [(t.get("n_neighbors", 5), t.get("weights", "uniform")) for t in trials]
+
+    def one(f: int) -> dict[str, list[tuple]]:
+        test = ft.df.where(F.col("fold") == f)
+        corpus = ft.df.where(F.col("fold") != f).select("row_id", vector_to_array("features").alias("vec"), "label")
+        near = knn_neighbours(corpus, test.select("row_id", vector_to_array("features").alias("vec")), id_col="row_id", vec_col="vec",
+                              label_col="label", k=max(k for k, _ in configs))
+        votes = knn_votes(cut_lineage(near), configs, ft.problem_type)
+        pred = test.select(F.col("row_id").alias("qid"), "label", "fold").join(votes, "qid").select(
+            F.col("config").cast("string").alias("model_id"), "fold", "label", F.col("prediction").cast("double").alias("prediction"))
+        return _metric_rows(score_predictions(pred, ft))
+
+    folds = list(pool.map(one, range(cv)))
+    return [[row for found in folds for row in found.get(str(i), [])] for i in range(len(trials))]
+
+
+def _fold_scores(ft: FeatureTable, model_id: str, params: dict | None, fold: int, cv: int) -> list[tuple]:
+    """``(fold, metric, score)`` of one fit, scored as soon as it is fitted, so that the model can go."""
+    est = build_estimator(model_id, ft.problem_type, params, n_train=int(ft.n_rows * (cv - 1) / cv), n_classes=len(ft.labels or []))
+    pred = _predict(ft, est, ft.df.where(F.col("fold") != fold), ft.df.where(F.col("fold") == fold))
+    pred = pred.withColumn("fold", F.lit(fold)).withColumn("model_id", F.lit(model_id))
+    return _metric_rows(score_predictions(pred, ft)).get(model_id, [])
+
+
+def _configuration_scores(ft: FeatureTable, model_id: str, trials: list[dict], cv: int, pool: ThreadPoolExecutor, fits: ThreadPoolExecutor) -> Future:
+    """A future of the fold scores per configuration (None for one that failed). Fits run in ``fits``; ``pool`` holds the threads that wait."""
+    carry = inheritable_thread_target(ft.df.sparkSession)
+    if shares_scan(ft, model_id):
+        return fits.submit(carry(_shared_scan_scores), ft, model_id, trials, cv)
+    if model_id in BOOSTED and model_id not in ESTIMATOR_HOOKS:
+        return fits.submit(carry(_boosted_scores), ft, model_id, trials, cv)
+    if model_id == "KNN" and model_id not in ESTIMATOR_HOOKS:
+        return pool.submit(carry(_neighbour_scores), ft, trials, cv, fits)
+    parts = [[fits.submit(carry(_fold_scores), ft, model_id, t, f, cv) for f in range(cv)] for t in trials]
+
+    def gather() -> list[list[tuple] | None]:
+        out: list[list[tuple] | None] = []
+        for t, futures in zip(trials, parts):
+            try:
+                out.append([row for x in futures for row in x.result()])
+            except Exception as e:  # noqa: BLE001 - one failing configuration must not stop the others
+                log.warning("%s with %s failed: %s", model_id, t, e)
+                out.append(None)
+        return out
+
+    return pool.submit(gather)
+
+
+def _score_frame(ft: FeatureTable, rows: list[tuple]) -> DataFrame:
+    return ft.df.sparkSession.createDataFrame(rows, "model_id string, fold int, metric string, score double, seq int")
+
+
+def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3, parallelism: int | None = None) -> DataFrame:
     """K-fold CV of every slot; a failing model is logged and skipped.  Returns the long score table
-    ``(model_id, fold, metric, score, seq)``, already computed (cached) so later reads are free."""
+    ``(model_id, fold, metric, score, seq)``: a row per model, fold and metric.
+
+    All (model, fold) fits wait in one queue for ``parallelism`` threads, the costliest slots first; each is scored as
+    soon as it is fitted. Linear slots fit all folds in shared passes.
+    """
     models = models or slots(ft.problem_type)
-    preds = []
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+    rows = []
+    with ThreadPoolExecutor(len(models)) as pool, ThreadPoolExecutor(fits_at_once(ft, parallelism)) as fits:
+        waiting = {}
+        for m in sorted(models, key=lambda m: COSTLIEST.index(m) if m in COSTLIEST else len(COSTLIEST)):
+            waiting[m] = _configuration_scores(ft, m, [{}], cv, pool, fits)
         for i, m in enumerate(models):
             try:
-                # score right away and checkpoint the small score table: the lineage (and with it the fitted
-                # fold models, e.g. 3 x 100 trees) is released before the next model is fitted
-                sc = cut_lineage(score_predictions(cv_predictions(ft, m, None, cv, pool), ft)
-                                 .withColumn("seq", F.lit(i + 1)))
-                preds.append(sc)
+                found = waiting[m].result()[0]
             except Exception as e:  # noqa: BLE001 - one failing model must not stop the battery
                 log.warning("model %s failed: %s", m, e)
-    if not preds:
+                found = None
+            rows += [(m, f, metric, score, i + 1) for f, metric, score in found or []]
+    if not rows:
         raise RuntimeError("every model of the battery failed")
-    scores = preds[0]
-    for p in preds[1:]:
-        scores = scores.unionByName(p)
-    return scores
+    return _score_frame(ft, rows)
 
 
-def tune_model(ft: FeatureTable, model_id: str, metric: str, cv: int = 3, n_trials: int = 10, seed: int = 42,
-               parallelism: int = PARALLEL_FITS) -> tuple[DataFrame, dict]:
-    """Seeded random search; each trial is cross-validated on the same folds, a failing trial scores +/-inf;
-    the best trial's fold scores (all metrics) are returned under ``"<model_id> (Tuned)"`` with its parameters."""
-    trials = sample_params(model_id, n_trials, seed)
+def tune_models(ft: FeatureTable, model_ids: list[str], metric: str, cv: int = 3, n_trials: int = 10, seed: int = 42,
+                parallelism: int | None = None, seq: int = 1) -> tuple[DataFrame, dict[str, dict]]:
+    """Seeded random search of several slots; each trial is cross-validated on the same folds, a failing trial scores
+    +/-inf. Returns the fold scores (all metrics) of each slot's best trial under ``"<model_id> (Tuned)"`` and its parameters.
+
+    The fits of all slots, trials and folds share one queue. A linear slot fits all trials in shared passes, KNN
+    searches once per fold for all of them. The best trial keeps the scores that chose it.
+    """
     smaller = metric in M.SMALLER_IS_BETTER
-    results = []
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        def run(t):
+    rows, best_params = [], {}
+    with ThreadPoolExecutor(len(model_ids)) as pool, ThreadPoolExecutor(fits_at_once(ft, parallelism)) as fits:
+        trials = {m: sample_params(m, n_trials, seed) for m in model_ids}
+        waiting = {m: _configuration_scores(ft, m, trials[m], cv, pool, fits) for m in model_ids}
+        for i, m in enumerate(model_ids):
             try:
-                p = cv_predictions(ft, model_id, t, cv)
-                s = score_predictions(p, ft)
-                mean = s.where(F.col("metric") == metric).agg(F.avg("score")).collect()[0][0]
-                return t, mean
+                results = waiting[m].result()
             except Exception as e:  # noqa: BLE001
-                log.warning("trial %s of %s failed: %s", t, model_id, e)
-                return t, None
-        results = list(pool.map(run, trials))
-    worst = float("inf") if smaller else float("-inf")
+                log.warning("tuning of %s failed: %s", m, e)
+                continue
+
+            def rank(j: int, results=results) -> tuple:
+                values = [s for _, name, s in results[j] or [] if name == metric and s is not None]
+                mean = sum(values) / len(values) if values else math.inf if smaller else -math.inf
+                return (mean if smaller else -mean, j)
+
+            best = min(range(len(results)), key=rank)
+            if results[best] is None:
+                log.warning("every trial of %s failed", m)
+                continue
+            name = f"{m} (Tuned)"
+            best_params[name] = trials[m][best]
+            rows += [(name, f, metric_name, score, seq + i) for f, metric_name, score in results[best]]
+    return _score_frame(ft, rows), best_params
 
-    def key(r):
-        v = r[1] if r[1] is not None else worst
-        return v if smaller else -v
-    best_params = sorted(enumerate(results), key=lambda ir: (key(ir[1]), ir[0]))[0][1][0]
-    p = cv_predictions(ft, model_id, best_params, cv)
-    scores = cut_lineage(score_predictions(p, ft).withColumn("model_id", F.lit(f"{model_id} (Tuned)")))
-    return scores, best_params
+
+def tune_model(ft: FeatureTable, model_id: str, metric: str, cv: int = 3, n_trials: int = 10, seed: int = 42,
+               parallelism: int | None = None) -> tuple[DataFrame, dict]:
+    """M11 for one slot: the best trial's fold scores ``(model_id, fold, metric, score)`` and its parameters."""
+    scores, params = tune_models(ft, [model_id], metric, cv, n_trials, seed, parallelism)
+    return scores.drop("seq"), params[f"{model_id} (Tuned)"]
 
 
 @dataclass
@@ -199,6 +328,7 @@ class FittedModel:
     params: dict
     spark_model: object = None        # fitted Spark ML model (not KNN)
     knn_corpus: DataFrame | None = None  # (row_id, vec, label) for KNN
+    boosted: BoostedModel | None = None
 
 
 def fit_final_model(ft: FeatureTable, model_id: str, params: dict | None = None) -> FittedModel:
@@ -209,6 +339,8 @@ def fit_final_model(ft: FeatureTable, model_id: str, params: dict | None = None)
     fm = FittedModel(base_id, ft.problem_type, ft.features, ft.medians, ft.labels, dict(params or {}))
     if isinstance(est, KNNConfig):
         fm.knn_corpus = ft.df.select("row_id", vector_to_array("features").alias("vec"), "label")
+    elif isinstance(est, Boost):
+        fm.boosted = boosting.fit_model(ft.df, len(ft.features), est, n_classes, ft.labels is None, ft.extra)
     else:
         fm.spark_model = est.fit(ft.df)
     return fm

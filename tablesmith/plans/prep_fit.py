@@ -4,13 +4,17 @@ Fit order (each step sees the previous step's expressions, nothing is materialis
 null-target rows -> plan -> structural drops -> de-duplication -> datetime parts -> numeric coercion -> fills ->
 encoders -> IQR clipping -> scaling.
 
-Actions of a fit with an inferred plan: structure stats (1, whole-stage codegen), HLL cardinality of the text
-candidates (1), an exact text count only for columns near the one-hot threshold, modes + categories histogram (1, also materialises the de-duplicated base),
-fills (1), target means (only with target encoding), clip quantiles + two-value test (1), scaler moments (1).
+Actions of a fit with an inferred plan: structure stats (1, whole-stage codegen), HLL cardinality of the text candidates (1), an
+exact text count only for columns near the one-hot threshold, modes + categories histogram (1, also materialises the
+de-duplicated base), one rank sketch of all numbers (1: fills by mean, two-value test, brackets), one read-off of all
+medians and quartiles (1), target means (only with target encoding), scaler moments (1). With adaptive execution each
+exchange of an action is a Spark job of its own.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +26,9 @@ from tablesmith.functions.exprs import (
 from tablesmith.operators import prep as ops
 from tablesmith.operators.aggs import collect_agg
 from tablesmith.operators.codes import join_codes
+from tablesmith.operators.quantiles import RankSketch, between, check_method, order_statistics, sketch_ranks
 from tablesmith.plans.spec import MAX_ONEHOT_CARDINALITY, PrepPlan, PrepSpec
-from tablesmith.session import persist
+from tablesmith.session import cut_lineage, persist
 
 DATETIME_SHARE = 0.9
 BROADCAST_MAX_ROWS = 100_000   # lookup tables up to this size (checked at fit time) are broadcast
@@ -319,6 +324,12 @@ def _check_names(names: list[str]) -> None:
 def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, infer_rest: bool = False) -> PrepSpec:
     """PIPE-1: learn a ``PrepSpec`` from training rows.  The caller's plan is never mutated; with ``infer_rest`` the
     columns it does not name are treated as the inferred plan would."""
+    return _fit(df, target, plan, infer_rest, store=False)[0]
+
+
+def _fit(df: DataFrame, target: str, plan: PrepPlan | None, infer_rest: bool, store: bool) -> tuple[PrepSpec, DataFrame, dict[str, str]]:
+    """The spec, and the training rows it was learned from: de-duplicated, text parsed, with the columns' kinds. With ``store``
+    these rows are in the shared checkpoint folder and can be used on; otherwise they are cached for the fit alone."""
     if target not in df.columns:
         raise KeyError(f"no column named '{target}' to use as the target")
     for f in df.schema.fields:
@@ -337,9 +348,9 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, infer_
     plan.validate(target)
     method = plan.quantiles
 
-    all_null = [c for c, s in stats.items() if s["n_non_null"] == 0]
-    single = [c for c, s in stats.items() if c != target and s["single"]]
-    dropped = [c for c in dict.fromkeys((*all_null, *single, *plan.drop_cols)) if c != target]
+    reason = dict.fromkeys(plan.drop_cols, 2) | {c: int(s["n_non_null"] > 0) for c, s in stats.items() if s["single"] or not s["n_non_null"]}
+    reason.pop(target, None)
+    dropped = sorted(reason, key=reason.get)  # without a value, with one value, by the plan
     if plan.dedupe == "before_drop":
         base = ops.drop_columns(ops.dedupe_rows(src), dropped)
     else:
@@ -355,11 +366,13 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, infer_
 
     # every later pass reads the de-duplicated rows with their text already parsed
     parsed, kind = staged(base, spec, "coerce")
-    parsed = persist(parsed)
+    parsed = cut_lineage(parsed) if store else persist(parsed)
     try:
-        return _fit_statistics(parsed, kind, spec, plan, types, method, set(plan.encode) if inferred else set())
+        _fit_statistics(parsed, kind, spec, plan, types, method, set(plan.encode) if inferred else set())
     finally:
-        parsed.unpersist()
+        if not store:
+            parsed.unpersist()
+    return spec, parsed, kind
 
 
 def _fit_statistics(parsed: DataFrame, parsed_kind: dict[str, str], spec: PrepSpec, plan: PrepPlan, types: dict, method: str,
@@ -386,12 +399,23 @@ def _fit_statistics(parsed: DataFrame, parsed_kind: dict[str, str], spec: PrepSp
     hist_cols = list(dict.fromkeys(mode_cols + cat_cols))
     vs = ops.value_summary(work, {c: cur[c] for c in hist_cols}, numeric, categories_for=cat_cols, max_categories=None,
                            known_small=frozenset(known_small)) if hist_cols else {}
-    other = {c: s for c, s in strategies.items() if s != "mode"}
-    spec.fills = ops.fit_fills(work, {c: cur[c] for c in other}, other, numeric, plan.fill_values, method)
+    num = [c for c in kind if kind[c] == "num"]
+    sketch = sketch_ranks(work, {c: cur[c] for c in num}) if num else None
+    medians = [c for c, s in strategies.items() if s == "median" and c in sketch.columns] if sketch else []
+    text_medians = {c: s for c, s in strategies.items() if s in ("median", "mean") and (sketch is None or c not in sketch.columns)}
+    constants = {c: s for c, s in strategies.items() if s == "constant"}
+    spec.fills = ops.fit_fills(work, {c: cur[c] for c in text_medians | constants}, text_medians | constants, numeric, plan.fill_values, method)
+    for c, s in strategies.items():
+        if s == "mean" and c not in text_medians:
+            spec.fills[c] = sketch.columns[c].total / sketch.columns[c].n if sketch.columns[c].n else None
     for c in mode_cols:
         m = vs.get(c, {}).get("mode")
         spec.fills[c] = 0.0 if m is None else (float(m) if numeric.get(c) else str(m))
 
+    # medians and the quartiles of the filled values are read off together; what is encoded is clipped only on demand
+    plain = [c for c in num if c not in enc and c not in spec.bool_columns] if plan.iqr_k is not None and not plan.clip_encoded else []
+    quartiles = _medians_and_quartiles(sketch, medians, plain, strategies, spec.fills, method) if sketch else {}
+
     # encoders
     for c in cat_cols:
         cats = vs[c]["categories"]
@@ -413,14 +437,13 @@ def _fit_statistics(parsed: DataFrame, parsed_kind: dict[str, str], spec: PrepSp
 
     # clipping: numeric features; by default not encoded columns, original booleans or two-valued columns
     work, kind = stage("encode")
-    cur = {n: qcol(n) for n in work.columns}
-    num_cols = [c for c in cur if kind.get(c) == "num"]
-    if plan.iqr_k is not None and num_cols:
-        cands = [c for c in num_cols if plan.clip_encoded or (c not in spec.encoded_columns
-                                                              and c not in spec.bool_columns)]
-        if cands:
-            spec.clip_bounds = _fit_clip(work, {c: cur[c] for c in cands}, plan.iqr_k, method,
-                                         skip_two_valued=not plan.clip_encoded)
+    num_cols = [c for c in work.columns if kind.get(c) == "num"]
+    if plan.iqr_k is not None and plan.clip_encoded and num_cols:
+        spec.clip_bounds = ops.fit_clip_iqr(work, {c: qcol(c) for c in num_cols}, plan.iqr_k, method)
+    for c in plain:
+        if not _is_two_valued(*_filled_moments(sketch, c, spec.fills.get(c))):
+            q1, q3 = quartiles[c]
+            spec.clip_bounds[c] = [float("nan")] * 2 if q1 is None else [q1 - plan.iqr_k * (q3 - q1), q3 + plan.iqr_k * (q3 - q1)]
 
     # scaling over clipped values
     work, kind = stage("clip")
@@ -431,15 +454,63 @@ def _fit_statistics(parsed: DataFrame, parsed_kind: dict[str, str], spec: PrepSp
     return spec
 
 
-def _fit_clip(df: DataFrame, exprs: dict[str, Column], k: float, method: str, skip_two_valued: bool
-              ) -> dict[str, list]:
-    """IQR bounds of the columns that are clipped.
+def _filled_ranks(sketch: RankSketch, col: str, filled: bool) -> tuple[list[float], int]:
+    """Fractional ranks of the quartiles among the values with their fills, and how many fills there are."""
+    column = sketch.columns[col]
+    fills = sketch.rows - column.n if filled and column.n else 0
+    return [p * (column.n + fills - 1) for p in (0.25, 0.75)] if column.n else [], fills
 
-    A column whose values take at most two distinct numbers is not clipped (by default): for values in [m, M],
-    x^2 <= (m + M) x - m M with equality only at m and M, so count, min, max, sum and sum of squares decide it."""
-    bounds = ops.fit_clip_iqr(df, exprs, k, method)
-    two = _two_valued_only(df, exprs) if skip_two_valued else set()
-    return {c: b for c, b in bounds.items() if c not in two}
+
+def _medians_and_quartiles(sketch: RankSketch, medians: list[str], clipped: list[str], strategies: dict[str, str],
+                           fills: dict[str, object], method: str) -> dict[str, list]:
+    """One read-off for all medians (put into ``fills``) and for the quartiles of the filled columns that are clipped.
+
+    The r-th smallest of n values and c copies of a fill f is the r-th value where that is at most f, the (r - c)-th one where
+    that is at least f, and f otherwise; so both are read off before f is known.
+    """
+    check_method(method)
+    wanted: dict[str, set[int]] = {c: set() for c in dict.fromkeys((*medians, *clipped)) if sketch.columns[c].n}
+    for c in medians:
+        if c in wanted:
+            r = 0.5 * (sketch.columns[c].n - 1)
+            wanted[c] |= {math.floor(r), math.ceil(r)}
+    for c in clipped:
+        ranks, extra = _filled_ranks(sketch, c, c in strategies)
+        for r in ranks:
+            for k in (math.floor(r), math.ceil(r)):
+                wanted[c] |= {x for x in (k, k - extra) if 0 <= x < sketch.columns[c].n}
+    found = ({c: {r: sketch.columns[c].near(r) for r in rs} for c, rs in wanted.items()} if method == "approx"
+             else order_statistics(sketch, {c: sorted(rs) for c, rs in wanted.items() if rs}))
+    for c in medians:
+        r = 0.5 * (sketch.columns[c].n - 1)
+        fills[c] = between(found[c][math.floor(r)], found[c][math.ceil(r)], r) if c in wanted else None
+
+    def at(c: str, k: int, extra: int) -> float:
+        values, n = found[c], sketch.columns[c].n
+        if not extra:
+            return values[k]
+        fill = float(fills[c])
+        if k < n and values[k] <= fill:
+            return values[k]
+        return values[k - extra] if k >= extra and values[k - extra] >= fill else fill
+
+    out = {}
+    for c in clipped:
+        ranks, extra = _filled_ranks(sketch, c, c in strategies and fills.get(c) is not None)
+        out[c] = [between(at(c, math.floor(r), extra), at(c, math.ceil(r), extra), r) for r in ranks] or [None, None]
+    return out
+
+
+def _filled_moments(sketch: RankSketch, col: str, fill) -> tuple:
+    """Count, extremes, sum and sum of squares of a column with its fills."""
+    c = sketch.columns[col]
+    extra = sketch.rows - c.n if fill is not None else 0
+    if not c.n and not extra:
+        return 0, None, None, None, None
+    f = float(fill) if extra else 0.0
+    low, high = (min(x for x in (v, f if extra else None) if x is not None) if s < 0 else max(x for x in (v, f if extra else None) if x is not None)
+                 for s, v in ((-1, c.low), (1, c.high)))
+    return c.n + extra, low, high, (c.total or 0.0) + extra * f, (c.squares or 0.0) + extra * f * f
 
 
 def _is_two_valued(n, m, M, s, q) -> bool:
@@ -452,16 +523,6 @@ def _is_two_valued(n, m, M, s, q) -> bool:
     return abs(gap) <= tol
 
 
-def _two_valued_only(df: DataFrame, exprs: dict[str, Column]) -> set[str]:
-    aggs = []
-    for i, e in enumerate(exprs.values()):
-        x = e.cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"m{i}"), F.max(x).alias(f"M{i}"),
-                 F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    row = collect_agg(df, aggs)
-    return {c for i, c in enumerate(exprs) if _is_two_valued(*(row[f"{p}{i}"] for p in "nmMsq"))}
-
-
 def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train", keep: list[str] | tuple = ()) -> DataFrame:
     """PIPE-2: apply a fitted spec as one projection, never refitting.
 
@@ -498,10 +559,11 @@ def apply_prep(df: DataFrame, spec: PrepSpec, mode: str = "train", keep: list[st
     return out
 
 
-def prep_dataframe(df: DataFrame, target: str, plan: PrepPlan | None = None) -> tuple[DataFrame, PrepSpec]:
-    """PIPE-3: fit on ``df`` and apply to it."""
-    spec = fit_prep(df, target, plan)
-    return apply_prep(df, spec, "train"), spec
+def prep_dataframe(df: DataFrame, target: str, plan: PrepPlan | None = None, *, infer_rest: bool = False) -> tuple[DataFrame, PrepSpec]:
+    """PIPE-3: fit on ``df`` and apply to it. The de-duplicated, parsed rows are written to the shared checkpoint folder once; the fit
+    reads its statistics from them and the result is a projection of them, so full rows are shuffled once."""
+    spec, parsed, kind = _fit(df, target, plan, infer_rest, store=True)
+    return staged(parsed, spec, "scale", coerced=kind)[0], spec
 
 
 def spec_table(spec: PrepSpec, spark) -> DataFrame:

@@ -20,7 +20,7 @@ def read_text_csv(spark: SparkSession, path: str, multiline: bool = False) -> Da
     """All columns as text, NA tokens as null. ``multiline`` reads quoted line breaks (a file is then one task)."""
     df = spark.read.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"').option("inferSchema", False).option("mode", "FAILFAST").csv(path)
     if not df.columns:
-        raise ValueError(f"CSV at {path} has no columns")
+        raise ValueError(f"there is no header line to name columns in {path}")
     return df.select(*[F.when(qcol(c).isin(NA_TOKENS), None).otherwise(qcol(c)).alias(c) for c in df.columns])
 
 
