@@ -1,13 +1,15 @@
 """M8: exact k-nearest-neighbour prediction at table scale.
 
 Plan (exact, no candidate cap):
-1. ``P`` pivot vectors (the rows with the smallest md5 hash of the id; P grows with the corpus, at most 256).
-2. Every corpus row goes to its nearest pivot's cell; per cell Spark counts rows and the radius (max distance to the
-   pivot).  Big cells are split into sub-blocks by a hash of the id, so a cell holding a third of the rows is spread
-   over many tasks.
-3. Every query computes its distances to the pivots and an upper bound ``U`` of its k-th neighbour distance (cells
-   by ``d(q, pivot) + radius``, accumulated until they hold k rows); by the triangle inequality only cells with
-   ``d(q, pivot) - radius <= U`` can hold a neighbour, so the query is sent to those blocks only.
+1. ``P`` pivot vectors (the rows with the smallest md5 hash of the id; P grows with the root of the corpus, up to ``PIVOT_BYTES``,
+   which bounds their broadcast), grouped around about sqrt(P) leading pivots.
+2. Every corpus row goes to its nearest leading pivot and there to the nearest pivot's cell, so it meets some 2 sqrt(P) of
+   them; per cell Spark counts rows and the radius (max distance to the pivot). Big cells are split into sub-blocks by a
+   hash of the id, so a cell holding a third of the rows is spread over many tasks. Cells and their blocks are a stored
+   table that is joined; nothing in a plan grows with the corpus.
+3. Every query gets an upper bound ``U`` of its k-th neighbour distance from the cells of its own group (``d(q, pivot) + radius``,
+   accumulated until they hold k rows); by the triangle inequality only groups, and in them cells, with ``d(q, pivot) - radius <=
+   U`` can hold a neighbour, so the query is sent to those blocks only.
 4. ``cogroup`` on (cell, block): numpy computes the block's query x corpus squared distances and keeps the k best
    per query (ties by id) — at most k rows per query and block leave the task, never all pairs.
 5. A global top-k per query (``row_number() <= k``, which Spark plans as a partial group limit before the shuffle)
@@ -17,6 +19,7 @@ Plan (exact, no candidate cap):
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,10 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.exprs import hash_fraction_key, qcol
+from tablesmith.operators.codes import store
 
 BLOCK_ROWS = 20_000          # corpus rows per (cell, block) group
 ROWS_PER_PIVOT = 2_000
 PIVOTS_PER_ROOT = 4           # at most so many pivots per square root of the corpus size
+PIVOT_BYTES = 32 << 20        # of all pivots: the bound of their broadcast
 QUERY_ROWS = 50_000          # queries of one group
 QUERY_CHUNK = 2_000_000      # query x corpus distances computed at once inside a block
 
@@ -45,6 +50,89 @@ def _stack(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col]) if len(col) else np.zeros((0, 0))
 
 
+@dataclass
+class PivotGroups:
+    """Pivots in groups around leading ones, and of each cell (one per pivot) its rows, radius and blocks."""
+
+    pivots: np.ndarray              # by group
+    leaders: np.ndarray             # vector of each group
+    first: np.ndarray               # first pivot of each group, and the end
+    order: np.ndarray               # cell number of each pivot
+    rows: np.ndarray | None = None
+    radius: np.ndarray | None = None
+    blocks: np.ndarray | None = None
+    reach: np.ndarray | None = None  # of each group: the farthest that a row of it may be from its leader
+
+    @classmethod
+    def around(cls, pivots: np.ndarray) -> "PivotGroups":
+        leaders = pivots[:max(1, math.isqrt(len(pivots)))]
+        group = np.concatenate([_sqdist_seq(pivots[s:s + 1024], leaders).argmin(axis=1) for s in range(0, len(pivots), 1024)])
+        order = np.argsort(group, kind="stable")
+        return cls(pivots[order], leaders, np.searchsorted(group[order], np.arange(len(leaders) + 1)), order)
+
+    def filled(self, cell: np.ndarray, rows: np.ndarray, radius: np.ndarray, blocks: np.ndarray) -> "PivotGroups":
+        """With the counts of the cells that have rows; the others are left out."""
+        by_cell = {int(c): i for i, c in enumerate(cell)}
+        place = np.array([by_cell.get(int(c), -1) for c in self.order])
+        keep = place >= 0
+        group = np.repeat(np.arange(len(self.leaders)), np.diff(self.first))[keep]
+        pivots, radius = self.pivots[keep], radius[place[keep]]
+        reach = np.full(len(self.leaders), -np.inf)
+        if len(pivots):
+            np.maximum.at(reach, group, np.sqrt(((pivots - self.leaders[group]) ** 2).sum(axis=1)) + radius)
+        return PivotGroups(pivots, self.leaders, np.searchsorted(group, np.arange(len(self.leaders) + 1)), self.order[keep],
+                           rows[place[keep]], radius, blocks[place[keep]], reach)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each row: the nearest pivot in the group of the nearest leader, and the distance to it."""
+        group = _sqdist_seq(x, self.leaders).argmin(axis=1)
+        cell, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for g in np.unique(group):
+            mine, span = np.flatnonzero(group == g), slice(self.first[g], self.first[g + 1])
+            d = _sqdist_seq(x[mine], self.pivots[span])
+            at = d.argmin(axis=1)
+            cell[mine], dist[mine] = self.order[span][at], np.sqrt(d[np.arange(len(mine)), at])
+        return cell, dist
+
+    def candidates(self, x: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query place, cell, blocks of the cell) of every cell that may hold one of a query's ``need`` nearest rows."""
+        lead = np.sqrt(_sqdist_seq(x, self.leaders))
+        some = np.flatnonzero(np.diff(self.first) > 0)
+        if not len(some):
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        sums = np.concatenate([[0], np.cumsum(self.rows)])
+        held = sums[self.first[1:]] - sums[self.first[:-1]]
+        # first bound: whole groups, the nearest ones that together hold enough rows
+        far = lead[:, some] + self.reach[some]
+        by = np.argsort(far, axis=1, kind="stable")
+        upto = np.cumsum(held[some][by], axis=1)
+        hit = (upto >= need).argmax(axis=1)
+        bound = np.where(upto[:, -1] >= need, far[np.arange(len(x)), by[np.arange(len(x)), hit]], np.inf)
+        # tighter: the cells of the nearest group alone
+        own = some[lead[:, some].argmin(axis=1)]
+        for g in np.unique(own):
+            mine, span = np.flatnonzero(own == g), slice(self.first[g], self.first[g + 1])
+            ub = np.sqrt(_sqdist_seq(x[mine], self.pivots[span])) + self.radius[span]
+            by = np.argsort(ub, axis=1, kind="stable")
+            upto = np.cumsum(self.rows[span][by], axis=1)
+            hit = (upto >= need).argmax(axis=1)
+            best = np.where(upto[:, -1] >= need, ub[np.arange(len(mine)), by[np.arange(len(mine)), hit]], np.inf)
+            bound[mine] = np.minimum(bound[mine], best)
+        found = []
+        for g in some:
+            # rounded square roots: a tie at the bound must not be pruned
+            near = np.flatnonzero(lead[:, g] - self.reach[g] <= bound + 1e-9 * (1.0 + lead[:, g] + self.reach[g]))
+            if not len(near):
+                continue
+            span = slice(self.first[g], self.first[g + 1])
+            d = np.sqrt(_sqdist_seq(x[near], self.pivots[span]))
+            q, c = np.nonzero(d - self.radius[span] <= bound[near][:, None] + 1e-9 * (1.0 + d + self.radius[span]))
+            found.append((near[q], c + self.first[g]))
+        q, at = (np.concatenate(v) for v in zip(*found))
+        return q, self.order[at], self.blocks[at].astype(np.int64)
+
+
 def _chunk_topk(qv: np.ndarray, qids: np.ndarray, tv: np.ndarray, tn: np.ndarray, tid: np.ndarray,
                 lab: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
     """Exact k nearest corpus rows per query (ties by id) for one query chunk of a block.
@@ -92,66 +180,47 @@ def knn_neighbours(corpus: DataFrame, queries: DataFrame, *, id_col: str, vec_co
     if n_corpus == 0:
         return c.select(F.col("tid").alias("qid"), "tid", "label", F.lit(0.0).alias("d2"), F.lit(1).alias("rn"))
     p = n_pivots or max(1, min(int(PIVOTS_PER_ROOT * math.sqrt(n_corpus)), n_corpus // ROWS_PER_PIVOT))
-    piv_rows = c.orderBy(hash_fraction_key(F.col("tid")), F.col("tid")).limit(p).select("tvec").collect()
+    piv_rows = c.orderBy(hash_fraction_key(F.col("tid")), F.col("tid")).limit(min(p, 1 << 16)).select("tvec").collect()
     pivots = np.stack([np.asarray(r["tvec"], dtype=np.float64) for r in piv_rows])
-    bc = spark.sparkContext.broadcast(pivots)
+    pivots = pivots[:max(1, PIVOT_BYTES // (8 * max(1, pivots.shape[1])))]
+    bc = spark.sparkContext.broadcast(PivotGroups.around(pivots))
 
     def assign(it):
-        pv = bc.value
         for pdf in it:
             if pdf.empty:
                 continue
-            d = np.sqrt(_sqdist_seq(_stack(pdf["tvec"]), pv))
-            cell = d.argmin(axis=1)
-            pdf = pdf.assign(cell=cell.astype("int32"), dp=d[np.arange(len(cell)), cell])
-            yield pdf
+            cell, d = bc.value.nearest(_stack(pdf["tvec"]))
+            yield pdf.assign(cell=cell.astype("int32"), dp=d)
 
     # not cached: the assignment is a cheap numpy pass, recomputed by the stats job and by the block job
     assigned = c.mapInPandas(assign, f"tid long, tvec array<double>, label {label_type}, cell int, dp double")
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in
-             assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("radius")).collect()}
-    blocks = {cell: max(1, math.ceil(n / BLOCK_ROWS)) for cell, (n, _r) in stats.items()}
-    cells = sorted(stats)
-    counts = np.array([stats[x][0] for x in cells], dtype=np.int64)
-    radii = np.array([stats[x][1] for x in cells], dtype=np.float64)
-    nblocks = np.array([blocks[x] for x in cells], dtype=np.int64)
+    cells = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("radius"))
+    cells = spark.read.parquet(store(cells.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")), "cells"))
+    sizes = cells.orderBy("cell").toPandas()  # one row per pivot at most
+    shape = spark.sparkContext.broadcast(bc.value.filled(*[sizes[x].to_numpy() for x in ("cell", "n", "radius", "blocks")]))
     need = k + (1 if exclude_self else 0)
 
-    bmap = F.create_map(*[v for x in cells for v in (F.lit(x), F.lit(blocks[x]))])
-    corpus_blocks = assigned.withColumn("block", F.pmod(F.xxhash64("tid"), bmap[F.col("cell")]).cast("int")) \
-        .select("cell", "block", "tid", "tvec", "label")
-
-    cells_arr = np.array(cells, dtype=np.int32)
-
     def route(it):
-        pv = bc.value
         for pdf in it:
             if pdf.empty:
                 continue
-            qv = _stack(pdf["qvec"])
-            dq = np.sqrt(_sqdist_seq(qv, pv))[:, cells_arr]
-            ub = dq + radii[None, :]
-            order = np.argsort(ub, axis=1, kind="stable")
-            cum = np.cumsum(counts[order], axis=1)
-            hit = (cum >= need).argmax(axis=1)
-            enough = cum[:, -1] >= need
-            bound = np.where(enough, ub[np.arange(len(qv)), order[np.arange(len(qv)), hit]], np.inf)
-            # rounded square roots: a tie at the bound must not be pruned
-            cand = (dq - radii[None, :]) <= bound[:, None] + 1e-9 * (1.0 + dq + radii[None, :])
-            qi, ci = np.nonzero(cand)
-            reps = nblocks[ci]
-            rows_q = np.repeat(qi, reps)
-            rows_c = np.repeat(ci, reps)
-            blk = np.concatenate([np.arange(r) for r in reps]) if len(reps) else np.zeros(0, dtype=np.int64)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[rows_q], "qvec": pdf["qvec"].to_numpy()[rows_q],
-                                "cell": cells_arr[rows_c], "block": blk.astype("int32")})
+            q, cell, blocks = shape.value.candidates(_stack(pdf["qvec"]), need)
+            rows = np.repeat(np.arange(len(q)), blocks)
+            block = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[q[rows]], "qvec": pdf["qvec"].to_numpy()[q[rows]],
+                                "cell": cell[rows].astype("int32"), "block": block.astype("int32")})
 
     routed = q.mapInPandas(route, "qid long, qvec array<double>, cell int, block int")
     # a block that many queries need is one group per QUERY_ROWS of them; its corpus rows go to each of the groups
-    asked = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.create_map(*[v for x in cells for v in (F.lit(x), F.lit(max(1, math.ceil(asked.get(x, 0) / blocks[x] / QUERY_ROWS))))])
-    routed = routed.withColumn("part", F.pmod(F.xxhash64("qid", F.lit(7)), parts[F.col("cell")]).cast("int"))
-    corpus_blocks = corpus_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)))
+    asked = routed.groupBy(F.col("cell").alias("c")).agg(F.count(F.lit(1)).alias("asked"))
+    share = F.ceil(F.coalesce("asked", F.lit(0)) / F.col("blocks") / QUERY_ROWS)
+    deal = cells.join(asked, F.col("cell") == F.col("c"), "left").select("cell", "blocks", F.greatest(F.lit(1), share).cast("int").alias("parts"))
+    deal = spark.read.parquet(store(deal, "cell_parts"))
+    routed = routed.join(deal.select("cell", "parts"), "cell").select(
+        "qid", "qvec", "cell", "block", F.pmod(F.xxhash64("qid", F.lit(7)), F.col("parts")).cast("int").alias("part"))
+    corpus_blocks = assigned.join(deal, "cell").select(
+        "cell", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int").alias("block"), "tid", "tvec", "label",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def block_topk(key, qdf: pd.DataFrame, tdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "tid": pd.Series([], dtype="int64"),

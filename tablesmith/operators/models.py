@@ -1,8 +1,9 @@
 """Model registry (M1–M9): battery slot name -> Spark ML estimator, with the fixed defaults and search spaces.
 
 Slots whose single-machine solver has no Spark counterpart are re-aimed (see README): the two boosting slots are chains of
-trees grown in shared passes (``boosting``), the deeper one with a ridge on leaf values and row sampling; the RBF SVM is a linear SVM; the RBF SVR is a Huber-loss linear
-regression; KNN is the exact distributed search of ``tablesmith.operators.knn``.
+trees grown in shared passes (``boosting``), the deeper one with a ridge on leaf values and row sampling; the RBF SVM is a
+linear SVM, and the RBF SVR a Huber-loss linear regression, on random Fourier features of the kernel (``kernel``); KNN is
+the exact distributed search of ``knn``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from tablesmith.operators.boosting import Boost
+from tablesmith.operators.kernel import KernelSlot
 
 # Slots that are boosted in shared passes (``boosting``).
 BOOSTED = ("GradientBoosting", "GradientBoostingDeep")
@@ -30,8 +32,8 @@ SEARCH_SPACES = {
                          "max_depth": ("int", 3, 8)},
     "GradientBoostingDeep": {"learning_rate": ("log", 0.01, 0.2), "n_estimators": ("int", 50, 200),
                              "max_depth": ("int", 3, 10)},
-    "SVM": {"C": ("log", 1e-3, 1e2)},
-    "SVR": {"C": ("log", 1e-3, 1e2)},
+    "SVM": {"C": ("log", 1e-3, 1e2), "gamma": ("choice", ["scale", "auto"])},
+    "SVR": {"C": ("log", 1e-3, 1e2), "gamma": ("choice", ["scale", "auto"])},
     "KNN": {"n_neighbors": ("int", 3, 15), "weights": ("choice", ["uniform", "distance"])},
 }
 
@@ -98,10 +100,10 @@ def build_estimator(model_id: str, problem_type: str, params: dict | None = None
         return Boost(int(p.get("n_estimators", 100)), float(p.get("learning_rate", 0.1)), int(p.get("max_depth", 6 if deep else 3)),
                      *((1.0, 1.0, 0.8) if deep else (0.0, 1e-3, 1.0)))
     if model_id == "SVM" and clf:
-        svc = LinearSVC(regParam=1.0 / (p.get("C", 1.0) * n), maxIter=100, standardization=True)
-        return svc if n_classes <= 2 else OneVsRest(classifier=svc)
+        svc = LinearSVC(regParam=1.0 / (p.get("C", 1.0) * n), maxIter=100, standardization=False)
+        return KernelSlot(svc if n_classes <= 2 else OneVsRest(classifier=svc), p.get("gamma", "scale"))
     if model_id == "SVR" and not clf:
-        return LinearRegression(loss="huber", regParam=1.0 / (p.get("C", 1.0) * n), maxIter=100)
+        return KernelSlot(LinearRegression(loss="huber", regParam=1.0 / (p.get("C", 1.0) * n), maxIter=100), p.get("gamma", "scale"))
     if model_id == "KNN":
         return KNNConfig(k=int(p.get("n_neighbors", 5)), weights=p.get("weights", "uniform"))
     raise ValueError(f"no {problem_type} slot is named {model_id!r}; there are {', '.join(slots(problem_type))}")

@@ -24,6 +24,7 @@ from tablesmith.operators import boosting
 from tablesmith.operators import metrics as M
 from tablesmith.operators.boosting import Boost, BoostedModel, BoostFit
 from tablesmith.operators.folds import buckets_for, hash_folds, stratified_folds
+from tablesmith.operators.kernel import FourierMap, KernelSlot
 from tablesmith.operators.knn import knn_neighbours, knn_predict, knn_votes
 from tablesmith.operators.labels import encode_target
 from tablesmith.operators.many_fits import MOST_WIDTH, LinearFit, fit_linear, score_linear
@@ -92,6 +93,22 @@ def feature_table(df: DataFrame, target: str, problem_type: str, features: list[
     return FeatureTable(vec, feats, medians, labels, problem_type, n, {"partitions": parts})
 
 
+def assemble(df: DataFrame, target: str, problem_type: str, feats: list[str], fills: dict[str, float], labels: list | None, fold: str) -> FeatureTable:
+    """A feature table of rows whose folds are given already."""
+    cols = [F.coalesce(qcol(c).cast("double"), F.lit(fills[c])).alias(f"f{i}") for i, c in enumerate(feats)]
+    y = qcol(target).cast("double")
+    if problem_type == "classification":
+        df, labels = encode_target(df, target, "__y", labels)
+        y = F.col("__y")
+    rows = df.select(F.monotonically_increasing_id().alias("row_id"), *cols, y.alias("label"), qcol(fold).cast("int").alias("fold"))
+    vec = VectorAssembler(inputCols=[f"f{i}" for i in range(len(feats))], outputCol="features", handleInvalid="error").transform(rows)
+    vec = cut_lineage(vec.select("row_id", "features", "label", "fold"))
+    n = vec.count()
+    parts = training_partitions(df.sparkSession, n, len(feats))
+    vec = persist(vec.repartition(parts, "row_id"))
+    return FeatureTable(vec, feats, fills, labels, problem_type, n, {"partitions": parts})
+
+
 def training_partitions(spark, rows: int, n_features: int) -> int:
     """Partitions of a feature table: every learner runs one task per partition in each of its many passes, so there
     are as many as ``PARTITION_BYTES`` asks for, and on small tables one per ``MIN_PARTITION_ROWS`` rows up to the cores."""
@@ -111,6 +128,9 @@ def _predict(ft: FeatureTable, est, train: DataFrame, test: DataFrame) -> DataFr
     if isinstance(est, Boost):
         model = boosting.fit_model(train, len(ft.features), est, len(ft.labels or []), ft.labels is None)
         return test.select("row_id", "label", model.predict(vector_to_array("features")).alias("prediction"))
+    if isinstance(est, KernelSlot):
+        lift, model = est.fit(train, len(ft.features))
+        return model.transform(lift.lift(test)).select("row_id", "label", F.col("prediction").cast("double").alias("prediction"))
     model = est.fit(train)
     return model.transform(test).select("row_id", "label", F.col("prediction").cast("double").alias("prediction"))
 
@@ -223,16 +243,21 @@ def _fold_scores(ft: FeatureTable, model_id: str, params: dict | None, fold: int
     return _metric_rows(score_predictions(pred, ft)).get(model_id, [])
 
 
-def _configuration_scores(ft: FeatureTable, model_id: str, trials: list[dict], cv: int, pool: ThreadPoolExecutor, fits: ThreadPoolExecutor) -> Future:
-    """A future of the fold scores per configuration (None for one that failed). Fits run in ``fits``; ``pool`` holds the threads that wait."""
-    carry = inheritable_thread_target(ft.df.sparkSession)
-    if shares_scan(ft, model_id):
+def _configuration_scores(ft: FeatureTable | dict[int, FeatureTable], model_id: str, trials: list[dict], cv: int, pool: ThreadPoolExecutor,
+                          fits: ThreadPoolExecutor) -> Future:
+    """A future of the fold scores per configuration (None for one that failed). Fits run in ``fits``; ``pool`` holds the threads that wait.
+    Where every fold has a table of its own, each fit is one of its own as well."""
+    by_fold = ft if isinstance(ft, dict) else {f: ft for f in range(cv)}
+    carry = inheritable_thread_target(any_table(ft).df.sparkSession)
+    if isinstance(ft, dict):
+        pass
+    elif shares_scan(ft, model_id):
         return fits.submit(carry(_shared_scan_scores), ft, model_id, trials, cv)
-    if model_id in BOOSTED and model_id not in ESTIMATOR_HOOKS:
+    elif model_id in BOOSTED and model_id not in ESTIMATOR_HOOKS:
         return fits.submit(carry(_boosted_scores), ft, model_id, trials, cv)
-    if model_id == "KNN" and model_id not in ESTIMATOR_HOOKS:
+    elif model_id == "KNN" and model_id not in ESTIMATOR_HOOKS:
         return pool.submit(carry(_neighbour_scores), ft, trials, cv, fits)
-    parts = [[fits.submit(carry(_fold_scores), ft, model_id, t, f, cv) for f in range(cv)] for t in trials]
+    parts = [[fits.submit(carry(_fold_scores), by_fold[f], model_id, t, f, cv) for f in sorted(by_fold)] for t in trials]
 
     def gather() -> list[list[tuple] | None]:
         out: list[list[tuple] | None] = []
@@ -247,20 +272,25 @@ def _configuration_scores(ft: FeatureTable, model_id: str, trials: list[dict], c
     return pool.submit(gather)
 
 
-def _score_frame(ft: FeatureTable, rows: list[tuple]) -> DataFrame:
-    return ft.df.sparkSession.createDataFrame(rows, "model_id string, fold int, metric string, score double, seq int")
+def any_table(ft: FeatureTable | dict[int, FeatureTable]) -> FeatureTable:
+    return next(iter(ft.values())) if isinstance(ft, dict) else ft
+
+
+def _score_frame(ft: FeatureTable | dict[int, FeatureTable], rows: list[tuple]) -> DataFrame:
+    return any_table(ft).df.sparkSession.createDataFrame(rows, "model_id string, fold int, metric string, score double, seq int")
 
 
-def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3, parallelism: int | None = None) -> DataFrame:
+def run_battery(ft: FeatureTable | dict[int, FeatureTable], models: list[str] | None = None, cv: int = 3, parallelism: int | None = None) -> DataFrame:
     """K-fold CV of every slot; a failing model is logged and skipped.  Returns the long score table
     ``(model_id, fold, metric, score, seq)``: a row per model, fold and metric.
 
     All (model, fold) fits wait in one queue for ``parallelism`` threads, the costliest slots first; each is scored as
-    soon as it is fitted. Linear slots fit all folds in shared passes.
+    soon as it is fitted. Linear and boosted slots fit all folds in shared passes. ``ft`` may be a table per fold
+    (``fit_scope="fold"``): a fold is then scored by models of its own table.
     """
-    models = models or slots(ft.problem_type)
+    models = models or slots(any_table(ft).problem_type)
     rows = []
-    with ThreadPoolExecutor(len(models)) as pool, ThreadPoolExecutor(fits_at_once(ft, parallelism)) as fits:
+    with ThreadPoolExecutor(len(models)) as pool, ThreadPoolExecutor(fits_at_once(any_table(ft), parallelism)) as fits:
         waiting = {}
         for m in sorted(models, key=lambda m: COSTLIEST.index(m) if m in COSTLIEST else len(COSTLIEST)):
             waiting[m] = _configuration_scores(ft, m, [{}], cv, pool, fits)
@@ -276,7 +306,7 @@ def run_battery(ft: FeatureTable, models: list[str] | None = None, cv: int = 3,
     return _score_frame(ft, rows)
 
 
-def tune_models(ft: FeatureTable, model_ids: list[str], metric: str, cv: int = 3, n_trials: int = 10, seed: int = 42,
+def tune_models(ft: FeatureTable | dict[int, FeatureTable], model_ids: list[str], metric: str, cv: int = 3, n_trials: int = 10, seed: int = 42,
                 parallelism: int | None = None, seq: int = 1) -> tuple[DataFrame, dict[str, dict]]:
     """Seeded random search of several slots; each trial is cross-validated on the same folds, a failing trial scores
     +/-inf. Returns the fold scores (all metrics) of each slot's best trial under ``"<model_id> (Tuned)"`` and its parameters.
@@ -286,7 +316,7 @@ def tune_models(ft: FeatureTable, model_ids: list[str], metric: str, cv: int = 3
     """
     smaller = metric in M.SMALLER_IS_BETTER
     rows, best_params = [], {}
-    with ThreadPoolExecutor(len(model_ids)) as pool, ThreadPoolExecutor(fits_at_once(ft, parallelism)) as fits:
+    with ThreadPoolExecutor(len(model_ids)) as pool, ThreadPoolExecutor(fits_at_once(any_table(ft), parallelism)) as fits:
         trials = {m: sample_params(m, n_trials, seed) for m in model_ids}
         waiting = {m: _configuration_scores(ft, m, trials[m], cv, pool, fits) for m in model_ids}
         for i, m in enumerate(model_ids):
@@ -329,6 +359,7 @@ class FittedModel:
     spark_model: object = None        # fitted Spark ML model (not KNN)
     knn_corpus: DataFrame | None = None  # (row_id, vec, label) for KNN
     boosted: BoostedModel | None = None
+    kernel: FourierMap | None = None  # lifts the features before the Spark ML model
 
 
 def fit_final_model(ft: FeatureTable, model_id: str, params: dict | None = None) -> FittedModel:
@@ -341,6 +372,8 @@ def fit_final_model(ft: FeatureTable, model_id: str, params: dict | None = None)
         fm.knn_corpus = ft.df.select("row_id", vector_to_array("features").alias("vec"), "label")
     elif isinstance(est, Boost):
         fm.boosted = boosting.fit_model(ft.df, len(ft.features), est, n_classes, ft.labels is None, ft.extra)
+    elif isinstance(est, KernelSlot):
+        fm.kernel, fm.spark_model = est.fit(ft.df, len(ft.features))
     else:
         fm.spark_model = est.fit(ft.df)
     return fm

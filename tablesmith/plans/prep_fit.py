@@ -330,6 +330,22 @@ def fit_prep(df: DataFrame, target: str, plan: PrepPlan | None = None, *, infer_
 def _fit(df: DataFrame, target: str, plan: PrepPlan | None, infer_rest: bool, store: bool) -> tuple[PrepSpec, DataFrame, dict[str, str]]:
     """The spec, and the training rows it was learned from: de-duplicated, text parsed, with the columns' kinds. With ``store``
     these rows are in the shared checkpoint folder and can be used on; otherwise they are cached for the fit alone."""
+    spec, plan, base, types, known_small = training_rows(df, target, plan, infer_rest)
+    # every later pass reads the de-duplicated rows with their text already parsed
+    parsed, kind = staged(base, spec, "coerce")
+    parsed = cut_lineage(parsed) if store else persist(parsed)
+    try:
+        _fit_statistics(parsed, kind, spec, plan, types, plan.quantiles, known_small)
+    finally:
+        if not store:
+            parsed.unpersist()
+    return spec, parsed, kind
+
+
+def training_rows(df: DataFrame, target: str, plan: PrepPlan | None, infer_rest: bool = False
+                  ) -> tuple[PrepSpec, PrepPlan, DataFrame, dict[str, T.DataType], set[str]]:
+    """What a fit decides before it learns any statistic: (spec without statistics, resolved plan, training rows after drops and
+    de-duplication, their types, columns known to have few values)."""
     if target not in df.columns:
         raise KeyError(f"no column named '{target}' to use as the target")
     for f in df.schema.fields:
@@ -346,7 +362,6 @@ def _fit(df: DataFrame, target: str, plan: PrepPlan | None, infer_rest: bool, st
     else:
         plan = plan.copy()
     plan.validate(target)
-    method = plan.quantiles
 
     reason = dict.fromkeys(plan.drop_cols, 2) | {c: int(s["n_non_null"] > 0) for c, s in stats.items() if s["single"] or not s["n_non_null"]}
     reason.pop(target, None)
@@ -364,15 +379,7 @@ def _fit(df: DataFrame, target: str, plan: PrepPlan | None, infer_rest: bool, st
                             and c not in spec.datetime_columns]
     spec.bool_columns = [c for c, t in types.items() if isinstance(t, T.BooleanType) and c != target]
 
-    # every later pass reads the de-duplicated rows with their text already parsed
-    parsed, kind = staged(base, spec, "coerce")
-    parsed = cut_lineage(parsed) if store else persist(parsed)
-    try:
-        _fit_statistics(parsed, kind, spec, plan, types, method, set(plan.encode) if inferred else set())
-    finally:
-        if not store:
-            parsed.unpersist()
-    return spec, parsed, kind
+    return spec, plan, base, types, set(plan.encode) if inferred else set()
 
 
 def _fit_statistics(parsed: DataFrame, parsed_kind: dict[str, str], spec: PrepSpec, plan: PrepPlan, types: dict, method: str,
@@ -414,7 +421,10 @@ def _fit_statistics(parsed: DataFrame, parsed_kind: dict[str, str], spec: PrepSp
 
     # medians and the quartiles of the filled values are read off together; what is encoded is clipped only on demand
     plain = [c for c in num if c not in enc and c not in spec.bool_columns] if plan.iqr_k is not None and not plan.clip_encoded else []
-    quartiles = _medians_and_quartiles(sketch, medians, plain, strategies, spec.fills, method) if sketch else {}
+    quartiles: dict[str, list] = {}
+    if sketch:
+        found = _read(sketch, _wanted_ranks(sketch, medians, plain, strategies), method)
+        quartiles = _medians_and_quartiles(sketch, found, medians, plain, strategies, spec.fills)
 
     # encoders
     for c in cat_cols:
@@ -440,10 +450,8 @@ def _fit_statistics(parsed: DataFrame, parsed_kind: dict[str, str], spec: PrepSp
     num_cols = [c for c in work.columns if kind.get(c) == "num"]
     if plan.iqr_k is not None and plan.clip_encoded and num_cols:
         spec.clip_bounds = ops.fit_clip_iqr(work, {c: qcol(c) for c in num_cols}, plan.iqr_k, method)
-    for c in plain:
-        if not _is_two_valued(*_filled_moments(sketch, c, spec.fills.get(c))):
-            q1, q3 = quartiles[c]
-            spec.clip_bounds[c] = [float("nan")] * 2 if q1 is None else [q1 - plan.iqr_k * (q3 - q1), q3 + plan.iqr_k * (q3 - q1)]
+    if plain:
+        spec.clip_bounds.update(_clip_bounds(sketch, quartiles, spec.fills, plan.iqr_k))
 
     # scaling over clipped values
     work, kind = stage("clip")
@@ -461,14 +469,12 @@ def _filled_ranks(sketch: RankSketch, col: str, filled: bool) -> tuple[list[floa
     return [p * (column.n + fills - 1) for p in (0.25, 0.75)] if column.n else [], fills
 
 
-def _medians_and_quartiles(sketch: RankSketch, medians: list[str], clipped: list[str], strategies: dict[str, str],
-                           fills: dict[str, object], method: str) -> dict[str, list]:
-    """One read-off for all medians (put into ``fills``) and for the quartiles of the filled columns that are clipped.
+def _wanted_ranks(sketch: RankSketch, medians: list[str], clipped: list[str], strategies: dict[str, str]) -> dict[str, list[int]]:
+    """Ranks from which the medians, and the quartiles of the filled columns that are clipped, can be told.
 
     The r-th smallest of n values and c copies of a fill f is the r-th value where that is at most f, the (r - c)-th one where
     that is at least f, and f otherwise; so both are read off before f is known.
     """
-    check_method(method)
     wanted: dict[str, set[int]] = {c: set() for c in dict.fromkeys((*medians, *clipped)) if sketch.columns[c].n}
     for c in medians:
         if c in wanted:
@@ -479,11 +485,15 @@ def _medians_and_quartiles(sketch: RankSketch, medians: list[str], clipped: list
         for r in ranks:
             for k in (math.floor(r), math.ceil(r)):
                 wanted[c] |= {x for x in (k, k - extra) if 0 <= x < sketch.columns[c].n}
-    found = ({c: {r: sketch.columns[c].near(r) for r in rs} for c, rs in wanted.items()} if method == "approx"
-             else order_statistics(sketch, {c: sorted(rs) for c, rs in wanted.items() if rs}))
+    return {c: sorted(rs) for c, rs in wanted.items() if rs}
+
+
+def _medians_and_quartiles(sketch: RankSketch, found: dict[str, dict[int, float]], medians: list[str], clipped: list[str],
+                           strategies: dict[str, str], fills: dict[str, object]) -> dict[str, list]:
+    """Put the medians into ``fills`` and return the quartiles of the filled columns, from the values found at the wanted ranks."""
     for c in medians:
         r = 0.5 * (sketch.columns[c].n - 1)
-        fills[c] = between(found[c][math.floor(r)], found[c][math.ceil(r)], r) if c in wanted else None
+        fills[c] = between(found[c][math.floor(r)], found[c][math.ceil(r)], r) if c in found else None
 
     def at(c: str, k: int, extra: int) -> float:
         values, n = found[c], sketch.columns[c].n
@@ -501,6 +511,22 @@ def _medians_and_quartiles(sketch: RankSketch, medians: list[str], clipped: list
     return out
 
 
+def _read(sketch: RankSketch, wanted: dict[str, list[int]], method: str) -> dict[str, dict[int, float]]:
+    check_method(method)
+    if method == "approx":
+        return {c: {r: sketch.columns[c].near(r) for r in rs} for c, rs in wanted.items()}
+    return order_statistics(sketch, wanted)
+
+
+def _clip_bounds(sketch: RankSketch, quartiles: dict[str, list], fills: dict[str, object], k: float) -> dict[str, list]:
+    """IQR bounds of the columns whose filled values take more than two numbers."""
+    out = {}
+    for c, (q1, q3) in quartiles.items():
+        if not _is_two_valued(*_filled_moments(sketch, c, fills.get(c))):
+            out[c] = [float("nan")] * 2 if q1 is None else [q1 - k * (q3 - q1), q3 + k * (q3 - q1)]
+    return out
+
+
 def _filled_moments(sketch: RankSketch, col: str, fill) -> tuple:
     """Count, extremes, sum and sum of squares of a column with its fills."""
     c = sketch.columns[col]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesmith.operators.knn import knn_leave_one_out
-from tablesmith.operators.models import CLASSIFIERS
+from tablesmith.operators.models import CLASSIFIERS, REGRESSORS
 from tablesmith.registry import register, with_fixtures
 from tablesmith.sources.tables import load_table
 
@@ -37,14 +37,14 @@ import os  # noqa: E402
 from tablesmith.functions.exprs import rnd  # noqa: E402
 from tablesmith.operators.metrics import cv_summary  # noqa: E402
 from tablesmith.operators.training import (  # noqa: E402
-    cv_predictions, feature_table, fit_final_model, run_battery, score_predictions, tune_model,
+    cv_predictions, feature_table, fit_final_model, run_battery, score_predictions, tune_models,
 )
 from tablesmith.plans.prep_fit import apply_prep, fit_prep  # noqa: E402
 from tablesmith.plans.run import run  # noqa: E402
 from tablesmith.session import checkpoint_dir  # noqa: E402
 from tablesmith.sources.bundle import load_bundle, predict_from_bundle, save_bundle  # noqa: E402
 from tablesmith.sources.fixtures import DIRTY_TARGET, dirty  # noqa: E402
-from tablesmith.streaming.state import appended_items, fold_state, run_state_stream  # noqa: E402
+from tablesmith.streaming.state import appended_items, fold_state, run_keyed_stream, run_state_stream  # noqa: E402
 
 
 def _prepared(spark, sf_dir, drop_leak: bool = True):
@@ -147,6 +147,55 @@ def q_feature_matrix(spark, sf_dir):
     return ft.df.select(arr[0].alias("f0"), arr[1].alias("f1"), "label")
 
 
+_NULLS = ["annual_income", "tenure_months", "age"]
+
+
+@register("feature_matrix_nulls", with_fixtures("""WITH r AS (SELECT age, annual_income, tenure_months, churn FROM dirty WHERE churn IS NOT NULL),
+m AS (SELECT quantile_cont(annual_income, 0.5) AS a, quantile_cont(tenure_months, 0.5) AS t FROM r)
+SELECT round(coalesce(annual_income, a), 6) AS f0, coalesce(tenure_months, t) AS f1, CAST(age AS DOUBLE) AS f2, CAST(churn AS DOUBLE) AS label FROM r, m""", "dirty"))
+def q_feature_matrix_nulls(spark, sf_dir):
+    """M0 on columns with nulls: they take the column's median."""
+    ft = feature_table(dirty(spark, sf_dir).select(*_NULLS, DIRTY_TARGET), DIRTY_TARGET, "classification", _NULLS, cv=3)
+    from pyspark.ml.functions import vector_to_array
+    x = vector_to_array("features")
+    return _materialised(ft.df.select(rnd(x[0]).alias("f0"), x[1].alias("f1"), x[2].alias("f2"), "label"), ft)
+
+
+@register("boost_first_split", """WITH d AS (SELECT CASE WHEN l_linestatus = 'O' THEN 1.0e0 ELSE 0.0e0 END AS y, CAST(l_quantity AS DOUBLE) AS q,
+  CAST(l_linenumber AS DOUBLE) AS l FROM lineitem),
+p AS (SELECT avg(y) AS p, count(*) AS n, sum(y) AS hits FROM d),
+x AS (SELECT 0 AS f, q AS v, y FROM d UNION ALL SELECT 1, l, y FROM d),
+c AS (SELECT f, v, count(*) AS n, sum(y) AS hits FROM x GROUP BY f, v),
+s AS (SELECT f, v, sum(n) OVER w AS nl, sum(hits) OVER w AS hl FROM c WINDOW w AS (PARTITION BY f ORDER BY v)),
+g AS (SELECT f, v, p, (nl * p - hl) AS gl, (n * p - hits) - (nl * p - hl) AS gr, nl * p * (1 - p) AS wl, (n - nl) * p * (1 - p) AS wr
+  FROM s, p WHERE nl < n),
+b AS (SELECT * FROM g ORDER BY gl * gl / wl + gr * gr / wr DESC, f, v LIMIT 1)
+SELECT CAST(f AS BIGINT) AS feature, v AS threshold, round(-0.1 * gl / wl, 6) AS left_value, round(-0.1 * gr / wr, 6) AS right_value,
+  round(ln(p / (1 - p)), 6) AS start FROM b""")
+def q_boost_first_split(spark, sf_dir):
+    """M4: the first split and leaf values of a boosted tree against the best of all splits."""
+    li = load_table(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber", "l_linestatus")
+    ft = feature_table(li, "l_linestatus", "classification", ["l_quantity", "l_linenumber"], cv=3)
+    model = fit_final_model(ft, "GradientBoosting", {"n_estimators": 1, "max_depth": 1}).boosted
+    tree = model.chains[0][0]
+    ft.release()
+    return spark.createDataFrame([(tree["feature"][0], tree["threshold"][0], *[round(v, 6) for v in tree["value"][1:]], round(model.starts[0], 6))],
+                                 "feature long, threshold double, left_value double, right_value double, start double")
+
+
+@register("kernel_ring", """SELECT true AS kernel_right, true AS linear_is_majority FROM customer HAVING count(*) > 0""")
+def q_kernel_ring(spark, sf_dir):
+    """M6: a label inside a ring, which no line separates: the kernel stage finds it, a linear model does no better than the majority."""
+    c = load_table(spark, sf_dir, "customer")
+    x, y = (F.col("c_acctbal") - 4500) / 3200, (F.col("c_nationkey") - 12) / 7.0
+    ring = c.select(x.alias("x"), y.alias("y"), (x * x + y * y < 1.2).cast("int").alias("inside"))
+    ft = feature_table(ring, "inside", "classification", cv=3)
+    score = {r["model_id"]: r["mean_score"] for r in cv_summary(run_battery(ft, ["SVM", "LogisticRegression"])).where("metric = 'accuracy'").collect()}
+    share = ring.agg(F.avg("inside")).first()[0]
+    ft.release()
+    return spark.createDataFrame([(score["SVM"] > 0.9, score["LogisticRegression"] < max(share, 1 - share) + 0.05)], "kernel_right boolean, linear_is_majority boolean")
+
+
 #: Rows of the prepared ``dirty`` table without its leak: distinct ones with a target, the dropped columns aside.
 _PREPARED_ROWS = """(SELECT count(*) FROM (SELECT DISTINCT age, annual_income, tenure_months, monthly_usage_gb, segment, region,
   credit_score_text, signup_date, churn FROM dirty WHERE churn IS NOT NULL))"""
@@ -191,16 +240,21 @@ def q_leak_beside_onehot(spark, sf_dir):
     return out
 
 
-@register("tune", """SELECT 'LogisticRegression (Tuned)' AS model_id, metric, CAST(3 AS BIGINT) AS n_folds, true AS in_space, true AS as_recomputed
-  FROM (SELECT unnest(['accuracy', 'f1']) AS metric) WHERE (SELECT count(*) FROM orders) > 0""")
+@register("tune", """SELECT model_id, metric, CAST(3 AS BIGINT) AS n_folds, true AS in_space, true AS as_recomputed
+  FROM (SELECT unnest(['LogisticRegression (Tuned)', 'KNN (Tuned)']) AS model_id), (SELECT unnest(['accuracy', 'f1']) AS metric)
+  WHERE (SELECT count(*) FROM orders) > 0""")
 def q_tune(spark, sf_dir):
+    """M11 on two slots: the best trial's parameters lie in the slot's space, and its fold scores are those of fits one by one."""
     prepped, _ = _prepared(spark, sf_dir)
     ft = feature_table(prepped, DIRTY_TARGET, "classification", cv=3)
-    scores, params = tune_model(ft, "LogisticRegression", "f1", cv=3, n_trials=10)
-    again = {r["metric"]: r["mean_score"] for r in cv_summary(score_predictions(cv_predictions(ft, "LogisticRegression", params, 3), ft)).collect()}
-    same = F.abs(F.col("mean_score") - F.element_at(F.create_map(*[F.lit(x) for kv in again.items() for x in kv]), F.col("metric"))) < 1e-9
-    return _materialised(cv_summary(scores).select("model_id", "metric", "n_folds", F.lit(1e-4 <= params["C"] <= 1e2).alias("in_space"),
-                                                   same.alias("as_recomputed")), ft)
+    scores, params = tune_models(ft, ["LogisticRegression", "KNN"], "f1", cv=3, n_trials=10)
+    fine = {"LogisticRegression (Tuned)": 1e-4 <= params["LogisticRegression (Tuned)"]["C"] <= 1e2, "KNN (Tuned)": 3 <= params["KNN (Tuned)"]["n_neighbors"] <= 15}
+    again = {(m, r["metric"]): r["mean_score"] for m in fine for r in cv_summary(score_predictions(
+        cv_predictions(ft, m.replace(" (Tuned)", ""), params[m], 3), ft)).collect()}
+    rows = [(r["model_id"], r["metric"], r["n_folds"], fine[r["model_id"]], abs(r["mean_score"] - again[r["model_id"], r["metric"]]) < 1e-6)
+            for r in cv_summary(scores).collect()]
+    ft.release()
+    return spark.createDataFrame(rows, "model_id string, metric string, n_folds long, in_space boolean, as_recomputed boolean")
 
 
 @register("automl_run", f"""SELECT model_id, metric, CAST(3 AS BIGINT) AS n_folds, 'leaky_churn_copy' AS dropped_for_leakage, 2 AS attempts,
@@ -308,17 +362,33 @@ def q_state_appended(spark, sf_dir):
     return appended_items(load_table(spark, sf_dir, "events"), "user_id", "event_id", "value")
 
 
-@register("battery_summary", """SELECT 'dirty' AS dataset, 'Success' AS status, 'classification' AS problem_type, 'LogisticRegression' AS best_model,
-  true AS all_passed FROM orders HAVING count(*) > 0 UNION ALL
-  SELECT 'lineitem', 'Success', 'regression', 'LinearRegression', true FROM lineitem HAVING count(*) > 0""")
+@register("state_keyed_stream", "SELECT user_id, event_id AS seq, 'value' AS name, CAST(round(value, 6) AS DOUBLE) AS value FROM events WHERE value IS NOT NULL "
+          "UNION ALL SELECT user_id, max(event_id), 'event_type', NULL FROM events GROUP BY user_id")
+def q_state_keyed_stream(spark, sf_dir):
+    """ST1 with keyed state: all events twice, dealt over micro-batches in any order, give every appended value once and the last
+    event type of each user."""
+    ev = load_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    src = _bundle_dir(spark, "shuffled")
+    ev.union(ev).repartition(4, F.xxhash64("event_id", F.rand(3))).write.parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    updates = run_keyed_stream(spark, stream, "user_id", "event_id", ["event_type"], ["value"], _bundle_dir(spark, "keyed"))
+    values = updates.where("name = 'value'").select("user_id", "seq", "name", rnd(F.col("value").cast("double")).alias("value"))
+    last = updates.where("name = 'event_type'").groupBy("user_id").agg(F.max("seq").alias("seq"))
+    return values.unionByName(last.select("user_id", "seq", F.lit("event_type").alias("name"), F.lit(None).cast("double").alias("value")))
+
+
+@register("battery_summary", """SELECT 'customer' AS dataset, 'Success' AS status, 'regression' AS problem_type, true AS chosen_from_all, false AS all_passed
+  FROM customer HAVING count(*) > 0 UNION ALL SELECT 'supplier', 'Success', 'classification', true, false FROM supplier HAVING count(*) > 0
+  UNION ALL SELECT 'region', 'Failed: ValueError', NULL, NULL, false FROM region HAVING count(*) > 0""")
 def q_battery_summary(spark, sf_dir):
-    """PIPE-5 + A20: the end-to-end run over two tables with detected problem types (classification on ``dirty``, regression on
-    ``lineitem``) and one model each, one summary row each, then the all-passed flag over the summaries."""
+    """PIPE-5 + A20: the run with the full battery over three tables side by side, detected problem types, one summary row each; a table
+    without a numeric feature fails and is a row like the others."""
     from tablesmith.plans.run import battery_summary, run_many
-    li = load_table(spark, sf_dir, "lineitem")
-    datasets = {"dirty": (dirty(spark, sf_dir).drop("leaky_churn_copy"), DIRTY_TARGET),
-                "lineitem": (li, "l_extendedprice")}
-    summary = run_many(spark, datasets, tune=False,
-                       models_by_type={"classification": ["LogisticRegression"], "regression": ["LinearRegression"]})
+    c, s, r = (load_table(spark, sf_dir, t) for t in ("customer", "supplier", "region"))
+    datasets = {"customer": (c.select("c_nationkey", "c_mktsegment", "c_acctbal"), "c_acctbal"),
+                "supplier": (s.select("s_acctbal", "s_suppkey", (F.col("s_nationkey") % 2).alias("half")), "half"),
+                "region": (r.select("r_name"), "r_name")}
+    summary = run_many(spark, datasets, tune=False, side_by_side=3)
     flag = battery_summary(summary).collect()[0]
-    return summary.select("dataset", "status", "problem_type", "best_model", F.lit(bool(flag["all_passed"])).alias("all_passed"))
+    known = F.col("best_model").isin(CLASSIFIERS + REGRESSORS)
+    return summary.select("dataset", "status", "problem_type", known.alias("chosen_from_all"), F.lit(bool(flag["all_passed"])).alias("all_passed"))

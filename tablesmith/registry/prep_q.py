@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablesmith.functions.exprs import qcol, rnd, to_num
+from tablesmith.functions.text import feature_badges, redact_paths, score_cell
 from tablesmith.operators import prep as ops
+from tablesmith.operators.association import target_copies, text_associations
 from tablesmith.operators.labels import label_encode
+from tablesmith.operators.rules import default_target
 from tablesmith.operators.sampling import sample_n
+from tablesmith.plans.fold_scope import encode_out_of_fold, fit_prep_by_fold
 from tablesmith.plans.prep_fit import apply_prep, fit_prep, infer_plan, plan_table, prep_dataframe, spec_table
+from tablesmith.plans.spec import PrepPlan
 from tablesmith.registry import duck_num, duck_ts, register, union_all, with_fixtures
+from tablesmith.session import scratch_path
+from tablesmith.sources.catalog import merge_versioned, read_version
 from tablesmith.sources.fixtures import DIRTY_COLUMNS, DIRTY_TARGET, dirty
-from tablesmith.plans.spec import PrepPlan
 from tablesmith.sources.tables import load_table
 
 Q = '"'
@@ -496,3 +504,104 @@ def q_prep_dataframe(spark, sf_dir):
     out, _spec = prep_dataframe(dirty(spark, sf_dir), DIRTY_TARGET)
     return _rounded(out)
 
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Preparation inside cross-validation (K15), copies of the target, keyed merge
+# ---------------------------------------------------------------------------------------------------------------
+
+@register("target_mean_out_of_fold", """
+WITH d AS (SELECT l_orderkey, l_linenumber, l_orderkey % 3 AS fold, l_linestatus, l_returnflag, l_quantity FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+  round((sum(l_quantity) OVER m - sum(l_quantity) OVER mf) / (count(*) OVER m - count(*) OVER mf), 6) AS l_linestatus,
+  round((sum(l_quantity) OVER r - sum(l_quantity) OVER rf) / (count(*) OVER r - count(*) OVER rf), 6) AS l_returnflag
+FROM d WINDOW m AS (PARTITION BY l_linestatus), mf AS (PARTITION BY l_linestatus, fold), r AS (PARTITION BY l_returnflag), rf AS (PARTITION BY l_returnflag, fold)""")
+def q_target_mean_out_of_fold(spark, sf_dir):
+    """K15 with E3: each row's category as the mean target of the rows of the other folds."""
+    li = load_table(spark, sf_dir, "lineitem").withColumn("fold", (F.col("l_orderkey") % 3).cast("int"))
+    out = encode_out_of_fold(li, ["l_linestatus", "l_returnflag"], "l_quantity", "fold")
+    return out.select("l_orderkey", "l_linenumber", rnd(F.col("l_linestatus")).alias("l_linestatus"), rnd(F.col("l_returnflag")).alias("l_returnflag"))
+
+
+def _fold_stats_sql() -> str:
+    """The statistics of a preparation, once for each fold (``age % 3``) without the fold's rows."""
+    parts = []
+    for f in range(3):
+        ctes = _duck_prep_ctes().replace(" FROM f),\nc AS", f" FROM f WHERE age % 3 <> {f}),\nc AS")
+        parts.append(f"SELECT {f} AS fold, * FROM ({ctes}{_PREP_STATS[len(_duck_prep_ctes()):]})")
+    return union_all(parts)
+
+
+@register("prep_by_fold", with_fixtures("WITH every AS (" + _fold_stats_sql() + ") SELECT * FROM every", "dirty"))
+def q_prep_by_fold(spark, sf_dir):
+    """The statistics of each fold's preparation, all from the same passes."""
+    specs, _, _ = fit_prep_by_fold(dirty(spark, sf_dir), DIRTY_TARGET, F.col("age") % 3)
+    out = None
+    for f, spec in specs.items():
+        part = spec_table(spec, spark).select(F.lit(f).alias("fold"), "column_name", "stat", rnd(F.col("value")).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_ASSOCIATED = ["segment", "region", "signup_date", "customer_id", "verdict"]
+_ASSOCIATION_SQL = """WITH d AS (SELECT *, CASE WHEN churn = 1 THEN 'gone' WHEN churn = 0 THEN 'stays' END AS verdict FROM dirty WHERE churn IS NOT NULL),
+x AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS k, {c} AS v, churn AS y FROM d WHERE {c} IS NOT NULL" for c in _ASSOCIATED) + """),
+c AS (SELECT k, v, y, count(*) AS n FROM x GROUP BY k, v, y),
+r AS (SELECT k, v, sum(n) AS nv, count(*) AS classes FROM c GROUP BY k, v),
+m AS (SELECT k, y, sum(n) AS ny FROM c GROUP BY k, y),
+p AS (SELECT k, sum(CAST(n AS DOUBLE) * n / (nv * ny)) AS phi FROM c JOIN r USING (k, v) JOIN m USING (k, y) GROUP BY k)
+SELECT k AS column_name, CAST(sum(nv) AS BIGINT) AS n_rows, count(*) AS n_values, round(sum(CASE WHEN nv > 1 THEN nv ELSE 0 END) / sum(nv), 6) AS repeat_share,
+  bool_and(nv = 1 OR classes = 1) AS determined, round(sqrt(greatest(any_value(phi) - 1, 0) / (least(count(*), 2) - 1)), 6) AS cramers_v
+FROM r JOIN p USING (k) GROUP BY k"""
+
+
+def _with_verdict(spark, sf_dir):
+    return dirty(spark, sf_dir).withColumn("verdict", F.when(F.col("churn") == 1, "gone").when(F.col("churn") == 0, "stays"))
+
+
+@register("text_association", with_fixtures(_ASSOCIATION_SQL, "dirty"))
+def q_text_association(spark, sf_dir):
+    """R1/L1 for text: does a column determine the target, and how strong is the association?"""
+    t = text_associations(_with_verdict(spark, sf_dir), DIRTY_TARGET, _ASSOCIATED)
+    return t.select("column_name", "n_rows", "n_values", rnd(F.col("repeat_share")).alias("repeat_share"), "determined", rnd(F.col("cramers_v")).alias("cramers_v"))
+
+
+@register("target_copies", with_fixtures("SELECT 'verdict' AS column_name, count(*) AS n_rows FROM dirty", "dirty"))
+def q_target_copies(spark, sf_dir):
+    """Columns that say the target in other words; a unique id does not count."""
+    d = _with_verdict(spark, sf_dir)
+    found = target_copies(text_associations(d, DIRTY_TARGET))
+    return d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(",".join(found)).alias("column_name"), "n_rows")
+
+
+@register("merge_versioned", """WITH base AS (SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 10),
+batch AS (SELECT c_custkey, c_name || ' again' AS c_name FROM customer)
+SELECT c_custkey, c_name, CAST(2 AS BIGINT) AS version FROM base UNION ALL
+SELECT b.c_custkey, b.c_name, 2 FROM batch b ANTI JOIN base USING (c_custkey)""")
+def q_merge_versioned(spark, sf_dir):
+    """D3: customers of some nations are stored, then all customers are merged by key, and once more, which adds nothing."""
+    c = load_table(spark, sf_dir, "customer")
+    path = scratch_path(spark, f"versions-{uuid.uuid4().hex}")
+    merge_versioned(spark, path, c.where("c_nationkey < 10").select("c_custkey", "c_name"), "c_custkey")
+    batch = c.select("c_custkey", F.concat("c_name", F.lit(" again")).alias("c_name"))
+    merge_versioned(spark, path, batch, "c_custkey")
+    version = merge_versioned(spark, path, batch.union(batch), "c_custkey")
+    return read_version(spark, path).withColumn("version", F.lit(version).cast("long"))
+
+
+@register("text_shaping", """SELECT event_id, printf('%.4f ± %.4f', coalesce(value, 0), CAST(event_id % 7 AS DOUBLE)) AS cell,
+  'read ' || event_type || '.csv ok' AS message, event_type AS badge FROM events""")
+def q_text_shaping(spark, sf_dir):
+    """Score cells, messages without folders, badges."""
+    e = load_table(spark, sf_dir, "events")
+    message = F.concat(F.lit("read /tmp/some/folder/"), "event_type", F.lit(".csv ok"))
+    badges = feature_badges(F.concat(F.lit("a, "), "event_type", F.lit(" ,b")))
+    return e.select("event_id", score_cell(F.coalesce("value", F.lit(0.0)), (F.col("event_id") % 7).cast("double")).alias("cell"),
+                    redact_paths(message).alias("message"), badges[1].alias("badge"))
+
+
+@register("default_target", "SELECT 'c_mktsegment' AS target, count(*) AS n_rows FROM customer")
+def q_default_target(spark, sf_dir):
+    """R8 on a table without a ``churn`` column: its last column."""
+    c = load_table(spark, sf_dir, "customer")
+    return c.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(default_target(c)).alias("target"), "n_rows")
