@@ -50,7 +50,7 @@ def format_turns(turns: DataFrame, parts: str = "parts", conv: str = "conv_id",
     """Format every turn: ``<|turn|>role<|says|>content<|end|>``; a conversation is its rows' ``formatted`` in turn order.
 
     A visitor maps the typed parts in order: text is escaped, and an image, audio or document becomes a placeholder. An
-    unknown kind is treated as text. Returns ``conv``, ``turn``, ``ord`` (tie breaker of equal turns), ``formatted``,
+    unknown kind is treated as text. Returns ``conv``, ``turn``, ``formatted``,
     ``attachments`` (array of ordinal, kind, uri, expanded token count, position of the placeholder in the row) and
     ``loss`` (spans [start, end) in code points of the row's text pieces that are learned, those of role ``learn``).
 
