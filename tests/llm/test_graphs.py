@@ -206,12 +206,48 @@ def test_importance_is_entropy(spark):
     assert got == [0.0, 0.0, w, w]
 
 
+def kept_blocks(source):
+    """What the prior odds alone leave of a page."""
+    page = html_style_tree.Page(source)
+    return [b.text for b in page.blocks if not b.noise and (b.core is not None or not page.article)]
+
+
+def test_noise_inside_lines_ids_and_teasers():
+    assert kept_blocks("<article><p>x<button>Share</button>y <span class=ad>BUY NOW</span>z<noscript>off</noscript></p></article>") == ["xy z"]
+    assert kept_blocks("<p>a <select><option>one<option>two</select>b<svg><text>t</text></svg></p><p>c</p>") == ["a b", "c"]
+    assert kept_blocks("<article><h2 id=social-impact>Impact</h2><section id=related-work><p>Work</p></section></article>") == ["Impact", "Work"]
+    assert kept_blocks("<article><p>t</p></article><div class=responses><p>no</p></div>") == ["t"]
+    assert kept_blocks("<article><p>t</p><ul class='post replies'><li>no</ul><div id=comments>no</div></article>") == ["t"]
+    assert kept_blocks("<article><header><h1>Title</h1><p>by me</p></header><p>text</p><footer>f</footer></article>") == ["Title", "text"]
+    long = "words of the text " * 20
+    assert kept_blocks(f"<main>Sign in</main><div class=content><p>{long}</p></div>") == ["Sign in", long.strip()]
+    assert kept_blocks(f"<div><p>{long}</p></div><div><article><p>A teaser</p></article></div>") == [long.strip(), "A teaser"]
+
+
+@pytest.mark.parametrize("articles", [0, 1, 2])
+def test_importance_decides_branches(spark, monkeypatch, articles):
+    """A branch that all pages of a host share goes, in and outside articles; without the importance it stays."""
+    own = lambda i, j: " ".join(f"own{i}x{j}x{k}" for k in range(30))
+    inner = lambda i, j: f"<h2>Part {i}</h2><p>{own(i, j)}</p><blockquote>Follow our work every day of the week</blockquote><div class=note2>Terms apply</div>"
+    wrap = {0: "<div class=page>{}</div>", 1: "<article>{}</article>", 2: "<article>{}</article>"}[articles]
+    rows = [(i, "http://h/", "<nav>Menu</nav>" + "".join(wrap.format(inner(i, j)) for j in range(max(1, articles)))) for i in range(14)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clean = {i: "\n\n".join(f"Part {i}\n\n{own(i, j)}" for j in range(max(1, articles))) for i in range(14)}
+    assert {r.page_id: r.text for r in html_style_tree.extract_main_text(df).collect()} == clean
+    monkeypatch.setattr(html_style_tree, "LEAST_PAGES", 1000)
+    whole = {r.page_id: r.text for r in html_style_tree.extract_main_text(df).collect()}
+    assert all("Follow our work" in t and "Terms apply" in t for t in whole.values())
+
+
+def test_hosts_of_near_copies_keep_their_articles(spark):
+    rows = [(i, "http://h/", f"<article><h1>News {i}</h1>" + "".join(f"<p>the same paragraph {k} of a long report</p>" for k in range(20)) + "</article>") for i in range(40)]
+    got = html_style_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.count("\n\n") == 20 for r in got)
+
+
 def test_articles_in_comments_and_asides():
     """Article elements of comments and asides are not the article, and do not push out the page's text."""
-    def kept(source):
-        page = html_style_tree.Page(source)
-        return [text for noise, inside, _, text in page.blocks if not noise and (inside or not page.article)]
-
+    kept = kept_blocks
     assert kept("<div class=post><p>text</p></div><aside><article>tease</article></aside>") == ["text"]
     assert kept("<div class=post><p>text</p></div><section id=comments><article><p>nice</p></article></section>") == ["text"]
     assert kept("<article><p>text</p><div class=comments><article class=comment><p>nice</p></article></div></article>") == ["text"]

@@ -165,6 +165,37 @@ def test_odd_documents_get_scores(spark, make_docs, sf_docs):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_scores(rows, labels):
+    """The classifier in plain numpy: the same statistics, least squares over all rows at once, pooling of violators by hand."""
+    Q = quality_classifier
+    x, fold = np.array([r.x for r in rows]), np.array([zlib.crc32(str(r.doc).encode()) % Q.FOLDS for r in rows])
+    y = np.array([labels.get(r.doc, np.nan) for r in rows], float)
+    z = Q.Fourier(x.mean(axis=0), x.std(axis=0))(x)
+    fit = ~np.isnan(y) & (fold != 0) & (fold != Q.CALIBRATE)
+    root = np.sqrt(Q.PENALTY * fit.sum()) * np.eye(z.shape[1])
+    weights = np.linalg.lstsq(np.vstack([z[fit], root]), np.concatenate([y[fit], np.zeros(z.shape[1])]), rcond=None)[0]
+    raw = np.clip(z @ weights, -1, 2)
+    cells = defaultdict(list)
+    for i in np.flatnonzero(~np.isnan(y) & (fold == Q.CALIBRATE)):
+        cells[math.floor(raw[i] * (Q.CELLS / 3))].append(y[i])
+    parts = [[(c + 0.5) * 3 / Q.CELLS * len(v), len(v), sum(v)] for c, v in sorted(cells.items())]
+    while True:  # merge the first pair of neighbours that does not rise until there is none
+        at = next((i for i in range(len(parts) - 1) if parts[i][2] * parts[i + 1][1] >= parts[i + 1][2] * parts[i][1]), None)
+        if at is None:
+            break
+        parts[at:at + 2] = [[a + b for a, b in zip(parts[at], parts[at + 1])]]
+    knots = [p[0] / p[1] for p in parts], [p[2] / p[1] for p in parts]
+    return np.clip(np.interp(raw, *knots) * 0.999 + (raw + 1) / 3 * 0.001, 0, 1)
+
+
+def test_scores_equal_plain_least_squares(spark, sf_docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality_classifier.text_statistics(sf_docs, "text", "doc_id").collect()
+    want = dict(zip([r.doc for r in rows], plain_scores(rows, {r.doc_id: r.quality for r in labels.collect()})))
+    got = {r.doc_id: r.score for r in quality_classifier.score_documents(sf_docs, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-6
+
+
 def test_isotonic_pools_violators():
     centre, value = quality_classifier.isotonic(np.array([1.0, 2.0, 3.0, 4.0]), np.array([2.0, 2.0, 2.0, 4.0]), np.array([0.0, 2.0, 1.0, 4.0]))
     assert value.tolist() == [0.0, 0.75, 1.0] and centre.tolist() == [1.0, 2.5, 4.0]
@@ -265,6 +296,24 @@ def test_shards_have_the_mixture(spark, make_docs):
     assert got[key].sort_values(["shard", "slot"]).reset_index(drop=True).equals(again[key].sort_values(["shard", "slot"]).reset_index(drop=True))
 
 
+def test_shards_equal_plain_rank_and_cut(spark, make_docs):
+    """The law in plain Python: seeded hash order within a source, fractional ranks, one cut for all shards."""
+    rng = random.Random(6)
+    docs = make_docs([(i, f"t{i}", "en", rng.choice(["hot"] * 5 + ["a", "b", None])) for i in range(700)])
+    rows = [(r.source, r.h, r.doc_id) for r in docs.select("source", "doc_id", F.xxhash64(F.lit(7), F.col("doc_id")).alias("h")).collect()]
+    first = lambda s: (s is not None, s or "")  # noqa: E731  null sorts first
+    ranked = []
+    for source in {s for s, *_ in rows}:
+        mine = sorted((h, i) for s, h, i in rows if s == source)
+        ranked += [((2 * r + 1) / (2 * len(mine)), first(source), h, i) for r, (h, i) in enumerate(mine)]
+    want, n = {}, len(rows)
+    for pos, (*_, i) in enumerate(sorted(ranked)):
+        shard = pos * 16 // n
+        want[i] = (shard, pos - -(-shard * n // 16))
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.interleave_shards(docs, "source", "doc_id", 16).collect()}
+    assert got == want
+
+
 def test_fewer_rows_than_shards(spark, make_docs):
     got = sharding.interleave_shards(make_docs(rows_of(["a", "b", None])), "source", "doc_id").collect()
     assert len(got) == 3 and {r.slot for r in got} == {0}
