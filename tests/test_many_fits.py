@@ -80,13 +80,13 @@ def test_first_split_is_the_best_one(spark, points):
 def test_passes_equal_tasks(spark, points, monkeypatch, numbers):
     x, score = points
     df = frame(spark, x, score if numbers else (score > 0).astype(float), parts=3)
-    fits = [B.BoostFit(B.Boost(r, 0.3, d, ridge), f, None if numbers else 1) for r, d, ridge in ((3, 2, 0.0), (11, 3, 1.0)) for f in (0, 1, None)]
+    fits = [B.BoostFit(B.Boost(r, 0.3, d, ridge), f, None if numbers else 1) for r, d, ridge in ((1, 1, 0.0), (3, 2, 1.0)) for f in (0, 1, None)]
     names = [f"{f.config.rounds}" for f in fits]
     one = B.boost(B.blocks_of(df, 3, numbers), fits)
     monkeypatch.setattr(B, "SINGLE_BYTES", 0)
     monkeypatch.setattr(B, "BLOCK_ROWS", 100)
     monkeypatch.setattr(B, "HISTOGRAM_BYTES", 3 * B.BINS * 16 * 4)
-    monkeypatch.setattr(B, "REFRESH", 4)
+    monkeypatch.setattr(B, "REFRESH", 2)
     blocks = B.blocks_of(df, 3, numbers)
     assert blocks.single is None and blocks.df.count() >= 9
     many = B.boost(blocks, fits)
@@ -97,7 +97,7 @@ def test_passes_equal_tasks(spark, points, monkeypatch, numbers):
     guesses = lambda done: sorted((r.model_id, r.fold, r.label, round(r.prediction, 6), r.n) for r in B.out_of_fold(done, names).collect())
     total = lambda rows: {(m, f): sum(r[4] for r in rows if r[:2] == (m, f)) for m, f in {r[:2] for r in rows}}
     a, b = guesses(one), guesses(many)
-    assert total(a) == {(m, f): 300 for m in ("3", "11") for f in (0, 1)} == total(b)
+    assert total(a) == {(m, f): 300 for m in ("1", "3") for f in (0, 1)} == total(b)
     if numbers:
         assert a == b
     else:
@@ -126,14 +126,14 @@ def test_odd_tables_are_boosted(spark):
 
 def test_battery_and_tuning_agree_with_single_fits(spark, points):
     x, score = points
-    raw = spark.createDataFrame([(*map(float, r), int(s > 0)) for r, s in zip(x[:300], score[:300])], ["a", "b", "c", "y"])
+    raw = spark.createDataFrame([(*map(float, r), int(s > 0)) for r, s in zip(x[:200], score[:200])], ["a", "b", "c", "y"])
     ft = feature_table(raw, "y", "classification")
     scores = {(r.model_id, r.fold, r.metric): r.score for r in run_battery(ft).collect()}
     assert len(scores) == 6 * 3 * 2
     for m in ("LogisticRegression", "KNN"):  # a boosted slot bins all rows once, a single fit its own rows
         for r in score_predictions(cv_predictions(ft, m, None, 3), ft).collect():
             assert scores[m, r.fold, r.metric] == pytest.approx(r.score, abs=1e-6)
-    tuned, params = tune_models(ft, ["KNN", "LogisticRegression", "GradientBoostingDeep"], "f1", n_trials=4, seq=7)
+    tuned, params = tune_models(ft, ["KNN", "LogisticRegression", "GradientBoostingDeep"], "f1", n_trials=2, seq=7)
     assert {r.seq for r in tuned.select("seq").distinct().collect()} == {7, 8, 9} and tuned.count() == 18
     for m in ("KNN", "LogisticRegression"):
         for r in score_predictions(cv_predictions(ft, m, params[f"{m} (Tuned)"], 3), ft).collect():

@@ -11,7 +11,7 @@ import __spark_entry__ as E  # noqa: E402
 from tablesmith.sources.tables import TABLES
 
 # minutes of training each, also on the smallest tables: tools/oracle_check.py runs them
-SLOW = {"automl_run", "battery", "battery_summary", "model_rf", "model_gbt", "model_gbt_deep", "score_stream", "tune", "leak_beside_onehot"}
+SLOW = {"automl_run", "battery", "battery_summary", "model_rf", "score_stream", "tune"}
 
 
 def _norm(v):
