@@ -13,27 +13,21 @@ from pyspark.sql import Window as W
 
 from tablesmith.llm.common import cut, steps, word_codes
 
-#: Ratios the rules look at, with the spread (in the ratio's own unit) that a group whose interquartile range is smaller
-#: has at most. ``SPREADS`` of it stay below the base test's limit, so that every rule can fire.
+#: Ratios the rules look at: what one event of a text is measured against (its words or its lines), and how many events of a
+#: text of the group's median size lie at least and at most between the upper quartile and the limit. So a group of long
+#: texts gets tighter limits than one of short texts, and no limit is a number of the ratio's own unit.
 RULES = {
-    "symbols_per_word": 0.1,
-    "chars_per_word": 0.5,
-    "dup_line_share": 0.08,
-    "repeat_word_share": 0.04,
+    "symbols_per_word": ("words", 1, 3),
+    "chars_per_word": ("words", 25, 25),
+    "dup_line_share": ("lines", 1, 2),
+    "repeat_word_share": ("words", 5, 30),
 }
-#: The spread that every group has at least: where clean texts all score the same (often exactly 0), a slight deviation passes.
-LEAST = {
-    "symbols_per_word": 0.01,
-    "chars_per_word": 0.1,
-    "dup_line_share": 0.03,
-    "repeat_word_share": 0.01,
-}
-#: Between the limits of the two spreads a group's own tail decides: this quantile of its sketch and a relative margin.
-TAIL, MARGIN = 0.99, 0.05
+#: Between the two limits a group's own tail decides: this quantile of its sketch and a relative margin.
+TAIL, MARGIN = 0.98, 1.0
 #: Rules with a lower limit as well (low shares are never a fault).
 BOTH_SIDES = ("chars_per_word",)
-#: A threshold lies this many spreads (interquartile ranges, at least the smallest spread) above the upper quartile.
-SPREADS = 3.0
+#: A limit lies at least this many interquartile ranges above the upper quartile.
+SPREADS = 4.0
 #: Relative error of a sketch's quantiles: bin i holds values in (g^(i-1), g^i] with g = (1 + e) / (1 - e).
 SKETCH_ERROR = 0.01
 #: Groups with fewer texts take the thresholds of their language, then of the whole corpus.
@@ -117,17 +111,22 @@ def ratios() -> dict:
             "dup_line_share": F.col("n_dup_lines") / lines, "repeat_word_share": F.col("n_repeat_words") / words}
 
 
+def unit_sizes() -> dict:
+    """What one event adds to a text's ratio, by the kind of its denominator."""
+    return {"words": F.lit(1.0) / F.greatest(F.col("n_words"), F.lit(1)), "lines": F.lit(1.0) / F.greatest(F.col("n_lines"), F.lit(1))}
+
+
 def sketches(figures: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """Log-bin quantile sketches of every rule's ratio: rows (groups, rule, bin, n).
+    """Log-bin quantile sketches of every rule's ratio and of both unit sizes: rows (groups, rule, bin, n).
 
     Sketches merge by adding the counts of equal bins, so partial sums per task are combined in a plain ``groupBy``
     and a group of any size costs one row per bin.
     """
     g = np.log((1 + SKETCH_ERROR) / (1 - SKETCH_ERROR))
-    bins = [F.when(v > 0, F.ceil(F.log(v) / F.lit(float(g)))).otherwise(F.lit(-(1 << 30))).cast("int")
-            for v in ratios().values()]
+    bins = {r: F.when(v > 0, F.ceil(F.log(v) / F.lit(float(g)))).otherwise(F.lit(-(1 << 30))).cast("int")
+            for r, v in (ratios() | unit_sizes()).items()}
     rows = figures.select(*groups, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), b.alias("bin"))
-                                                       for r, b in zip(RULES, bins)])).alias("x"))
+                                                       for r, b in bins.items()])).alias("x"))
     return rows.groupBy(*groups, "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -136,27 +135,60 @@ LIMITS = tuple(f"most_{r}" for r in RULES) + tuple(f"least_{r}" for r in BOTH_SI
 
 
 def sketch_thresholds(sketch: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """Limits per group and rule, and the group's number of texts.
+    """Limits per group and rule, the group's number of texts, and per rule what set its upper limit (``by_<rule>``).
 
-    The upper limit is the group's ``TAIL`` quantile plus ``MARGIN``, but at least ``SPREADS`` spreads of ``LEAST`` and at
-    most ``SPREADS`` spreads of ``RULES`` above the upper quartile; a larger interquartile range is the spread in both.
-    The lower limit is as many spreads below the lower quartile.
+    All comes from the group's sketches. The upper limit is its ``TAIL`` quantile plus ``MARGIN`` (``tail``), held between
+    two distances above the upper quartile: ``SPREADS`` interquartile ranges (``range``) or, where these are smaller, the rule's
+    least and most events of a text of median size (``events``). The lower limit is the larger distance below the lower quartile.
     """
     g = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
     key = [*groups, "rule"]
     upto = W.partitionBy(*key).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     ranked = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy(*key)))
     value = F.when(F.col("bin") == -(1 << 30), F.lit(0.0)).otherwise(F.pow(F.lit(g), F.col("bin")) * 2 / (1 + g))
-    spread, least = (F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("rule")) for d in (RULES, LEAST))
-    quantile = [F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), value)) for q in (0.25, 0.75, TAIL)]
-    iqr = F.col("q3") - F.col("q1")
-    top = F.col("q3") + SPREADS * F.greatest(iqr, spread)
-    tail = F.greatest(F.col("q3") + SPREADS * F.greatest(iqr, least), F.col("tail") * (1 + MARGIN))
-    of = lambda r, c: F.max(F.when(F.col("rule") == r, F.col(c)))
-    return (ranked.groupBy(*key).agg(*[x.alias(c) for x, c in zip(quantile, ("q1", "q3", "tail"))], F.max("all").alias("texts"))
-            .withColumn("most", F.least(top, tail)).withColumn("least", F.col("q1") - SPREADS * F.greatest(iqr, spread))
-            .groupBy(*groups).agg(F.max("texts").alias("texts"), *[of(r, "most").alias(f"most_{r}") for r in RULES],
-                                  *[of(r, "least").alias(f"least_{r}") for r in BOTH_SIDES]))
+    quantile = {q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), value)) for q, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75), ("tail", TAIL))}
+    rows = ranked.groupBy(*key).agg(*[x.alias(c) for c, x in quantile.items()], F.max("all").alias("texts"))
+    of = lambda r: F.max(F.when(F.col("rule") == r, F.struct(*quantile)))
+    wide = rows.groupBy(*groups).agg(F.max("texts").alias("texts"), *[of(r).alias(r) for r in (*RULES, *unit_sizes())])
+    out = []
+    for r, (unit, few, many) in RULES.items():
+        span, one = SPREADS * (F.col(f"{r}.q3") - F.col(f"{r}.q1")), F.col(f"{unit}.q2")
+        low, high = (F.col(f"{r}.q3") + F.greatest(span, one * events) for events in (few, many))
+        tail = F.col(f"{r}.tail") * (1 + MARGIN)
+        out += [F.least(high, F.greatest(low, tail)).alias(f"most_{r}"),
+                F.when((low < tail) & (tail < high), "tail").when(span >= one * F.when(tail >= high, many).otherwise(few), "range")
+                .otherwise("events").alias(f"by_{r}")]
+        if r in BOTH_SIDES:
+            out.append((F.col(f"{r}.q1") - F.greatest(span, one * many)).alias(f"least_{r}"))
+    return wide.select(*groups, "texts", *out)
+
+
+def learned_limits(figures: DataFrame, groups: tuple[str, str]) -> DataFrame:
+    """Limits of every (language, source) among ``figures`` that pass the base test, with the texts and origins of its own sketch.
+
+    Groups under ``MIN_GROUP`` texts take the limits of their language's merged sketch, those of a small language the corpus's.
+    """
+    kl, ks = groups
+    fine = cut(sketches(figures.filter(~F.col("base_failed")), groups), "rule-sketch")
+    by_lang = fine.groupBy(kl, "rule", "bin").agg(F.sum("n").alias("n"))
+    by_all = by_lang.groupBy("rule", "bin").agg(F.sum("n").alias("n"))
+    own = sketch_thresholds(fine, groups)
+    wide = sketch_thresholds(by_lang, (kl,)).select(F.col(kl).alias("__l"), F.col("texts").alias("__tl"),
+                                                    *[F.col(c).alias(f"__l_{c}") for c in LIMITS])
+    whole = sketch_thresholds(by_all.withColumn("g", F.lit(0)), ("g",)).select(
+        *[F.col(c).alias(f"__a_{c}") for c in LIMITS]).first()
+    limits = own.join(wide, F.col(kl).eqNullSafe(F.col("__l")))
+    for c in LIMITS:
+        limits = limits.withColumn(c, F.when(F.col("texts") >= MIN_GROUP, F.col(c))
+                                   .when(F.col("__tl") >= MIN_GROUP, F.col(f"__l_{c}"))
+                                   .otherwise(F.lit(whole[f"__a_{c}"] if whole else None)))
+    return cut(limits.select(F.col(kl).alias("__lang"), F.col(ks).alias("__source"), "texts", *LIMITS, *[f"by_{r}" for r in RULES]), "rule-limits")
+
+
+def judged_figures(docs: DataFrame, text: str, lang: str, source: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The base figures of every document with ``base_failed``, written once; language and source are the last two keys."""
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return cut(text_figures(docs, text, (*keep, lang, source)).withColumn("base_failed", failed), "rule-figures")
 
 
 def adaptive_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -170,26 +202,10 @@ def adaptive_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     Nulls: a null text has no words (it fails the base test); null language or source is a group of its own. Extra
     columns are ignored. Equal rows get equal verdicts. An empty table gives an empty result.
     """
-    figures = text_figures(docs, text, (*keep, lang, source))
+    figures = judged_figures(docs, text, lang, source, keep)
     ids = [f"k{i}" for i in range(len(keep))]
     kl, ks = f"k{len(keep)}", f"k{len(keep) + 1}"
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    figures = cut(figures.withColumn("base_failed", failed), "rule-figures")
-    fine = cut(sketches(figures.filter(~F.col("base_failed")), (kl, ks)), "rule-sketch")
-    by_lang = fine.groupBy(kl, "rule", "bin").agg(F.sum("n").alias("n"))
-    by_all = by_lang.groupBy("rule", "bin").agg(F.sum("n").alias("n"))
-    own = sketch_thresholds(fine, (kl, ks))
-    wide = sketch_thresholds(by_lang, (kl,)).select(F.col(kl).alias("__l"), F.col("texts").alias("__tl"),
-                                                    *[F.col(c).alias(f"__l_{c}") for c in LIMITS])
-    whole = sketch_thresholds(by_all.withColumn("g", F.lit(0)), ("g",)).select(
-        *[F.col(c).alias(f"__a_{c}") for c in LIMITS]).first()
-    limits = own.join(wide, F.col(kl).eqNullSafe(F.col("__l")))
-    for c in LIMITS:
-        limits = limits.withColumn(c, F.when(F.col("texts") >= MIN_GROUP, F.col(c))
-                                   .when(F.col("__tl") >= MIN_GROUP, F.col(f"__l_{c}"))
-                                   .otherwise(F.lit(whole[f"__a_{c}"] if whole else None)))
-    limits = cut(limits.select(F.col(kl).alias("__lang"), F.col(ks).alias("__source"),
-                               *LIMITS), "rule-limits")
+    limits = learned_limits(figures, (kl, ks)).select("__lang", "__source", *LIMITS)
     joined = figures.join(limits, F.col(kl).eqNullSafe(F.col("__lang")) & F.col(ks).eqNullSafe(F.col("__source")), "left")
     fails = {r: F.coalesce(value > F.col(f"most_{r}"), F.lit(False)) for r, value in ratios().items()}
     for r in BOTH_SIDES:
@@ -208,3 +224,10 @@ def rejections(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     rules = docs.sparkSession.createDataFrame([(r,) for r in RULES], "rule string")
     counts = judged.select(F.explode("failed_rules").alias("r")).groupBy("r").count()
     return rules.join(counts, F.col("rule") == F.col("r"), "left").select("rule", F.coalesce("count", F.lit(0)).alias("documents"))
+
+
+def limit_origins(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """What set the upper limits of the groups with ``MIN_GROUP`` texts or more: (rule, origin, groups), see :func:`sketch_thresholds`."""
+    limits = learned_limits(judged_figures(docs, text, lang, source), ("k0", "k1")).filter(F.col("texts") >= MIN_GROUP)
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"by_{r}").alias("origin")) for r in RULES]))
+    return limits.select(each.alias("x")).groupBy("x.rule", "x.origin").agg(F.count(F.lit(1)).alias("groups"))

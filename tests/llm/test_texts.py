@@ -43,30 +43,35 @@ def test_base_figures_match_plain_counts(spark, make_docs, sf_docs):
 def plain_verdicts(rows):
     """The adaptive rules in plain Python: log-bin sketches per group, merged for small groups."""
     g = (1 + quality_rules.SKETCH_ERROR) / (1 - quality_rules.SKETCH_ERROR)
-    ratio, failed = {}, {}
+    ratio, failed, units = {}, {}, {}
     for i, text, lang, source in rows:
         w, c, s, d, n, r = plain_base(text)
         failed[i] = w < 10 or 100 * r > 20 * w
+        units[i] = dict(words=1 / max(w, 1), lines=1 / max(n, 1))
         ratio[i] = dict(symbols_per_word=s / max(w, 1), chars_per_word=c / max(w, 1), dup_line_share=d / max(n, 1), repeat_word_share=r / max(w, 1))
     groups = defaultdict(lambda: defaultdict(Counter))
     for i, _, lang, source in rows:
         if not failed[i]:
-            for rule, v in ratio[i].items():
+            for rule, v in (ratio[i] | units[i]).items():
                 b = math.ceil(math.log(v) / math.log(g)) if v > 0 else None
                 for key in ((lang, source), (lang,), ()):
                     groups[key][rule][b] += 1
 
-    def limits(key, rule):
+    def quantiles(key, rule):
         bins, total, seen, out = groups[key][rule], sum(groups[key][rule].values()), 0, []
-        wanted = (0.25, 0.75, quality_rules.TAIL)
+        wanted = (0.25, 0.5, 0.75, quality_rules.TAIL)
         for b in sorted(bins, key=lambda b: -math.inf if b is None else b):
             seen += bins[b]
             while len(out) < len(wanted) and seen >= math.ceil(total * wanted[len(out)]):
                 out.append(0.0 if b is None else g ** b * 2 / (1 + g))
-        q1, q3, tail = out
-        most, least = (q3 + quality_rules.SPREADS * max(q3 - q1, spread[rule]) for spread in (quality_rules.RULES, quality_rules.LEAST))
-        low = q1 - quality_rules.SPREADS * max(q3 - q1, quality_rules.RULES[rule]) if rule in quality_rules.BOTH_SIDES else -math.inf
-        return low, min(most, max(least, tail * (1 + quality_rules.MARGIN)))
+        return out
+
+    def limits(key, rule):
+        unit, few, many = quality_rules.RULES[rule]
+        q1, _, q3, tail = quantiles(key, rule)
+        near, far = (max(quality_rules.SPREADS * (q3 - q1), events * quantiles(key, unit)[1]) for events in (few, many))
+        low = q1 - far if rule in quality_rules.BOTH_SIDES else -math.inf
+        return low, min(q3 + far, max(q3 + near, tail * (1 + quality_rules.MARGIN)))
 
     size = lambda key: sum(groups[key]["chars_per_word"].values()) if key in groups else 0
     out = {}
@@ -118,6 +123,20 @@ def test_every_rule_fires_below_the_base_limit(spark, make_docs):
     assert all(r.documents > 0 for r in quality_rules.rejections(docs).collect())
 
 
+def test_limits_follow_the_group(spark, make_docs):
+    """5 % junk of a group goes though it holds its tail quantile, and the same slips pass in short texts and not in long ones."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    text = lambda n, slips=0: " ".join([word() for _ in range(n - slips)] + [word() + "#" for _ in range(slips)])
+    short = [(i, text(30), "en", "short") for i in range(100)] + [(100 + i, text(30, 25), "en", "short") for i in range(6)] + [(110, text(30, 2), "en", "short")]
+    long = [(200 + i, text(400), "en", "long") for i in range(100)] + [(300 + i, text(400, 25), "en", "long") for i in range(6)]
+    got = {r.doc_id: r.failed_rules for r in quality_rules.adaptive_filter(make_docs(short + long), reasons=True).collect()}
+    assert all("symbols_per_word" in got[i] for i in [*range(100, 106), *range(300, 306)]) and got[110] == []
+    assert sum(got[i] == [] for i in [*range(100), *range(200, 300)]) >= 196
+    origins = {(r.rule, r.origin): r.groups for r in quality_rules.limit_origins(make_docs(short + long)).collect()}
+    assert origins["symbols_per_word", "events"] == 2 and origins["chars_per_word", "range"] == 2 and sum(origins.values()) == 8
+
+
 def test_rules_keep_good_documents(spark, sf_docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality_rules.adaptive_filter(sf_docs).join(labels, "doc_id").toPandas()
