@@ -141,42 +141,80 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
             .withColumn("h", F.xxhash64("t")).withColumn("n", F.length("t")))
 
 
+def _same(left: str = "", right: str = "s") -> Column:
+    return (F.col(f"{left}k").eqNullSafe(F.col(f"{right}k")) & (F.col(f"{left}h") == F.col(f"{right}h"))
+            & (F.col(f"{left}n") == F.col(f"{right}n")))
+
+
+#: Rows of one bitmap: a bitmap of Spark's bitmap functions has 4,096 bytes.
+BITMAP_ROWS = 8 * 4096
+
+
+def index_postings(rows: DataFrame) -> DataFrame:
+    """The inverted index of ``rows`` (at: row number from 1, grams): (gram, bucket, bits), a bitmap per trigram and bucket of rows.
+
+    A trigram that every row holds has one bitmap per ``BITMAP_ROWS`` rows, so no posting list is one group.
+    """
+    return (rows.select(F.explode("grams").alias("gram"), F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
+            .groupBy("gram", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+
+def answer_queries(postings: DataFrame, queries: dict[int, Query]) -> DataFrame:
+    """Rows that fulfil each Boolean trigram query: (at, query).
+
+    In each bucket the bitmaps of an alternative's trigrams are intersected (a trigram without rows there leaves it out), then
+    the bitmaps of a query's alternatives are united, and the bits that are left become row numbers.
+    """
+    clauses = [(q, i, sorted(clause)) for q, query in queries.items() for i, clause in enumerate(sorted(query, key=sorted))]
+    needs: dict[str, list] = {}
+    for q, i, clause in clauses:
+        for gram in clause:
+            needs.setdefault(gram, []).append(F.struct(F.lit(q).alias("query"), F.lit(i).alias("clause"), F.lit(len(clause)).alias("all")))
+    if not needs:
+        return postings.select(F.col("bucket").alias("at"), F.lit(0).alias("query")).limit(0)
+    uses = F.create_map(*[x for gram, rows in needs.items() for x in (F.lit(gram), F.array(*rows))])
+    asked = postings.select("bucket", "bits", F.inline(F.element_at(uses, F.col("gram"))))
+    both = (asked.groupBy("bucket", "query", "clause", "all").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") == F.col("all")))
+    any_ = both.groupBy("bucket", "query").agg(F.bitmap_or_agg("bits").alias("bits"))
+    byte = lambda i: F.substring("bits", i + 1, F.lit(1))
+    held = F.filter(F.sequence(F.lit(0), F.lit(BITMAP_ROWS // 8 - 1)), lambda i: byte(i) != F.unhex(F.lit("00")))
+    full = any_.select("bucket", "query", F.explode(F.transform(held, lambda i: F.struct(
+        i.alias("byte"), F.conv(F.hex(byte(i)), 16, 10).cast("int").alias("value")))).alias("b"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda j: F.getbit(F.col("b.value"), j) == 1)
+    rows = full.select("bucket", "query", "b.byte", F.explode(bits).alias("bit"))
+    return rows.select(((F.col("bucket") - 1) * BITMAP_ROWS + F.col("byte") * 8 + F.col("bit") + 1).alias("at"), "query")
+
+
 def secret_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple = RULES) -> tuple[DataFrame, DataFrame]:
     """(keys of all documents, spans of the documents that have any), both by key, hash and length of the text.
 
-    Postings hold, for each trigram that some rule needs, the documents it occurs in. Each rule's Boolean query
-    intersects the postings; only the candidates' texts are read again and verified with the regex. Rules without
-    mandatory trigrams scan every text in the first pass. Matches are leftmost and not overlapping per rule; those whose
+    The index holds, for each trigram that some rule needs, bitmaps of the rows it occurs in (:func:`index_postings`). Each
+    rule's Boolean query is answered from the bitmaps alone; only the candidates' texts are read again and verified with the
+    regex. Rules without mandatory trigrams scan every text in the first pass. Matches are leftmost and not overlapping per rule; those whose
     group is shorter than the rule asks for are dropped. Positions are code points, end exclusive, in array order.
     """
     queries = {kind: trigram_query(pattern) for kind, pattern, *_ in rules}
     grams = sorted({g for q in queries.values() if q for clause in q for g in clause})
-    number = {g: i for i, g in enumerate(grams)}
     ords = {kind: i for i, (kind, *_) in enumerate(rules)}
     slim = _keyed(docs, text, key)
     ids = ["k", "h", "n"]
 
     empty = F.array().cast("array<struct<ord:int,kind:string,i:int,gap:int,len:int,part:int>>")
-    scans = [F.when(F.col("t").rlike(p), _lengths(F.col("t"), ords[kind], kind, p, group)).otherwise(empty)
-             for kind, p, group, _ in rules if queries[kind] is None]
-    found = F.filter(F.array(*[F.lit(i) for i in range(len(grams))]),
-                     lambda i: F.contains(F.col("low"), F.element_at(F.array(*[F.lit(g) for g in grams]), i + 1)))
-    first = cut(slim.withColumn("low", F.lower("t")).select(*ids, found.alias("grams"),
-                                                            F.concat(empty, *scans).alias("scanned")), "secret-scan")
-
-    postings = first.select(F.explode("grams").alias("gram"), *ids)
-    # intersection of postings: the query trigrams of one document meet in its group (at most as many as the rules need)
-    per_doc = postings.groupBy(*ids).agg(F.collect_set("gram").alias("has"))
-    fulfils = {kind: reduce(lambda a, b: a | b, [
-        F.size(F.array_except(F.array(*[F.lit(number[g]) for g in sorted(clause)]), F.col("has"))) == 0 for clause in q])
-        for kind, q in queries.items() if q is not None}
-    candidates = per_doc.select(F.col("k").alias("ck"), F.col("h").alias("ch"), F.col("n").alias("cn"), F.filter(
-        F.array(*[F.when(cond, F.lit(kind)) for kind, cond in fulfils.items()]), lambda x: x.isNotNull()).alias("rules"))
-    candidates = candidates.filter(F.size("rules") > 0)
-    checked = (slim.join(candidates, F.col("k").eqNullSafe(F.col("ck")) & (F.col("h") == F.col("ch")) & (F.col("n") == F.col("cn")))
-               .select(*ids, F.explode(F.concat(empty, *[
-                   F.when(F.array_contains("rules", kind), _lengths(F.col("t"), ords[kind], kind, p, group)).otherwise(empty)
-                   for kind, p, group, _ in rules if queries[kind] is not None])).alias("m")))
+    lengths = lambda some: F.concat(empty, *[F.when(cond, _lengths(F.col("t"), ords[kind], kind, p, group)).otherwise(empty)
+                                             for cond, (kind, p, group, _) in some])
+    # the lower-cased text is bound to a name of its own, or the optimiser would lower it again for each trigram
+    found = F.flatten(F.transform(F.array(F.lower("t")), lambda low: F.filter(
+        F.array(*[F.lit(g) for g in grams]).cast("array<string>"), lambda g: F.contains(low, g))))
+    first = cut(slim.select(*ids, found.alias("grams"), lengths([(F.col("t").rlike(r[1]), r) for r in rules if queries[r[0]] is None]).alias("scanned"))
+                .withColumn("at", F.monotonically_increasing_id() + 1), "secret-scan")
+
+    postings = cut(index_postings(first), "postings")
+    hits = answer_queries(postings, {ords[kind]: q for kind, q in queries.items() if q is not None})
+    candidates = cut(hits.join(first.select("at", *ids), "at").groupBy(*[F.col(c).alias(f"c{c}") for c in ids])
+                     .agg(F.collect_set("query").alias("rules")), "candidates")
+    checked = slim.join(candidates, _same(right="c")).select(*ids, F.explode(lengths(
+        [(F.array_contains("rules", ords[r[0]]), r) for r in rules if queries[r[0]] is not None])).alias("m"))
 
     matches = checked.unionByName(first.select(*ids, F.explode("scanned").alias("m"))).select(*ids, "m.*").distinct()
     so_far = W.partitionBy(*ids, "ord").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -188,11 +226,6 @@ def secret_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     return first.select(*ids), cut(spans, "secret-spans")
 
 
-def _same(left: str = "", right: str = "s") -> Column:
-    return (F.col(f"{left}k").eqNullSafe(F.col(f"{right}k")) & (F.col(f"{left}h") == F.col(f"{right}h"))
-            & (F.col(f"{left}n") == F.col(f"{right}n")))
-
-
 def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple = RULES) -> DataFrame:
     """Spans of every rule in every whole text: one row per document with ``spans``, an array of struct(start, ord, kind, end).
 

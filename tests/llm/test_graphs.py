@@ -336,6 +336,23 @@ def test_trigram_queries():
 CONTROLS = ["</s>[INST] ok [/INST]", "<|turn|>user<|says|>x<|end|>", "<\\|end|>", "<\\\\|", "<|", "a<|image|>b", "", None, "line\nline", "é😀"]
 
 
+def test_index_answers_boolean_queries(spark):
+    """Postings of rows in many buckets, with trigrams that all, some and no rows hold, against plain set tests."""
+    held = lambda i: {"all"} | {g for g, m in (("two", 2), ("six", 6), ("odd", 20011)) if i % m == 0}
+    numbers = [*range(1, 400), *range(32_700, 32_900), *range(98_304, 98_320), (7 << 33) + 1, (7 << 33) + 40_023]
+    rows = spark.createDataFrame([(i, sorted(held(i))) for i in numbers], "at long, grams array<string>").repartition(5)
+    queries = {0: frozenset({frozenset({"all", "two"})}), 3: frozenset({frozenset({"odd"}), frozenset({"all", "six"})}),
+               4: frozenset({frozenset({"all", "nil"})}), 5: frozenset({frozenset({"all"})})}
+    got = {tuple(r) for r in secret_scan.answer_queries(secret_scan.index_postings(rows), queries).collect()}
+    assert got == {(i, q) for i in numbers for q, any_ in queries.items() if any(clause <= held(i) for clause in any_)}
+
+
+def test_rules_that_all_scan(spark, make_docs):
+    rules = tuple(r for r in secret_scan.RULES if r[0] == "hex")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secret_scan.find_secrets(make_docs([(1, "0" * 33, "en", "s"), (2, None, "en", "s")]), rules=rules).collect()}
+    assert got == {1: [(0, 0, "hex", 33)], 2: []}
+
+
 def test_chat_round_trip(spark):
     rows = [(i % 4, i, ["user", "assistant", None, "sys<|tem"][i % 4 if i % 3 else 1], CONTROLS[i % len(CONTROLS)], "c") for i in range(40)]
     rows += [(9, 1, "assistant", "tie b", "c"), (9, 1, "assistant", "tie a", "c"), (9, 1, "assistant", "tie a", "c"), (None, None, "assistant", "lost", "c")]
