@@ -1,6 +1,7 @@
 """Near-duplicates, nearest neighbours, main text, secrets, chat formatting and the pipeline against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -130,6 +131,24 @@ def test_few_and_no_vectors(spark):
     assert nn_descent.nearest_neighbours(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_queries_outside_the_table(spark, monkeypatch):
+    """Queries whose vectors no row has, in many sets of starting nodes; unusable ones have no result."""
+    monkeypatch.setattr(nn_descent, "ENTRY_SEARCHES", 10)
+    rng = np.random.default_rng(12)
+    point = lambda: [float(np.float32(x)) for x in rng.normal(size=6)]
+    rows = [(i, point()) for i in range(600)]
+    outside = [(1000 + i, point()) for i in range(60)]
+    odd = [(2000, None), (2001, [0.0] * 6), (2002, [1.0] * 3), (2003, [float("nan")] * 6), (None, point())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame(outside + [(3000, outside[0][1]), rows[7]] + odd, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in nn_descent.nearest_neighbours(table, asked).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = {q: sorted((math.dist(v, x), i) for i, x in rows if i != q)[:10] for q, v in outside + [(3000, outside[0][1]), rows[7]]}
+    assert got == {q: [i for _, i in near] for q, near in want.items()}
+    assert nn_descent.nearest_neighbours(table.limit(0), asked).collect() == []
+
+
 def test_neighbours_in_a_clump_of_near_copies(spark):
     """Copies whose differences are below an 8-bit step are told apart."""
     rng = np.random.default_rng(6)
