@@ -132,3 +132,16 @@ def test_keyed_state_of_late_and_repeated_events(spark):
             if r.name == "kind":
                 last[r.u] = max(last.get(r.u, (0, "")), (r.seq, r.value))
         assert last == {"a": (10, "d"), "b": (5, "z")}
+
+
+def test_routed_queries_leave_in_bounded_batches(spark, monkeypatch):
+    """A query that needs every cell goes to all of them, in batches that do not grow with the cells."""
+    from tablesmith.operators import knn
+    x = np.random.default_rng(2).normal(size=(600, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 3) for i, r in enumerate(x)], "id long, vec array<double>, label int").coalesce(1)
+    monkeypatch.setattr(knn, "ROUTE_BYTES", 4096)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 10)
+    got = knn_neighbours(df, df.select("id", "vec"), id_col="id", vec_col="vec", label_col="label", k=3, exclude_self=True, n_pivots=40).collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) + np.diag(np.full(600, np.inf))
+    want = {(i, int(j)) for i in range(600) for j in np.lexsort((np.arange(600), d[i]))[:3]}
+    assert {(r.qid, r.tid) for r in got} == want and len(got) == 1800
