@@ -8,13 +8,10 @@ stay a long table ``(run, seq, value)``.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tablesmith.functions.exprs import qcol
 from tablesmith.session import checkpoint_dir
@@ -57,82 +54,40 @@ def run_state_stream(spark: SparkSession, source: DataFrame, run: str, seq: str,
 # Keyed state: late and repeated events
 # ---------------------------------------------------------------------------------------------------------------
 
-#: What the keyed state emits: a value that was appended, or a key's new last value with its sequence number.
+#: What the keyed state emits: a value that was appended, or a key's last value with its sequence number.
 UPDATES = "seq long, name string, value string"
 
 
-class EventFold(StatefulProcessor):
-    """State of one run: the sequence numbers it has seen and, per overwrite key, the last value with its number.
-
-    An event whose number was seen already changes nothing, so a repeated one is counted once. An appended value is emitted
-    once; a new last value is emitted when no later event has set that key, so events may come in any order. With an
-    event-time column, numbers go from the state when the watermark has passed their event by ``keep_ms``: Spark
-    drops what comes later than the watermark, so they can't be needed again.
-    """
-
-    def __init__(self, run: str, seq: str, overwrite: list[str], append: list[str], time: str | None = None, keep_ms: int = 0):
-        self.run, self.seq, self.overwrite, self.append, self.time, self.keep_ms = run, seq, overwrite, append, time, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getMapState("seen", T.StructType([T.StructField("seq", T.LongType())]), T.StructType([T.StructField("at", T.LongType())]))
-        self.last = handle.getMapState("last", T.StructType([T.StructField("name", T.StringType())]),
-                                       T.StructType([T.StructField("seq", T.LongType()), T.StructField("value", T.StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {k[0] for k in self.seen.keys()}
-        last = {k[0]: v for k, v in self.last.iterator()}
-        out, changed, latest = [], {}, 0
-        for frame in rows:
-            for row in frame.to_dict("records"):
-                seq = int(row[self.seq])
-                if seq in known:
-                    continue
-                known.add(seq)
-                at = int(pd.Timestamp(row[self.time]).timestamp() * 1000) if self.time else 0
-                latest = max(latest, at)
-                self.seen.updateValue((seq,), (at,))
-                out += [(seq, name, str(row[name])) for name in self.append if not pd.isna(row[name])]
-                for name in self.overwrite:
-                    if not pd.isna(row[name]) and (name not in last or last[name][0] < seq):
-                        last[name] = changed[name] = (seq, str(row[name]))
-        for name, state in changed.items():
-            self.last.updateValue((name,), state)
-            out.append((state[0], name, state[1]))
-        if latest:
-            self.handle.registerTimer(latest + self.keep_ms)
-        yield self._frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        border = timerValues.getCurrentWatermarkInMs() - self.keep_ms
-        for k, v in list(self.seen.iterator()):
-            if v[0] <= border:
-                self.seen.removeKey(k)
-        yield self._frame(key, [])
-
-    def close(self) -> None:
-        pass
-
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        seq, name, value = zip(*rows) if rows else ((), (), ())
-        return pd.DataFrame({self.run: pd.Series([key[0]] * len(rows), dtype=object), "seq": pd.Series(seq, dtype="int64"),
-                             "name": pd.Series(name, dtype=object), "value": pd.Series(value, dtype=object)})
+def _given(events: DataFrame, name: str) -> Column:
+    """Is there a value? NaN is none."""
+    filled = qcol(name).isNotNull()
+    return filled & ~F.isnan(qcol(name)) if isinstance(events.schema[name].dataType, (T.DoubleType, T.FloatType)) else filled
 
 
 def keyed_updates(source: DataFrame, run: str, seq: str, overwrite: list[str], append: list[str], time: str | None = None,
                   late: str = "1 hour") -> DataFrame:
-    """Updates ``(run, seq, name, value)`` of a stream of events that may come late, out of order or more than once.
+    """Updates ``(run, seq, name, value)`` of a stream of events that may come late, out of order or more than once; started in update mode.
 
-    ``time`` names an event-time column; then events more than ``late`` behind are dropped and the state of older ones goes.
-    Without it the state keeps every sequence number. Needs the RocksDB state store (:func:`run_keyed_stream` sets it).
+    The state of an append key holds the sequence numbers seen per run: an appended value is emitted once, however often its event
+    comes. The state of an overwrite key is its last value with that value's number: each micro-batch that has events of a run
+    emits it, and an earlier event changes nothing, so events may come in any order. ``time`` names an event-time column; then
+    events more than ``late`` behind are dropped and the numbers of older ones go. Without it the state keeps every sequence
+    number. Needs the RocksDB state store (:func:`run_keyed_stream` sets it).
     """
-    kind = source.schema[run].dataType
-    events = source.withWatermark(time, late) if time else source
-    schema = T.StructType([T.StructField(run, kind), *T.StructType.fromDDL(UPDATES).fields])
     needed = list(dict.fromkeys([run, seq, *overwrite, *append, *([time] if time else [])]))
-    fold = EventFold(run, seq, overwrite, append, time)
-    return events.select(*[qcol(c) for c in needed]).groupBy(qcol(run)).transformWithStateInPandas(
-        statefulProcessor=fold, outputStructType=schema, outputMode="Append", timeMode="EventTime" if time else "None")
+    events = (source.withWatermark(time, late) if time else source).select(*[qcol(c) for c in needed])
+    once = events.dropDuplicatesWithinWatermark([run, seq]) if time else events.dropDuplicates([run, seq])
+    item = lambda name: F.struct(qcol(seq).cast("long").alias("seq"), F.lit(name).alias("name"), qcol(name).cast("string").alias("value"))
+    parts = []
+    if append:
+        items = F.array(*[F.when(_given(events, c), item(c)) for c in append])
+        parts.append(once.select(qcol(run), F.inline(F.filter(items, lambda x: x.isNotNull()))))
+    if overwrite:
+        # a repeated event leaves the last value as it is, so only late ones have to go first
+        last = (once if time else events).groupBy(qcol(run)).agg(*[F.max(F.when(_given(events, c), item(c))).alias(f"__{i}") for i, c in enumerate(overwrite)])
+        items = F.array(*[F.col(f"__{i}") for i in range(len(overwrite))])
+        parts.append(last.select(qcol(run), F.inline(F.filter(items, lambda x: x.isNotNull()))))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
 
 def run_keyed_stream(spark: SparkSession, source: DataFrame, run: str, seq: str, overwrite: list[str], append: list[str],
@@ -148,7 +103,7 @@ def run_keyed_stream(spark: SparkSession, source: DataFrame, run: str, seq: str,
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         updates = keyed_updates(source, run, seq, overwrite, append, time)
-        query = updates.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = updates.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         spark.conf.set(provider, before)
