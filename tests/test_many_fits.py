@@ -105,6 +105,41 @@ def test_passes_equal_tasks(spark, points, monkeypatch, numbers):
         assert merged(a) == merged(b)
 
 
+@pytest.mark.parametrize("numbers", [False, True])
+def test_chains_on_cells_equal_chains_on_rows(spark, monkeypatch, numbers):
+    """Few distinct codes: the chains advance on their cells, in tasks and over many blocks, and give what the rows give."""
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.integers(0, 6, 3000), rng.integers(0, 4, 3000)]).astype(float)
+    y = np.round(x[:, 0] * (x[:, 1] - 1) + rng.normal(size=3000), 2) if numbers else ((x[:, 0] + x[:, 1] + rng.normal(size=3000) > 4) + (x[:, 1] > 2)).astype(int)
+    df = frame(spark, x, y, parts=3).cache()
+    whole = [B.Boost(6, 0.3, 2), B.Boost(4, 0.2, 3, 1.0, 1.0)]
+    fits = [B.BoostFit(c, f, t) for c in whole for f in (0, 1, None) for t in B.targets_of(3, numbers)]
+    part = [B.BoostFit(B.Boost(5, 0.3, 3, 1.0, 1.0, 0.7), f, t) for f in (2, None) for t in B.targets_of(3, numbers)]
+    key = lambda t: (t.feature.tolist(), t.bin.tolist(), np.round(t.value, 8).tolist())
+
+    def result(done, fits):
+        rows = B.out_of_fold(done, [f"{f.config.rounds}" for f in fits]).collect()
+        return ([[key(t) for t in trees] if f.fold is None else None for f, trees in zip(fits, done.trees)],
+                sorted((r.model_id, r.fold, r.label, round(r.prediction, 7)) for r in rows for _ in range(r.n)))
+
+    codes, ys, fold = B._arrays(*B.blocks_of(df, 2, numbers).single, 2)
+    cells = B.cells_of(codes, len(ys) // 2)
+    assert len(cells[0]) == 24
+    for fit in fits + part:
+        (trees, margins), (same, again) = (B.grow_chain(codes, ys, fold, fit, 0.1, c) for c in (None, cells))
+        assert [key(t) for t in trees] == [key(t) for t in same] and np.allclose(margins, again, atol=1e-9)
+    alone = result(B.boost(B.blocks_of(df, 2, numbers), fits), fits)
+    monkeypatch.setattr(B, "SINGLE_BYTES", 0)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 500)
+    blocks = B.blocks_of(df, 2, numbers)
+    starts = [B._start(blocks, f) for f in part]
+    passes = result(B._boost_in_passes(blocks, part, starts), part)
+    monkeypatch.setattr(B, "_boost_in_passes", None)  # no pass per tree level
+    assert result(B.boost(blocks, fits), fits) == alone
+    assert result(B.boost(blocks, part), part) == passes
+    df.unpersist()
+
+
 def test_boosting_learns_and_round_trips(spark, points):
     x, score = points
     ring = (np.hypot(x[:, 0] - 3, x[:, 1] / 25) > 2).astype(float)
