@@ -115,3 +115,25 @@ def test_a_bound_leaves_most_cells_out():
     for i in range(0, 200, 20):
         best = np.argsort(((x - q[i]) ** 2).sum(axis=1), kind="stable")[:5]
         assert set(cell[best]) <= {home[i], *other[at == i]}
+
+
+def test_partitions_without_rows(spark):
+    rng = np.random.default_rng(11)
+    vecs, labels = rng.normal(size=(40, 3)), rng.integers(0, 3, 40)
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(vecs, labels))], "id long, v array<double>, y int")
+    some = df.repartition(3).union(df.where("id < 0"))
+    assert 0 in some.rdd.glom().map(len).collect()
+    got = {r["id"]: r["prediction"] for r in K.knn_leave_one_out(some, id_col="id", vec_col="v", label_col="y", k=5, n_pivots=4).collect()}
+    assert got == brute(np.arange(40), vecs, labels, 5)
+
+
+def test_rows_without_a_vector_rank_last_by_id(spark):
+    """As SQL has it: their distances are unknown and come behind all others; a null label loses a tie."""
+    rows = [(1, None, 7), (2, [0.0, 0.0], 1), (3, [0.1, 0.0], 2), (4, [5.0, 5.0], None), (5, [None, 1.0], 3)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+    near = K.knn_neighbours(df, df.select("id", "v"), id_col="id", vec_col="v", label_col="y", k=3, exclude_self=True).collect()
+    got = {i: [(r["tid"], r["d2"] is None) for r in sorted((r for r in near if r["qid"] == i), key=lambda r: r["rn"])] for i in range(1, 6)}
+    assert got == {1: [(2, True), (3, True), (4, True)], 2: [(3, False), (4, False), (1, True)], 3: [(2, False), (4, False), (1, True)],
+                   4: [(3, False), (2, False), (1, True)], 5: [(1, True), (2, True), (3, True)]}
+    votes = {r["id"]: r["prediction"] for r in K.knn_leave_one_out(df, id_col="id", vec_col="v", label_col="y", k=2).collect()}
+    assert votes == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1}
